@@ -9,40 +9,50 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 
-def _blen(name: str) -> Column:
-    return F.octet_length(F.col(name))
+def _blen(name: str, base: Column | None = None) -> Column:
+    return F.octet_length(F.col(name) if base is None else base.getField(name))
 
 
-def _between(name: str, lo: int, hi: int) -> Column:
-    n = _blen(name)
+def _num(name: str, base: Column | None = None) -> Column:
+    return F.col(name) if base is None else base.getField(name)
+
+
+def _between(name: str, lo: int, hi: int, base: Column | None = None) -> Column:
+    n = _blen(name, base)
     return (n < lo) | (n > hi)
 
 
-def rule_failures() -> list[tuple[Column, str]]:
-    """The ten rules in evaluation order: (failure condition, message)."""
+def rule_failures(base: Column | None = None) -> list[tuple[Column, str]]:
+    """The ten rules in evaluation order: (failure condition, message).
+    Columns are taken from the row, or from the struct ``base``."""
     return [
-        (F.col("product_id") < 1, C.MSG_PRODUCT_ID),
-        (_between("sku", 1, 100), C.MSG_SKU),
-        (_between("manufacturer", 1, 200), C.MSG_MANUFACTURER),
-        (F.col("category_id") < 1, C.MSG_CATEGORY_ID),
-        (F.col("weight") < 0, C.MSG_WEIGHT),
-        (F.col("some_other_id") < 1, C.MSG_SOME_OTHER_ID),
-        (_between("name", 1, 200), C.MSG_NAME),
-        (_between("category", 1, 100), C.MSG_CATEGORY),
-        (_blen("description") > 1000, C.MSG_DESCRIPTION),
-        (_between("brand", 1, 100), C.MSG_BRAND),
+        (_num("product_id", base) < 1, C.MSG_PRODUCT_ID),
+        (_between("sku", 1, 100, base), C.MSG_SKU),
+        (_between("manufacturer", 1, 200, base), C.MSG_MANUFACTURER),
+        (_num("category_id", base) < 1, C.MSG_CATEGORY_ID),
+        (_num("weight", base) < 0, C.MSG_WEIGHT),
+        (_num("some_other_id", base) < 1, C.MSG_SOME_OTHER_ID),
+        (_between("name", 1, 200, base), C.MSG_NAME),
+        (_between("category", 1, 100, base), C.MSG_CATEGORY),
+        (_blen("description", base) > 1000, C.MSG_DESCRIPTION),
+        (_between("brand", 1, 100, base), C.MSG_BRAND),
     ]
 
 
-def first_error() -> Column:
+def first_error(base: Column | None = None) -> Column:
     """message of the first failing rule, NULL when the product is valid.
     Expects zero-filled product columns (no NULLs)."""
-    return F.coalesce(*[F.when(cond, F.lit(msg)) for cond, msg in rule_failures()])
+    return F.coalesce(*[F.when(cond, F.lit(msg)) for cond, msg in rule_failures(base)])
+
+
+def first_error_of(product: Column) -> Column:
+    """F3 on a product struct column."""
+    return first_error(product)
 
 
-def all_errors() -> Column:
+def all_errors(base: Column | None = None) -> Column:
     """every failing rule's message, in rule order."""
-    return F.array_compact(F.array(*[F.when(cond, F.lit(msg)) for cond, msg in rule_failures()]))
+    return F.array_compact(F.array(*[F.when(cond, F.lit(msg)) for cond, msg in rule_failures(base)]))
 
 
 def id_matches(body_id: str | Column, path_id: str | Column) -> Column:

@@ -58,7 +58,9 @@ def _zero(dt: T.DataType) -> Column:
     if isinstance(dt, T.ArrayType):
         return F.array().cast(dt)
     if isinstance(dt, T.TimestampType):
-        return F.lit("0001-01-01 00:00:00").cast(dt)
+        # Go's zero time has no useful Spark value; it stays NULL (services
+        # stamp created_at before use).
+        return F.lit(None).cast(dt)
     raise TypeError(f"no zero value for {dt}")
 
 
