@@ -1,4 +1,4 @@
 """Registered query plans over the driver tables, each with its oracle SQL."""
 
 from .registry import QUERIES, ORACLE_SQL  # noqa: F401
-from . import catalog_plans, keyed_plans, search_plans  # noqa: F401  (registration side effects)
+from . import catalog_plans, keyed_plans, order_plans, search_plans  # noqa: F401  (registration side effects)
