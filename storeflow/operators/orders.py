@@ -66,9 +66,9 @@ def complete(orders: DataFrame) -> DataFrame:
     return orders.withColumn("status", F.lit(C.STATUS_COMPLETED))
 
 
-def sync_response(orders: DataFrame) -> DataFrame:
-    """P10 (sync): message, order_id, status."""
-    return orders.select(F.lit(C.MSG_ORDER_SYNC).alias("message"), "order_id", "status")
+def sync_response(orders: DataFrame, *extra: str) -> DataFrame:
+    """P10 (sync): message, order_id, status (plus pass-through columns)."""
+    return orders.select(F.lit(C.MSG_ORDER_SYNC).alias("message"), "order_id", "status", *extra)
 
 
 def async_response(orders: DataFrame, message_id: Column) -> DataFrame:

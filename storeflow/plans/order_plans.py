@@ -86,7 +86,7 @@ def orders_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = O.process_sync(docs, now=F.col("created_at"))
     per_order = (done.withColumn("n", O.item_count("items")).groupBy("order_id", "status")
                      .agg(F.sum("n").cast("bigint").alias("n_items")))
-    return per_order.select(*O.sync_response(per_order).columns, "n_items")
+    return O.sync_response(per_order, "n_items")
 
 
 @register("status_latest", """
