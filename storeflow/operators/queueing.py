@@ -127,13 +127,20 @@ def capacity_table(demand: DataFrame, queue: str, service_s: float,
 
     ``rounded_rate`` reproduces the report's 0.33/s per worker; by default
     the exact 1/service_s is used."""
-    per = F.lit(rounded_rate if rounded_rate is not None else 1.0 / service_s)
     d = demand.withColumn("demand_per_s", F.col("arrivals") / F.col("span_s"))
     d = d.withColumn("workers", F.explode(F.array(*[F.lit(w) for w in workers])))
+    return capacity_rows(d, service_s, rounded_rate, keep=[queue, "workers", "arrivals", "span_s"])
+
+
+def capacity_rows(scenarios: DataFrame, service_s: float, rounded_rate: float | None = None,
+                  keep: list[str] | None = None) -> DataFrame:
+    """A10 on scenario rows with workers, demand_per_s, arrivals, span_s."""
+    per = F.lit(rounded_rate if rounded_rate is not None else 1.0 / service_s)
     cap = F.col("workers") * per
     backlog = F.greatest(F.col("arrivals") - cap * F.col("span_s"), F.lit(0.0))
-    return d.select(
-        queue, "workers", "arrivals", "span_s", "demand_per_s",
+    keep = keep or [c for c in scenarios.columns if c != "demand_per_s"]
+    return scenarios.select(
+        *keep, "demand_per_s",
         cap.alias("capacity_per_s"), (cap - F.col("demand_per_s")).alias("gap_per_s"),
         (cap / F.col("demand_per_s") * 100).alias("pct_met"),
         backlog.alias("backlog"), (backlog / cap).alias("clearance_s"),
