@@ -11,7 +11,7 @@ Times are BIGINT microseconds throughout (exact arithmetic).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -65,30 +65,44 @@ def fifo_finish(arrivals: DataFrame, queue: str, t_us: str, tie: str, service_us
              .drop("_b", "_v", "_pre", "_run", "k"))
 
 
-def backlog_depth(fifo: DataFrame, queue: str, t_us: str, width_us: int = HOUR_US) -> DataFrame:
-    """Queue depth after every arrival (+1) and completion (-1).
-
-    At equal times completions are applied first. Running sum via bucket
-    offsets (per-bucket sums, prefix over the small bucket table)."""
-    ev = (fifo.select(queue, F.col(t_us).alias("ts_us"), F.lit(1).alias("delta"))
-              .unionByName(fifo.select(queue, F.col("finish_us").alias("ts_us"), F.lit(-1).alias("delta"))))
-    ev = ev.withColumn("_b", _bucket("ts_us", width_us))
-    sums = ev.groupBy(queue, "_b").agg(F.sum("delta").cast("bigint").alias("_s"))
-    wb = Window.partitionBy(queue).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+def running_sum(df: DataFrame, part: list[str], order: list[str], value: str,
+                bucket: Column, out: str) -> DataFrame:
+    """Running sum of ``value`` per ``part`` in ``order`` via bucket offsets:
+    per-bucket sums -> prefix over the (small) bucket table -> window inside
+    each (part, bucket). ``bucket`` must be monotone in ``order``."""
+    d = df.withColumn("_b", bucket)
+    sums = d.groupBy(*part, "_b").agg(F.sum(value).cast("bigint").alias("_s"))
+    wb = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     pre = sums.withColumn("_pre", F.coalesce(F.sum("_s").over(wb), F.lit(0)).cast("bigint"))
-    wl = (Window.partitionBy(queue, "_b").orderBy("ts_us", "delta")
+    wl = (Window.partitionBy(*part, "_b").orderBy(*order)
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (ev.join(pre.select(queue, "_b", "_pre"), [queue, "_b"])
-              .withColumn("depth", F.col("_pre") + F.sum("delta").over(wl))
-              .select(queue, "ts_us", "delta", "depth"))
+    return (d.join(pre.select(*part, "_b", "_pre"), [*part, "_b"])
+             .withColumn(out, F.col("_pre") + F.sum(value).over(wl))
+             .drop("_b", "_pre"))
+
 
+def depth_changes(fifo: DataFrame, queue: str, t_us: str) -> DataFrame:
+    """+1 at every arrival, -1 at every completion."""
+    return (fifo.select(queue, F.col(t_us).alias("ts_us"), F.lit(1).alias("delta"))
+                .unionByName(fifo.select(queue, F.col("finish_us").alias("ts_us"), F.lit(-1).alias("delta"))))
 
-def sample_depth(depth: DataFrame, queue: str, every_us: int = HOUR_US) -> DataFrame:
-    """S14 analogue: the depth at the end of each sampling period (the
-    last change inside it), as a queue-depth sample series."""
-    return (depth.withColumn("sample_us", F.floor(F.col("ts_us") / every_us).cast("bigint") * every_us)
-                 .groupBy(queue, "sample_us")
-                 .agg(F.max_by("depth", F.struct("ts_us", F.col("delta").alias("d"))).alias("depth")))
+
+def backlog_depth(fifo: DataFrame, queue: str, t_us: str, width_us: int = HOUR_US) -> DataFrame:
+    """Queue depth after every arrival (+1) and completion (-1); at
+    equal times completions are applied first."""
+    ev = depth_changes(fifo, queue, t_us)
+    return running_sum(ev, [queue], ["ts_us", "delta"], "delta", _bucket("ts_us", width_us),
+                       "depth").select(queue, "ts_us", "delta", "depth")
+
+
+def sample_depth(changes: DataFrame, queue: str, every_us: int = HOUR_US,
+                 width_us: int = 24 * HOUR_US) -> DataFrame:
+    """S14 analogue: depth at the end of each sampling period = running sum
+    of the per-period net change (deterministic; no per-event window)."""
+    per = (changes.withColumn("sample_us", F.floor(F.col("ts_us") / every_us).cast("bigint") * every_us)
+                  .groupBy(queue, "sample_us").agg(F.sum("delta").cast("bigint").alias("net")))
+    return running_sum(per, [queue], ["sample_us"], "net", _bucket("sample_us", width_us),
+                       "depth").select(queue, "sample_us", "depth")
 
 
 def sample_deltas(samples: DataFrame, run: str, t: str, value: str) -> DataFrame:

@@ -22,19 +22,24 @@ from ..sources import codec
 
 def outcomes(requests: DataFrame, products: DataFrame) -> DataFrame:
     pid = S.parse_request_id("product_id_text")
-    value, ok = codec.decode_product("body")
-    r = (requests.withColumn("path_id", pid)
-                 .withColumn("id_ok", S.valid_id(pid))
-                 .withColumn("is_post", F.upper("method") == "POST")
-                 .withColumn("json_ok", F.when(F.col("is_post"), ok))
-                 .withColumn("product", F.when(F.col("is_post"), value)))
-    # GET lookups: join only the GET rows with a valid id (a bad id never
-    # reaches the store), keeping the other rows through a null key.
-    lookup_key = F.when(~F.col("is_post") & F.col("id_ok"), F.col("path_id"))
-    r = r.withColumn("_lk", lookup_key.cast(products.schema["product_id"].dataType))
+    is_post = F.upper("method") == "POST"
+    r = codec.decode_rows(requests, codec.product_struct(F.when(is_post, F.col("body"))))
+    r = (r.withColumn("path_id", pid)
+          .withColumn("id_ok", S.valid_id(pid))
+          .withColumn("is_post", is_post)
+          .withColumn("json_ok", F.when(F.col("is_post"), F.col("ok")))
+          .withColumnRenamed("value", "product").drop("ok"))
+    # GET lookups: only GET rows with a valid id reach the join; all other
+    # rows bypass it, so no NULL join keys pile up in one shuffle partition.
+    lookup = ~F.col("is_post") & F.col("id_ok")
+    key_type = products.schema["product_id"].dataType
     cat = products.select(F.col("product_id").alias("_pk"),
-                          F.to_json(F.struct(*PRODUCT_FIELDS)).alias("_product_json"))
-    r = r.join(cat, r["_lk"] == cat["_pk"], "left")
+                          F.struct(*PRODUCT_FIELDS).alias("_product"))
+    need = r.where(lookup)
+    need = need.join(cat, need["path_id"].cast(key_type) == cat["_pk"], "left")
+    rest = (r.where(~lookup).withColumn("_pk", F.lit(None).cast(key_type))
+             .withColumn("_product", F.lit(None).cast(cat.schema["_product"].dataType)))
+    r = need.unionByName(rest)
     p = F.col("product")
     rule_error = F.when(F.col("json_ok"), V.first_error_of(p))
     err = (F.when(~F.col("id_ok"), S.error_record(C.ERR_INVALID_INPUT, C.MSG_INVALID_ID,
@@ -54,5 +59,5 @@ def outcomes(requests: DataFrame, products: DataFrame) -> DataFrame:
              .select(*passthrough,
                      status.cast("int").alias("status_code"), "error",
                      F.when(~F.col("is_post") & F.col("error").isNull(),
-                            F.col("_product_json")).alias("response_body"),
+                            F.to_json("_product")).alias("response_body"),
                      F.when(F.col("is_post") & F.col("error").isNull(), p).alias("accepted")))

@@ -142,8 +142,8 @@ def backlog_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Q.backlog_depth(_fifo(spark, sf_dir, 1), "event_type", "t_us")
-    return Q.sample_depth(d, "event_type")
+    changes = Q.depth_changes(_fifo(spark, sf_dir, 1), "event_type", "t_us")
+    return Q.sample_depth(changes, "event_type")
 
 
 @register("queue_samples", f"""

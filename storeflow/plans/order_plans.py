@@ -34,8 +34,8 @@ def _decoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S8 then S6: encode each document as its JSON request body and decode it."""
     docs = _order_documents(spark, sf_dir)
     body = codec.encode(O.order_struct(docs))
-    value, ok = codec.decode_order(body, strict=False)
-    return docs.select(value.alias("o"), ok.alias("ok")).where("ok").select("o.*")
+    rows = codec.decode_rows(docs.select(body.alias("body")), codec.order_struct("body", strict=False))
+    return rows.where("ok").select("value.*")
 
 
 LINE_PRICE_SQL = "case when l_quantity = 0 then null else l_extendedprice / l_quantity end"

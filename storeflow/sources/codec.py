@@ -5,13 +5,19 @@ expressions allow (all JVM-side):
   * type mismatches, out-of-range integers, truncated text, arrays and
     scalars at top level are errors (``from_json`` corrupt record);
   * a JSON ``null`` document decodes to zero values without error;
-  * a number where a string field is expected is an error (Spark would
-    stringify it, so the field's Variant type is checked);
+  * a number where a string field is expected is an error: string fields
+    are parsed as Variant and their JSON type is checked (Spark alone
+    would turn the number into text);
   * duplicate keys: the last one wins;
   * strict decoding (one whole document, ``json.Unmarshal``) rejects any
     trailing text; lenient decoding (``Decoder.Decode``, first value
     only) tolerates it;
   * keys match exactly (Go would also accept other letter cases).
+
+The text and its parse are bound once through lambda variables, so one
+``from_json`` runs per row however many fields are read; ``decode_rows``
+splits rows through a generator, which Catalyst does not inline into a
+filter (a plain filter on the flag would parse every row twice).
 """
 
 from __future__ import annotations
@@ -24,21 +30,15 @@ from ..schemas import ORDER, PRODUCT, zero_fill
 
 CORRUPT = "_corrupt_record"
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"
+PRODUCT_STRINGS = ["sku", "manufacturer", "name", "category", "description", "brand"]
+ORDER_STRINGS = ["order_id", "status"]
+ORDER_TIMES = ["created_at"]
 
 
-def _with_corrupt(schema: T.StructType) -> T.StructType:
-    return T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-
-
-def _string_fields_ok(text: Column, names: list[str]) -> Column:
-    v = F.try_parse_json(text)
-    checks = []
-    for n in names:
-        t = F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant"))
-        checks.append(t.isNull() | t.isin("STRING", "VOID"))
-    # a document with duplicate keys is not a Variant; from_json already
-    # decoded it (last key wins), so the type check is skipped.
-    return v.isNull() | _all(checks)
+def _wire_schema(schema: T.StructType, variants: list[str]) -> T.StructType:
+    fields = [T.StructField(f.name, T.VariantType()) if f.name in variants else f
+              for f in schema.fields]
+    return T.StructType(fields + [T.StructField(CORRUPT, T.StringType())])
 
 
 def _all(cs: list[Column]) -> Column:
@@ -48,36 +48,68 @@ def _all(cs: list[Column]) -> Column:
     return out
 
 
-def decode(text: str | Column, schema: T.StructType, *, strict: bool,
-           string_fields: list[str], timestamp_format: str = TS_FORMAT) -> tuple[Column, Column]:
-    """Return (zero-filled struct or NULL, ok flag)."""
-    t = F.col(text) if isinstance(text, str) else text
-    parsed = F.from_json(t, _with_corrupt(schema),
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
-                          "timestampFormat": timestamp_format})
-    trimmed = F.trim(t)
-    is_null_doc = trimmed == "null" if strict else trimmed.startswith("null")
-    ok = (t.isNotNull() & (trimmed != "")
-          & (parsed.isNotNull())
-          & (parsed.getField(CORRUPT).isNull() | is_null_doc)
-          & _string_fields_ok(t, string_fields))
-    if strict:
-        whole = F.json_array_length(F.concat(F.lit("["), t, F.lit("]")))
-        ok = ok & F.coalesce(whole == 1, F.lit(False))
-    ok = F.coalesce(ok, F.lit(False))
-    value = F.when(ok, zero_fill(parsed, schema))
-    return value, ok
+def _decoded(text: Column, schema: T.StructType, strict: bool, strings: list[str],
+             times: list[str], ts_format: str) -> Column:
+    """struct<ok boolean, value struct> with a single parse of ``text``."""
+    wire = _wire_schema(schema, strings + times)
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+
+    def on_parse(t: Column, p: Column) -> Column:
+        def vtype(n):
+            return F.schema_of_variant(p.getField(n))
+
+        def as_string(n):
+            return F.when(vtype(n) == "STRING", F.variant_get(p.getField(n), "$", "string"))
+
+        typed = {n: as_string(n) for n in strings}
+        ts_text = {n: as_string(n) for n in times}
+        typed.update({n: F.try_to_timestamp(ts_text[n], F.lit(ts_format)) for n in times})
+        types_ok = _all([p.getField(n).isNull() | vtype(n).isin("STRING", "VOID")
+                         for n in strings + times])
+        times_ok = _all([ts_text[n].isNull() | typed[n].isNotNull() for n in times])
+        trimmed = F.trim(t)
+        null_doc = trimmed == "null" if strict else trimmed.startswith("null")
+        ok = (t.isNotNull() & (trimmed != "") & p.isNotNull()
+              & (p.getField(CORRUPT).isNull() | null_doc) & types_ok & times_ok)
+        if strict:
+            whole = F.json_array_length(F.concat(F.lit("["), t, F.lit("]")))
+            ok = ok & F.coalesce(whole == 1, F.lit(False))
+        ok = F.coalesce(ok, F.lit(False))
+        fields = F.struct(*[(typed[f.name] if f.name in typed else p.getField(f.name)).alias(f.name)
+                            for f in schema.fields])
+        return F.struct(ok.alias("ok"), F.when(ok, zero_fill(fields, schema)).alias("value"))
+
+    return F.transform(F.array(text), lambda t: F.transform(
+        F.array(F.from_json(t, wire, opts)), lambda p: on_parse(t, p))[0])[0]
+
+
+def _col(text: str | Column) -> Column:
+    return F.col(text) if isinstance(text, str) else text
+
+
+def product_struct(text: str | Column) -> Column:
+    return _decoded(_col(text), PRODUCT, True, PRODUCT_STRINGS, [], TS_FORMAT)
+
+
+def order_struct(text: str | Column, *, strict: bool, ts_format: str = TS_FORMAT) -> Column:
+    return _decoded(_col(text), ORDER, strict, ORDER_STRINGS, ORDER_TIMES, ts_format)
 
 
 def decode_product(text: str | Column) -> tuple[Column, Column]:
-    """Strict product decode (whole body must be one JSON document)."""
-    return decode(text, PRODUCT, strict=True,
-                  string_fields=["sku", "manufacturer", "name", "category", "description", "brand"])
+    """Strict product decode -> (zero-filled value or NULL, ok)."""
+    d = product_struct(text)
+    return d.getField("value"), d.getField("ok")
 
 
 def decode_order(text: str | Column, *, strict: bool) -> tuple[Column, Column]:
     """S6 (strict=False, request side) / S7 (strict=True, consumer side)."""
-    return decode(text, ORDER, strict=strict, string_fields=["order_id", "status", "created_at"])
+    d = order_struct(text, strict=strict)
+    return d.getField("value"), d.getField("ok")
+
+
+def decode_rows(df: DataFrame, decoded: Column) -> DataFrame:
+    """Add ``ok`` and ``value`` columns, parsing each row once (generator)."""
+    return df.select("*", F.inline(F.array(decoded)))
 
 
 def encode(struct_col: Column, timestamp_format: str = TS_FORMAT) -> Column:
@@ -85,10 +117,7 @@ def encode(struct_col: Column, timestamp_format: str = TS_FORMAT) -> Column:
     return F.to_json(struct_col, {"timestampFormat": timestamp_format})
 
 
-def split_decoded(df: DataFrame, text: str, decoder) -> tuple[DataFrame, DataFrame]:
-    """(good rows with a decoded ``value`` struct, poison rows with the raw text)."""
-    value, ok = decoder(text)
-    tagged = df.withColumn("_ok", ok).withColumn("value", value)
-    good = tagged.where("_ok").drop("_ok")
-    bad = tagged.where(~F.col("_ok")).drop("_ok", "value")
-    return good, bad
+def split_decoded(df: DataFrame, decoded: Column) -> tuple[DataFrame, DataFrame]:
+    """(good rows with ``value``, poison rows without)."""
+    rows = decode_rows(df, decoded)
+    return rows.where("ok").drop("ok"), rows.where(~F.col("ok")).drop("ok", "value")

@@ -61,9 +61,8 @@ def accept(requests: DataFrame, *, body: str = "body", now: Column | None = None
 
     Rejected: undecodable bodies (400 INVALID_INPUT) and messages over the
     topic's size limit (F9, 500 PUBLISH_FAILED)."""
-    value, ok = codec.decode_order(body, strict=False)
-    r = requests.withColumn("_ok", ok).withColumn("_o", value)
-    orders = r.where("_ok").select([F.col(c) for c in requests.columns] + [F.col("_o").alias("o")])
+    r = codec.decode_rows(requests, codec.order_struct(body, strict=False))
+    orders = r.where("ok").select([F.col(c) for c in requests.columns] + [F.col("value").alias("o")])
     orders = orders.withColumn("order_id", O.default_order_id(F.col("o.order_id"), generated_id))
     orders = orders.withColumn("status", F.lit(C.STATUS_PENDING))
     orders = orders.withColumn("created_at", F.current_timestamp() if now is None else now)
@@ -78,7 +77,7 @@ def accept(requests: DataFrame, *, body: str = "body", now: Column | None = None
     published = msgs.where(size_ok)
     too_big = msgs.where(~size_ok).select(F.lit(500).alias("status_code"),
                                           F.lit("PUBLISH_FAILED").alias("error"), "message_id")
-    rejected = r.where(~F.col("_ok")).select(F.lit(400).alias("status_code"),
+    rejected = r.where(~F.col("ok")).select(F.lit(400).alias("status_code"),
                                              F.lit(C.ERR_INVALID_INPUT).alias("error"),
                                              F.lit(None).cast("string").alias("message_id"))
     return published, rejected.unionByName(too_big)
@@ -111,12 +110,12 @@ def process(queue: DataFrame, *, horizon: str = RETENTION) -> tuple[DataFrame, D
 
     Poison (T4): undecodable body, oversize body or missing created_at
     (these cannot be placed on the event-time watermark)."""
-    value, ok = codec.decode_order(F.col("body"), strict=True)
     size_ok = F.octet_length("body") <= F.lit(C.MAX_MESSAGE_BYTES)
-    m = queue.withColumn("o", value).withColumn(
+    m = codec.decode_rows(queue, codec.order_struct("body", strict=True)).withColumnRenamed("value", "o")
+    m = m.withColumn(
         "reason", F.when(F.col("body").isNull(), "no body")
                    .when(~size_ok, "too large")
-                   .when(~ok, "decode")
+                   .when(~F.col("ok"), "decode")
                    .when(F.col("o.created_at").isNull(), "no created_at"))
     dead = m.where(F.col("reason").isNotNull()).select("message_id", "reason", "raw")
     good = (m.where(F.col("reason").isNull()).select("message_id", "o.*")
