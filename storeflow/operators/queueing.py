@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import materialize
 
 HOUR_US = 3_600_000_000
 
@@ -82,9 +83,10 @@ def running_sum(df: DataFrame, part: list[str], order: list[str], value: str,
 
 
 def depth_changes(fifo: DataFrame, queue: str, t_us: str) -> DataFrame:
-    """+1 at every arrival, -1 at every completion."""
-    return (fifo.select(queue, F.col(t_us).alias("ts_us"), F.lit(1).alias("delta"))
-                .unionByName(fifo.select(queue, F.col("finish_us").alias("ts_us"), F.lit(-1).alias("delta"))))
+    """+1 at every arrival, -1 at every completion (one pass over ``fifo``)."""
+    both = F.array(F.struct(F.col(t_us).alias("ts_us"), F.lit(1).alias("delta")),
+                   F.struct(F.col("finish_us").alias("ts_us"), F.lit(-1).alias("delta")))
+    return fifo.select(queue, F.inline(both))
 
 
 def backlog_depth(fifo: DataFrame, queue: str, t_us: str, width_us: int = HOUR_US) -> DataFrame:
@@ -114,22 +116,21 @@ def sample_deltas(samples: DataFrame, run: str, t: str, value: str) -> DataFrame
 def peak_and_rate(samples: DataFrame, run: str, t_us: str, value: str) -> DataFrame:
     """Peak value with its earliest time, then the build-up rate
     from the first sample to the peak: least-squares slope and end-point
-    rate (per second)."""
-    firsts = samples.groupBy(run).agg(
-        F.max(value).alias("peak"),
-        F.min_by(F.struct(F.col(t_us).alias("t"), F.col(value).alias("v")), F.col(t_us)).alias("_first"))
-    peak_t = (samples.join(firsts.select(run, "peak"), run)
-                     .where(F.col(value) == F.col("peak"))
-                     .groupBy(run).agg(F.min(t_us).alias("peak_us")))
-    s = (samples.join(peak_t, run).where(F.col(t_us) <= F.col("peak_us")))
-    slope = s.groupBy(run).agg(F.regr_slope(F.col(value).cast("double"),
-                                            F.col(t_us) / F.lit(1e6)).alias("slope_per_s"))
-    out = firsts.join(peak_t, run).join(slope, run)
-    dt = (F.col("peak_us") - F.col("_first.t")) / F.lit(1e6)
-    return out.select(run, F.col("peak").alias("peak_depth"), "peak_us",
-                      F.col("_first.t").alias("first_us"), F.col("_first.v").alias("first_depth"),
-                      "slope_per_s",
-                      F.when(dt > 0, (F.col("peak") - F.col("_first.v")) / dt).alias("endpoint_rate_per_s"))
+    rate (per second). Two aggregations over the (small, materialized)
+    sample series; the second keeps samples up to the peak."""
+    samples = materialize(samples.select(run, t_us, value))
+    v, t = F.col(value), F.col(t_us)
+    ends = samples.groupBy(run).agg(
+        F.max(v).alias("peak_depth"),
+        F.max_by(t, F.struct(v, -t)).alias("peak_us"),
+        F.min(t).alias("first_us"),
+        F.min_by(v, t).alias("first_depth"))
+    slope = (samples.join(ends.select(run, "peak_us"), run).where(t <= F.col("peak_us"))
+                    .groupBy(run).agg(F.regr_slope(v.cast("double"), t / F.lit(1e6)).alias("slope_per_s")))
+    dt = (F.col("peak_us") - F.col("first_us")) / F.lit(1e6)
+    return ends.join(slope, run).select(
+        run, "peak_depth", "peak_us", "first_us", "first_depth", "slope_per_s",
+        F.when(dt > 0, (F.col("peak_depth") - F.col("first_depth")) / dt).alias("endpoint_rate_per_s"))
 
 
 def capacity_table(demand: DataFrame, queue: str, service_s: float,

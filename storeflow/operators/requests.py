@@ -23,7 +23,7 @@ from ..sources import codec
 def outcomes(requests: DataFrame, products: DataFrame) -> DataFrame:
     pid = S.parse_request_id("product_id_text")
     is_post = F.upper("method") == "POST"
-    r = codec.decode_rows(requests, codec.product_struct(F.when(is_post, F.col("body"))))
+    r = codec.decode_rows(requests, F.when(is_post, F.col("body")), "product")
     r = (r.withColumn("path_id", pid)
           .withColumn("id_ok", S.valid_id(pid))
           .withColumn("is_post", is_post)

@@ -10,6 +10,7 @@ from ..operators import keyed as K
 from ..operators import requests as RQ
 from ..sources import catalog, tables
 from ..schemas import PRODUCT_FIELDS
+from ..session import materialize
 from .registry import register
 
 MISSING_ID_BASE = C.TRAFFIC_MISSING_ID_RANGE[0]
@@ -224,7 +225,8 @@ def product_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = catalog.from_part(tables.load(spark, sf_dir, "part"))
     out = RQ.outcomes(_post_requests(spark, sf_dir), products)
     acc = out.where(F.col("status_code") == 204).select("accepted.*")
-    acc = acc.withColumn("product_id", F.col("product_id").cast("bigint"))
+    # accepted writes are stored once (reliable checkpoint) and read three times
+    acc = materialize(acc.withColumn("product_id", F.col("product_id").cast("bigint")))
     merged = K.upsert(products, acc.select(*products.columns), "product_id")
     one = lambda df, n: df.agg(F.count(F.lit(1)).cast("bigint").alias("value")).select(
         F.lit(n).alias("metric"), "value")

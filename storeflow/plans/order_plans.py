@@ -34,7 +34,7 @@ def _decoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S8 then S6: encode each document as its JSON request body and decode it."""
     docs = _order_documents(spark, sf_dir)
     body = codec.encode(O.order_struct(docs))
-    rows = codec.decode_rows(docs.select(body.alias("body")), codec.order_struct("body", strict=False))
+    rows = codec.decode_rows(docs.select(body.alias("body")), "body", "order", strict=False)
     return rows.where("ok").select("value.*")
 
 

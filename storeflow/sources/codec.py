@@ -14,10 +14,11 @@ expressions allow (all JVM-side):
     only) tolerates it;
   * keys match exactly (Go would also accept other letter cases).
 
-The text and its parse are bound once through lambda variables, so one
-``from_json`` runs per row however many fields are read; ``decode_rows``
-splits rows through a generator, which Catalyst does not inline into a
-filter (a plain filter on the flag would parse every row twice).
+``decode_rows`` parses each row once: text and parse are computed in one
+projection and the verdict by a generator, which Catalyst does not inline
+into a filter (a plain filter on the flag would parse every row twice).
+Higher-order functions are avoided on this path: they run outside
+whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -48,39 +49,42 @@ def _all(cs: list[Column]) -> Column:
     return out
 
 
-def _decoded(text: Column, schema: T.StructType, strict: bool, strings: list[str],
-             times: list[str], ts_format: str) -> Column:
-    """struct<ok boolean, value struct> with a single parse of ``text``."""
+def _spec(kind: str, strict: bool | None):
+    if kind == "product":
+        return PRODUCT, True, PRODUCT_STRINGS, []
+    return ORDER, bool(strict), ORDER_STRINGS, ORDER_TIMES
+
+
+def _parse(t: Column, schema: T.StructType, strings: list[str], times: list[str]) -> Column:
     wire = _wire_schema(schema, strings + times)
-    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-
-    def on_parse(t: Column, p: Column) -> Column:
-        def vtype(n):
-            return F.schema_of_variant(p.getField(n))
-
-        def as_string(n):
-            return F.when(vtype(n) == "STRING", F.variant_get(p.getField(n), "$", "string"))
-
-        typed = {n: as_string(n) for n in strings}
-        ts_text = {n: as_string(n) for n in times}
-        typed.update({n: F.try_to_timestamp(ts_text[n], F.lit(ts_format)) for n in times})
-        types_ok = _all([p.getField(n).isNull() | vtype(n).isin("STRING", "VOID")
-                         for n in strings + times])
-        times_ok = _all([ts_text[n].isNull() | typed[n].isNotNull() for n in times])
-        trimmed = F.trim(t)
-        null_doc = trimmed == "null" if strict else trimmed.startswith("null")
-        ok = (t.isNotNull() & (trimmed != "") & p.isNotNull()
-              & (p.getField(CORRUPT).isNull() | null_doc) & types_ok & times_ok)
-        if strict:
-            whole = F.json_array_length(F.concat(F.lit("["), t, F.lit("]")))
-            ok = ok & F.coalesce(whole == 1, F.lit(False))
-        ok = F.coalesce(ok, F.lit(False))
-        fields = F.struct(*[(typed[f.name] if f.name in typed else p.getField(f.name)).alias(f.name)
-                            for f in schema.fields])
-        return F.struct(ok.alias("ok"), F.when(ok, zero_fill(fields, schema)).alias("value"))
-
-    return F.transform(F.array(text), lambda t: F.transform(
-        F.array(F.from_json(t, wire, opts)), lambda p: on_parse(t, p))[0])[0]
+    return F.from_json(t, wire, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+
+def _judge(t: Column, p: Column, schema: T.StructType, strict: bool, strings: list[str],
+           times: list[str], ts_format: str = TS_FORMAT) -> Column:
+    """struct<ok boolean, value struct> from the text ``t`` and its parse ``p``."""
+    def vtype(n):
+        return F.schema_of_variant(p.getField(n))
+
+    def as_string(n):
+        return F.when(vtype(n) == "STRING", F.variant_get(p.getField(n), "$", "string"))
+
+    typed = {n: as_string(n) for n in strings}
+    ts_text = {n: as_string(n) for n in times}
+    typed.update({n: F.try_to_timestamp(ts_text[n], F.lit(ts_format)) for n in times})
+    types_ok = _all([p.getField(n).isNull() | vtype(n).isin("STRING", "VOID") for n in strings + times])
+    times_ok = _all([ts_text[n].isNull() | typed[n].isNotNull() for n in times])
+    trimmed = F.trim(t)
+    null_doc = trimmed == "null" if strict else trimmed.startswith("null")
+    ok = (t.isNotNull() & (trimmed != "") & p.isNotNull()
+          & (p.getField(CORRUPT).isNull() | null_doc) & types_ok & times_ok)
+    if strict:
+        whole = F.json_array_length(F.concat(F.lit("["), t, F.lit("]")))
+        ok = ok & F.coalesce(whole == 1, F.lit(False))
+    ok = F.coalesce(ok, F.lit(False))
+    fields = F.struct(*[(typed[f.name] if f.name in typed else p.getField(f.name)).alias(f.name)
+                        for f in schema.fields])
+    return F.struct(ok.alias("ok"), F.when(ok, zero_fill(fields, schema)).alias("value"))
 
 
 def _col(text: str | Column) -> Column:
@@ -88,11 +92,17 @@ def _col(text: str | Column) -> Column:
 
 
 def product_struct(text: str | Column) -> Column:
-    return _decoded(_col(text), PRODUCT, True, PRODUCT_STRINGS, [], TS_FORMAT)
+    """Decoded product as one expression (use within a single projection)."""
+    schema, strict, strings, times = _spec("product", None)
+    t = _col(text)
+    return _judge(t, _parse(t, schema, strings, times), schema, strict, strings, times)
 
 
-def order_struct(text: str | Column, *, strict: bool, ts_format: str = TS_FORMAT) -> Column:
-    return _decoded(_col(text), ORDER, strict, ORDER_STRINGS, ORDER_TIMES, ts_format)
+def order_struct(text: str | Column, *, strict: bool) -> Column:
+    """Decoded order as one expression (use within a single projection)."""
+    schema, strict, strings, times = _spec("order", strict)
+    t = _col(text)
+    return _judge(t, _parse(t, schema, strings, times), schema, strict, strings, times)
 
 
 def decode_product(text: str | Column) -> tuple[Column, Column]:
@@ -107,9 +117,18 @@ def decode_order(text: str | Column, *, strict: bool) -> tuple[Column, Column]:
     return d.getField("value"), d.getField("ok")
 
 
-def decode_rows(df: DataFrame, decoded: Column) -> DataFrame:
-    """Add ``ok`` and ``value`` columns, parsing each row once (generator)."""
-    return df.select("*", F.inline(F.array(decoded)))
+def decode_rows(df: DataFrame, text: str | Column, kind: str, *, strict: bool | None = None) -> DataFrame:
+    """Add ``ok`` and ``value`` columns, parsing each row once.
+
+    The text and its parse are computed in one projection (common
+    subexpressions are shared there, inside whole-stage codegen); the
+    verdict is produced by a generator, which Catalyst does not inline
+    into later filters on ``ok``."""
+    schema, strict_, strings, times = _spec(kind, strict)
+    staged = df.select("*", _col(text).alias("_t"))
+    staged = staged.select("*", _parse(F.col("_t"), schema, strings, times).alias("_p"))
+    verdict = _judge(F.col("_t"), F.col("_p"), schema, strict_, strings, times)
+    return staged.select(*[F.col(c) for c in df.columns], F.inline(F.array(verdict)))
 
 
 def encode(struct_col: Column, timestamp_format: str = TS_FORMAT) -> Column:
@@ -117,7 +136,8 @@ def encode(struct_col: Column, timestamp_format: str = TS_FORMAT) -> Column:
     return F.to_json(struct_col, {"timestampFormat": timestamp_format})
 
 
-def split_decoded(df: DataFrame, decoded: Column) -> tuple[DataFrame, DataFrame]:
+def split_decoded(df: DataFrame, text: str | Column, kind: str, *,
+                  strict: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(good rows with ``value``, poison rows without)."""
-    rows = decode_rows(df, decoded)
+    rows = decode_rows(df, text, kind, strict=strict)
     return rows.where("ok").drop("ok"), rows.where(~F.col("ok")).drop("ok", "value")

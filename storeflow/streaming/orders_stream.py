@@ -61,7 +61,7 @@ def accept(requests: DataFrame, *, body: str = "body", now: Column | None = None
 
     Rejected: undecodable bodies (400 INVALID_INPUT) and messages over the
     topic's size limit (F9, 500 PUBLISH_FAILED)."""
-    r = codec.decode_rows(requests, codec.order_struct(body, strict=False))
+    r = codec.decode_rows(requests, body, "order", strict=False)
     orders = r.where("ok").select([F.col(c) for c in requests.columns] + [F.col("value").alias("o")])
     orders = orders.withColumn("order_id", O.default_order_id(F.col("o.order_id"), generated_id))
     orders = orders.withColumn("status", F.lit(C.STATUS_PENDING))
@@ -111,7 +111,7 @@ def process(queue: DataFrame, *, horizon: str = RETENTION) -> tuple[DataFrame, D
     Poison (T4): undecodable body, oversize body or missing created_at
     (these cannot be placed on the event-time watermark)."""
     size_ok = F.octet_length("body") <= F.lit(C.MAX_MESSAGE_BYTES)
-    m = codec.decode_rows(queue, codec.order_struct("body", strict=True)).withColumnRenamed("value", "o")
+    m = codec.decode_rows(queue, "body", "order", strict=True).withColumnRenamed("value", "o")
     m = m.withColumn(
         "reason", F.when(F.col("body").isNull(), "no body")
                    .when(~size_ok, "too large")
