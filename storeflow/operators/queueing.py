@@ -125,8 +125,11 @@ def peak_and_rate(samples: DataFrame, run: str, t_us: str, value: str) -> DataFr
         F.max_by(t, F.struct(v, -t)).alias("peak_us"),
         F.min(t).alias("first_us"),
         F.min_by(v, t).alias("first_depth"))
-    slope = (samples.join(ends.select(run, "peak_us"), run).where(t <= F.col("peak_us"))
-                    .groupBy(run).agg(F.regr_slope(v.cast("double"), t / F.lit(1e6)).alias("slope_per_s")))
+    # time is centred on the first sample: regressing on raw epoch seconds
+    # (~1.7e9) loses digits to cancellation
+    x = (t - F.col("first_us")) / F.lit(1e6)
+    slope = (samples.join(ends.select(run, "peak_us", "first_us"), run).where(t <= F.col("peak_us"))
+                    .groupBy(run).agg(F.regr_slope(v.cast("double"), x).alias("slope_per_s")))
     dt = (F.col("peak_us") - F.col("first_us")) / F.lit(1e6)
     return ends.join(slope, run).select(
         run, "peak_depth", "peak_us", "first_us", "first_depth", "slope_per_s",

@@ -166,8 +166,10 @@ pt as (select s.event_type, min(sample_us) as peak_us from smp s join pk using (
        where s.depth = pk.peak group by 1),
 fs as (select event_type, arg_min(sample_us, sample_us) as first_us, arg_min(depth, sample_us) as first_depth
        from smp group by 1),
-sl as (select s.event_type, regr_slope(cast(s.depth as double), s.sample_us / 1e6) as slope_per_s
-       from smp s join pt using (event_type) where s.sample_us <= pt.peak_us group by 1)
+sl as (select s.event_type,
+              regr_slope(cast(s.depth as double), (s.sample_us - fs.first_us) / 1e6) as slope_per_s
+       from smp s join pt using (event_type) join fs using (event_type)
+       where s.sample_us <= pt.peak_us group by 1)
 select pk.event_type, cast(pk.peak as bigint) as peak_depth, pt.peak_us, fs.first_us,
        cast(fs.first_depth as bigint) as first_depth, sl.slope_per_s,
        case when pt.peak_us > fs.first_us
