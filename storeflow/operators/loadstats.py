@@ -6,7 +6,7 @@ response-contract checks and run comparison (A5-A7, F8, F13-F15, J7, P11).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -17,29 +17,66 @@ def pct_name(p: float) -> str:
     return "p" + (f"{p * 100:g}").replace(".", "_")
 
 
+def exact_percentiles(df: DataFrame, by: list[str], value: str,
+                      percentiles: list[float]) -> DataFrame:
+    """Exact percentiles (linear interpolation between closest ranks) per
+    group, without placing any group in one task.
+
+    A global sort range-partitions the rows, so a group holding a third of
+    all rows is spread over many tasks. Per-partition counts (a small
+    table) give every partition's rank offset inside each group; each row's
+    rank is offset + position in its partition. Only the rows at the two
+    ranks around each target position are joined back and interpolated.
+    Returns ``by`` + one ``array<double>`` column ``percentiles``.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ranked = (rows.orderBy(*by, "_v")
+                  .withColumn("_pid", F.spark_partition_id())
+                  .withColumn("_mid", F.monotonically_increasing_id()))
+    parts = ranked.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
+    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).cast("bigint"))
+    sizes = parts.groupBy(*by).agg(F.sum("_cnt").cast("bigint").alias("_n"))
+    ranked = (ranked.join(parts.select("_pid", *by, "_off", "_first"), ["_pid", *by])
+                    .withColumn("_rank", F.col("_off") + F.col("_mid") - F.col("_first")))
+    pos = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(percentiles)])
+    targets = (sizes.select(*by, "_n", F.inline(pos))
+                    .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
+                    .withColumn("_lo", F.floor("_h").cast("bigint"))
+                    .withColumn("_hi", F.ceil("_h").cast("bigint"))
+                    .withColumn("_rank", F.explode(F.array_distinct(F.array("_lo", "_hi")))))
+    picked = targets.join(ranked.select(*by, "_rank", "_v"), [*by, "_rank"])
+    per = picked.groupBy(*by, "i", "_h", "_lo").agg(
+        F.min_by("_v", "_rank").alias("_a"), F.max_by("_v", "_rank").alias("_b"))
+    interp = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo"))
+    return (per.groupBy(*by)
+               .agg(F.sort_array(F.collect_list(F.struct("i", interp.alias("x")))).alias("_xs"))
+               .select(*by, F.transform("_xs", lambda e: e["x"]).alias("percentiles")))
+
+
 def request_stats(log: DataFrame, by: list[str], *, exact: bool = True,
                   accuracy: int = 10000, percentiles: list[float] = C.PERCENTILES) -> DataFrame:
     """A5 A6 A7 per group: count, failures, avg/min/max/median, percentiles,
     requests per second over the group's time span and success rate.
 
-    ``exact`` uses ``percentile`` (linear interpolation, value->count map
-    per group, merged across tasks); for very large groups use
-    ``exact=False`` (``percentile_approx``, bounded memory per group)."""
+    ``exact`` ranks the values with ``exact_percentiles`` (skew-safe);
+    ``exact=False`` uses ``percentile_approx`` (one pass, bounded memory)."""
     x = F.col("elapsed_ms")
-    if exact:
-        pcts = F.percentile(x, F.array(*[F.lit(p) for p in percentiles]))
-        med = F.median(x)
-    else:
-        pcts = F.percentile_approx(x, F.array(*[F.lit(p) for p in percentiles]), accuracy)
-        med = F.percentile_approx(x, F.lit(0.5), accuracy)
     fails = F.count_if(F.col("status_code") >= 400)
     n = F.count(F.lit(1))
     span_s = (F.max(F.unix_micros(F.col("ts").cast("timestamp")))
               - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / F.lit(1e6)
-    agg = log.groupBy(*by).agg(
-        n.cast("bigint").alias("requests"), fails.cast("bigint").alias("failures"),
-        F.avg(x).alias("avg_ms"), F.min(x).alias("min_ms"), F.max(x).alias("max_ms"),
-        med.alias("median_ms"), pcts.alias("_p"), span_s.alias("span_s"))
+    aggs = [n.cast("bigint").alias("requests"), fails.cast("bigint").alias("failures"),
+            F.avg(x).alias("avg_ms"), F.min(x).alias("min_ms"), F.max(x).alias("max_ms"),
+            span_s.alias("span_s")]
+    wanted = list(percentiles) + [0.5]
+    if exact:
+        agg = log.groupBy(*by).agg(*aggs).join(
+            exact_percentiles(log, by, "elapsed_ms", wanted).withColumnRenamed("percentiles", "_p"), by, "left")
+    else:
+        agg = log.groupBy(*by).agg(
+            *aggs, F.percentile_approx(x, F.array(*[F.lit(p) for p in wanted]), accuracy).alias("_p"))
+    agg = agg.withColumn("median_ms", F.col("_p")[len(percentiles)])
     cols = [F.col("_p")[i].alias(pct_name(p)) for i, p in enumerate(percentiles)]
     return agg.select(
         *by, "requests", "failures", "avg_ms", "min_ms", "max_ms", "median_ms", *cols,

@@ -107,3 +107,9 @@ def first_delivery(messages: DataFrame, key: list[str], seq: str) -> DataFrame:
 
 def order_struct(df: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in ORDER_FIELDS])
+
+
+def retained(df: DataFrame, ts: str, as_of: Column, seconds: int = C.RETENTION_SECONDS) -> DataFrame:
+    """F10 (batch): keep messages younger than the queue's retention at
+    ``as_of`` (a literal keeps the predicate pushable to the scan)."""
+    return df.where(F.col(ts) >= as_of - F.expr(f"INTERVAL {seconds} SECONDS"))

@@ -231,3 +231,14 @@ def synthetic_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = F.when(F.col("kind") == "add", F.col("error.details"))
     return out.select("request_id", "kind", "status_code", F.col("error.error").alias("error_code"),
                       rule.alias("rule"))
+
+
+@register("orders_retained", f"""
+select o_orderkey, o_custkey, o_orderdate from orders
+where o_orderdate >= (select max(o_orderdate) from orders) - interval {C.RETENTION_SECONDS} seconds
+""")
+def orders_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders still inside the 4-day retention at the newest order time."""
+    o = tables.load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    as_of = o.agg(F.max("o_orderdate")).first()[0]   # one scalar
+    return O.retained(o, "o_orderdate", F.lit(as_of))

@@ -53,3 +53,19 @@ def test_contract_checks(spark):
                                    ("invalid", 200, "{}")], "k string, s int, b string")
     got = [r[0].success for r in prods.select(LS.check_product(F.col("k"), F.col("s"), F.col("b"))).collect()]
     assert got == [True, False, True, False, True, True, False]
+
+
+def test_exact_percentiles_skewed_groups(spark):
+    import random
+    rnd = random.Random(11)
+    rows = [("hot", float(rnd.randrange(0, 5000)) / 7) for _ in range(30000)]
+    rows += [(f"g{k}", float(rnd.randrange(0, 100))) for k in range(40) for _ in range(rnd.randrange(1, 30))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    ps = [0.0, 0.25, 0.5, 0.66, 0.9, 0.999, 1.0]
+    got = {r.k: r.percentiles for r in LS.exact_percentiles(df, ["k"], "v", ps).collect()}
+    by = {}
+    for k, v in rows:
+        by.setdefault(k, []).append(v)
+    for k, vs in by.items():
+        want = [float(np.percentile(vs, p * 100)) for p in ps]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want)), k
