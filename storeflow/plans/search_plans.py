@@ -136,7 +136,8 @@ agg as (
   from hits group by q
 )
 select t.q, 200 as status_code,
-       to_json({{'products': coalesce(a.products, []), 'total_found': coalesce(a.total_found, 0)}}) as body
+       cast(to_json({{'products': coalesce(a.products, []),
+                      'total_found': coalesce(a.total_found, 0)}}) as varchar) as body
 from terms t left join agg a on a.q = t.q
 """)
 def search_response(spark: SparkSession, sf_dir: str) -> DataFrame:
