@@ -77,3 +77,23 @@ def error_record(code: str, message: str, details: str | Column | None = None) -
 def elapsed_ms(start: str | Column, end: str | Column) -> Column:
     """Elapsed milliseconds between two timestamps."""
     return (F.unix_micros(col(end)) - F.unix_micros(col(start))) / F.lit(1000.0)
+
+
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def epoch_us(df_or_type, name: str | None = None) -> Column:
+    """Epoch microseconds of a timestamp column, independent of the session
+    time zone for TIMESTAMP_NTZ (wall-clock) columns.
+
+    ``epoch_us(df, "ts")`` looks the type up in ``df``; ``epoch_us(T, col)``
+    takes a data type and a column."""
+    from pyspark.sql import types as T
+    if isinstance(df_or_type, T.DataType):
+        dt, c = df_or_type, name
+    else:
+        dt, c = df_or_type.schema[name].dataType, name
+    column = F.col(c) if isinstance(c, str) else c
+    if isinstance(dt, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), column)
+    return F.unix_micros(column.cast("timestamp"))

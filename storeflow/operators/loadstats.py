@@ -64,8 +64,8 @@ def request_stats(log: DataFrame, by: list[str], *, exact: bool = True,
     x = F.col("elapsed_ms")
     fails = F.count_if(F.col("status_code") >= 400)
     n = F.count(F.lit(1))
-    span_s = (F.max(F.unix_micros(F.col("ts").cast("timestamp")))
-              - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / F.lit(1e6)
+    t = S.epoch_us(log, "ts")
+    span_s = (F.max(t) - F.min(t)) / F.lit(1e6)
     aggs = [n.cast("bigint").alias("requests"), fails.cast("bigint").alias("failures"),
             F.avg(x).alias("avg_ms"), F.min(x).alias("min_ms"), F.max(x).alias("max_ms"),
             span_s.alias("span_s")]

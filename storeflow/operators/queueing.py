@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import scalars as S
 from ..session import materialize
 
 HOUR_US = 3_600_000_000
@@ -167,7 +168,7 @@ def capacity_rows(scenarios: DataFrame, service_s: float, rounded_rate: float |
 
 def arrivals_per_window(df: DataFrame, by: list[str], ts: str, width: str = "1 hour") -> DataFrame:
     """Tumbling-window arrival counts (same code in batch and streaming)."""
+    start = S.epoch_us(df.schema[ts].dataType, F.col("w.start"))
     return (df.groupBy(*by, F.window(F.col(ts), width).alias("w"))
               .agg(F.count(F.lit(1)).cast("bigint").alias("arrivals"))
-              .select(*by, F.unix_micros(F.col("w.start").cast("timestamp")).alias("window_start_us"),
-                      "arrivals"))
+              .select(*by, start.alias("window_start_us"), "arrivals"))

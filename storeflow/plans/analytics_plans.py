@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import scalars as S
 from ..operators import loadstats as LS
 from ..operators import queueing as Q
 from ..sources import tables
@@ -25,13 +26,12 @@ def _request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = tables.load(spark, sf_dir, "events")
     return ev.select(F.lit("GET").alias("method"), F.col("event_type").alias("name"),
                      F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
-                     F.col("value").alias("elapsed_ms"), F.col("ts").cast("timestamp").alias("ts"))
+                     F.col("value").alias("elapsed_ms"), "ts")
 
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = tables.load(spark, sf_dir, "events")
-    return ev.select("event_type", "event_id",
-                     F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
+    return ev.select("event_type", "event_id", S.epoch_us(ev, "ts").alias("t_us"))
 
 
 def _fifo(spark: SparkSession, sf_dir: str, servers: int) -> DataFrame:
@@ -73,7 +73,8 @@ from s a join s b on a.name = b.name and a.run = 'first' and b.run = 'second'
 """)
 def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two halves of the observed period as two runs, compared per name."""
-    log = _request_log(spark, sf_dir).withColumn("t", F.unix_micros("ts"))
+    log = _request_log(spark, sf_dir)
+    log = log.withColumn("t", S.epoch_us(log, "ts"))
     # the midpoint is one scalar (a bounded one-row aggregate)
     mid = log.agg(((F.min("t") + F.max("t")) / 2).alias("mid")).first()["mid"]
     runs = log.withColumn("run", F.when(F.col("t") < F.lit(mid), "first").otherwise("second"))
@@ -216,8 +217,7 @@ from events group by 1, 2
 """)
 def arrivals_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals per event type and 1-hour tumbling window."""
-    ev = tables.load(spark, sf_dir, "events").select(
-        "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    ev = tables.load(spark, sf_dir, "events").select("event_type", "ts")
     return Q.arrivals_per_window(ev, ["event_type"], "ts", "1 hour")
 
 

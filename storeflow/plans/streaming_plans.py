@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..functions import scalars as S
 from ..operators import orders as O
 from ..operators import queueing as Q
 from ..session import scratch_path
@@ -25,6 +26,12 @@ COMPLETED_SCHEMA = ("order_id string, customer_id bigint, status string, n_items
 DEAD_SCHEMA = "message_id string, reason string, raw string, batch int"
 
 
+def _instant(df: DataFrame, name: str):
+    """The table's wall-clock (NTZ) time as a TIMESTAMP instant, read as
+    UTC whatever the session zone (watermarks need TIMESTAMP)."""
+    return F.timestamp_micros(S.epoch_us(df, name))
+
+
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = tables.load(spark, sf_dir, "events").schema
     return ST.table_stream(spark, sf_dir, "events.parquet", schema)
@@ -42,7 +49,7 @@ def _order_pipeline(spark: SparkSession, sf_dir: str) -> str:
     item = F.struct(F.get_json_object("props", "$.k").cast("bigint").alias("product_id"),
                     F.lit(1).cast("bigint").alias("quantity"), F.col("value").alias("price"))
     reqs = ev.where(F.col("event_type") != "error").select(
-        "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
+        "event_id", "event_type", _instant(ev, "ts").alias("ts"),
         F.to_json(F.struct(F.col("user_id").alias("customer_id"),
                            F.array(item).alias("items"))).alias("body"))
     published, _rejected = ST.accept(
@@ -97,9 +104,9 @@ def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A11 streaming: hourly arrivals with a watermark, update mode."""
     ST.use_rocksdb(spark)
     root = scratch_path(spark, "arrivals-stream")
-    ev = (_events_stream(spark, sf_dir)
-          .select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-          .withWatermark("ts", "1 hour"))
+    ev = _events_stream(spark, sf_dir)
+    ev = (ev.select("event_type", _instant(ev, "ts").alias("ts"))
+            .withWatermark("ts", "1 hour"))
     agg = Q.arrivals_per_window(ev, ["event_type"], "ts", "1 hour")
     ST.drain(ST.run_update_sink(agg, os.path.join(root, "out"), os.path.join(root, "ck")))
     return ST.latest_versions(spark, os.path.join(root, "out"), ["event_type", "window_start_us"])
