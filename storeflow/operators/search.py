@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import scalars as S
 from ..schemas import PRODUCT_FIELDS
-from .sizing import DEFAULT_BROADCAST_ROWS, small_side
+from ..session import materialize
+from .sizing import DEFAULT_BROADCAST_ROWS
 
 KEY = ["q_lower", "max_check", "max_results"]
 GRAM = 3
@@ -88,23 +89,35 @@ def _candidates(prod: DataFrame, keys: DataFrame, broadcastable: bool,
     return pg.join(kg, cond, "inner").drop(pg["gram"]).drop(kg["gram"])
 
 
+def search_keys(keys: DataFrame) -> tuple[DataFrame, dict]:
+    """Materialize the distinct search keys once and read their statistics
+    in one small job: count (broadcast gate), largest max_check (static
+    range predicate), largest max_results (window group limit) and the
+    gram lengths needed by the equi-join path."""
+    keys = materialize(keys.select(*KEY).distinct(), "search-keys")
+    r = keys.agg(F.count(F.lit(1)).alias("n"), F.max("max_check").alias("mc"),
+                 F.max("max_results").alias("mr"),
+                 F.collect_set(F.least(F.char_length("q_lower"), F.lit(GRAM))).alias("gl")).first()
+    stats = {"n": int(r["n"]), "max_check": int(r["mc"] or 0),
+             "max_results": int(r["mr"] or C.DEFAULT_MAX_RESULTS), "gram_lengths": list(r["gl"] or [])}
+    return keys, stats
+
+
 def match_positions(products: DataFrame, keys: DataFrame, *, bounded: bool = True,
                     wrap: int = C.SEARCH_WRAP,
-                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                    stats: dict | None = None) -> DataFrame:
     """Every (key, probe position, product) hit; duplicates from the wrap are kept.
 
     ``keys`` has columns q_lower, max_check, max_results. With
-    ``bounded=False`` the whole catalog is probed in id order.
+    ``bounded=False`` the whole catalog is probed in id order. Pass the
+    output of ``search_keys`` as (keys, stats) to reuse its statistics.
     """
-    keys, small = small_side(keys.select(*KEY).distinct(), broadcast_rows)
-    stats = keys.agg(F.max("max_check").alias("mc"),
-                     F.collect_set(F.least(F.char_length("q_lower"), F.lit(GRAM))).alias("gl")).first()
-    if stats is None or stats["mc"] is None:
-        id_upper, gram_lengths = 0, []
-    else:
-        id_upper, gram_lengths = int(stats["mc"]), list(stats["gl"])
-    prod = _prepared_products(products, id_upper if bounded else None)
-    hits = _candidates(prod, keys, small, gram_lengths, bounded)
+    if stats is None:
+        keys, stats = search_keys(keys)
+    small = stats["n"] <= broadcast_rows
+    prod = _prepared_products(products, stats["max_check"] if bounded else None)
+    hits = _candidates(prod, keys, small, stats["gram_lengths"], bounded)
     if not bounded:
         return hits.withColumn("pos", F.col("product_id").cast("bigint")).drop("name_l", "cat_l")
     # positions of a product in the probe walk: id-1 (if id <= wrap) and
@@ -153,10 +166,9 @@ def search(products: DataFrame, requests: DataFrame, *, wrap: int = C.SEARCH_WRA
     query get 400 INVALID_INPUT (F6); the rest 200.
     """
     req = normalize_requests(requests)
-    keys = req.where("q_present").select(*KEY)
-    hits = match_positions(products, keys, wrap=wrap, broadcast_rows=broadcast_rows)
-    cap = req.agg(F.max("max_results")).first()[0] or C.DEFAULT_MAX_RESULTS
-    answers = totals(hits, keys).join(result_lists(top_matches(hits, int(cap))), KEY, "left")
+    keys, stats = search_keys(req.where("q_present").select(*KEY))
+    hits = match_positions(products, keys, wrap=wrap, broadcast_rows=broadcast_rows, stats=stats)
+    answers = totals(hits, keys).join(result_lists(top_matches(hits, stats["max_results"])), KEY, "left")
     empty = F.array().cast(answers.schema["products"].dataType)
     bad = ~F.col("q_present")
     return (req.join(answers, KEY, "left")

@@ -17,7 +17,7 @@ def bounded_count(df: DataFrame, limit: int) -> int:
 
 
 def small_side(df: DataFrame, limit: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Materialize a derived side (reliable checkpoint, so it is computed
-    once) and report whether it is small enough to broadcast."""
-    m = materialize(df)
+    """Materialize a derived side (written once to the shared folder) and
+    report whether it is small enough to broadcast."""
+    m = materialize(df, "small-side")
     return m, bounded_count(m, limit) <= limit
