@@ -114,11 +114,27 @@ def sample_deltas(samples: DataFrame, run: str, t: str, value: str) -> DataFrame
     return samples.withColumn("delta", F.col(value) - F.lag(value).over(w))
 
 
+def exact_slope(y, x_us, per: float = 1e6):
+    """Least-squares slope of integer ``y`` on integer microsecond offsets
+    ``x_us`` (offsets from the first sample, so no cancellation), per
+    second. The moments are exact DECIMAL(38,0) sums and the only rounding
+    is the final division, so every engine gets the same double."""
+    d = "decimal(38,0)"
+    x, yy = x_us.cast(d), y.cast(d)
+    n = F.count(F.lit(1)).cast(d)
+    sx, sy = F.sum(x), F.sum(yy)
+    sxy, sxx = F.sum(x * yy), F.sum(x * x)
+    num = (n * sxy - sx * sy).cast("double")
+    den = (n * sxx - sx * sx).cast("double")
+    return F.when(den != 0, num / den * F.lit(per))
+
+
 def peak_and_rate(samples: DataFrame, run: str, t_us: str, value: str) -> DataFrame:
     """Peak value with its earliest time, then the build-up rate
     from the first sample to the peak: least-squares slope and end-point
     rate (per second). Two aggregations over the (small, materialized)
-    sample series; the second keeps samples up to the peak."""
+    sample series; the second keeps samples up to the peak; the slope is
+    computed from exact integer moments (``exact_slope``)."""
     samples = materialize(samples.select(run, t_us, value))
     v, t = F.col(value), F.col(t_us)
     ends = samples.groupBy(run).agg(
@@ -126,11 +142,8 @@ def peak_and_rate(samples: DataFrame, run: str, t_us: str, value: str) -> DataFr
         F.max_by(t, F.struct(v, -t)).alias("peak_us"),
         F.min(t).alias("first_us"),
         F.min_by(v, t).alias("first_depth"))
-    # time is centred on the first sample: regressing on raw epoch seconds
-    # (~1.7e9) loses digits to cancellation
-    x = (t - F.col("first_us")) / F.lit(1e6)
     slope = (samples.join(ends.select(run, "peak_us", "first_us"), run).where(t <= F.col("peak_us"))
-                    .groupBy(run).agg(F.regr_slope(v.cast("double"), x).alias("slope_per_s")))
+                    .groupBy(run).agg(exact_slope(v, t - F.col("first_us")).alias("slope_per_s")))
     dt = (F.col("peak_us") - F.col("first_us")) / F.lit(1e6)
     return ends.join(slope, run).select(
         run, "peak_depth", "peak_us", "first_us", "first_depth", "slope_per_s",

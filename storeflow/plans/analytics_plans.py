@@ -39,7 +39,14 @@ def _fifo(spark: SparkSession, sf_dir: str, servers: int) -> DataFrame:
                          SERVICE_US, servers)
 
 
-PCT_SQL = ", ".join(f"q[{i + 1}] as {LS.pct_name(p)}" for i, p in enumerate(C.PERCENTILES))
+PCT_SQL = ", ".join(f"round(q[{i + 1}], 9) as {LS.pct_name(p)}" for i, p in enumerate(C.PERCENTILES))
+# Averages and interpolated percentiles are rounded to 9 decimals in both
+# engines: summation order differs between them in the last bits.
+DIGITS = 9
+
+
+def _rounded(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(*[F.round(c, DIGITS).alias(c) if c in cols else F.col(c) for c in df.columns])
 PCT_LIST = "[" + ", ".join(str(p) for p in C.PERCENTILES) + "]"
 
 
@@ -51,14 +58,16 @@ with s as (
          median(value) as median_ms, quantile_cont(value, {PCT_LIST}) as q,
          (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as span_s
   from events group by event_type)
-select name, requests, failures, avg_ms, min_ms, max_ms, median_ms, {PCT_SQL},
+select name, requests, failures, round(avg_ms, 9) as avg_ms, min_ms, max_ms,
+       round(median_ms, 9) as median_ms, {PCT_SQL},
        case when span_s > 0 then requests / span_s end as rps,
        (requests - failures) / requests as success_rate
 from s
 """)
 def request_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per request name: counts, latency summary, percentiles, rps."""
-    return LS.request_stats(_request_log(spark, sf_dir), ["name"])
+    st = LS.request_stats(_request_log(spark, sf_dir), ["name"])
+    return _rounded(st, ["avg_ms", "median_ms"] + [LS.pct_name(p) for p in C.PERCENTILES])
 
 
 @register("run_compare", """
@@ -66,9 +75,9 @@ with m as (select (epoch_us(min(ts)) + epoch_us(max(ts))) / 2 as mid from events
 r as (select case when epoch_us(ts) < (select mid from m) then 'first' else 'second' end as run,
              event_type as name, value from events),
 s as (select run, name, cast(count(*) as bigint) as requests, avg(value) as avg_ms from r group by run, name)
-select a.name, a.requests as first_requests, a.avg_ms as first_avg_ms,
-       b.requests as second_requests, b.avg_ms as second_avg_ms,
-       b.requests / a.requests as requests_ratio, b.avg_ms / a.avg_ms as avg_ms_ratio
+select a.name, a.requests as first_requests, round(a.avg_ms, 9) as first_avg_ms,
+       b.requests as second_requests, round(b.avg_ms, 9) as second_avg_ms,
+       b.requests / a.requests as requests_ratio, round(b.avg_ms / a.avg_ms, 9) as avg_ms_ratio
 from s a join s b on a.name = b.name and a.run = 'first' and b.run = 'second'
 """)
 def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +90,9 @@ def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = runs.groupBy("run", "name").agg(F.count(F.lit(1)).cast("bigint").alias("requests"),
                                             F.avg("elapsed_ms").alias("avg_ms"))
     cmp = LS.compare_runs(stats, "run", ["name"], ["requests", "avg_ms"], "first", "second")
-    return cmp.select("name", "first_requests", "first_avg_ms", "second_requests", "second_avg_ms",
-                      "requests_ratio", "avg_ms_ratio")
+    out = cmp.select("name", "first_requests", "first_avg_ms", "second_requests", "second_avg_ms",
+                     "requests_ratio", "avg_ms_ratio")
+    return _rounded(out, ["first_avg_ms", "second_avg_ms", "avg_ms_ratio"])
 
 
 def _fifo_sql(servers: list[int]) -> str:
@@ -167,10 +177,18 @@ pt as (select s.event_type, min(sample_us) as peak_us from smp s join pk using (
        where s.depth = pk.peak group by 1),
 fs as (select event_type, arg_min(sample_us, sample_us) as first_us, arg_min(depth, sample_us) as first_depth
        from smp group by 1),
-sl as (select s.event_type,
-              regr_slope(cast(s.depth as double), (s.sample_us - fs.first_us) / 1e6) as slope_per_s
-       from smp s join pt using (event_type) join fs using (event_type)
-       where s.sample_us <= pt.peak_us group by 1)
+sl0 as (select s.event_type, cast(count(*) as decimal(38,0)) as n,
+               sum(cast(s.sample_us - fs.first_us as decimal(38,0))) as sx,
+               sum(cast(s.depth as decimal(38,0))) as sy,
+               sum(cast(s.sample_us - fs.first_us as decimal(38,0)) * cast(s.depth as decimal(38,0))) as sxy,
+               sum(cast(s.sample_us - fs.first_us as decimal(38,0)) * cast(s.sample_us - fs.first_us as decimal(38,0))) as sxx
+        from smp s join pt using (event_type) join fs using (event_type)
+        where s.sample_us <= pt.peak_us group by 1),
+sl as (select event_type,
+              case when cast(n * sxx - sx * sx as double) <> 0
+                   then cast(n * sxy - sx * sy as double) / cast(n * sxx - sx * sx as double) * 1000000.0
+              end as slope_per_s
+       from sl0)
 select pk.event_type, cast(pk.peak as bigint) as peak_depth, pt.peak_us, fs.first_us,
        cast(fs.first_depth as bigint) as first_depth, sl.slope_per_s,
        case when pt.peak_us > fs.first_us
