@@ -6,11 +6,12 @@ response-contract checks and run comparison (A5-A7, F8, F13-F15, J7, P11).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalars as S
+from .ordering import rank_within
 
 
 def pct_name(p: float) -> str:
@@ -22,23 +23,15 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str,
     """Exact percentiles (linear interpolation between closest ranks) per
     group, without placing any group in one task.
 
-    A global sort range-partitions the rows, so a group holding a third of
-    all rows is spread over many tasks. Per-partition counts (a small
-    table) give every partition's rank offset inside each group; each row's
-    rank is offset + position in its partition. Only the rows at the two
-    ranks around each target position are joined back and interpolated.
+    Ranks come from ``ordering.rank_within`` (range-partitioned sort, so a
+    group holding a third of all rows is spread over many tasks); only the
+    rows at the two ranks around each target position are joined back and
+    interpolated.
     Returns ``by`` + one ``array<double>`` column ``percentiles``.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranked = (rows.orderBy(*by, "_v")
-                  .withColumn("_pid", F.spark_partition_id())
-                  .withColumn("_mid", F.monotonically_increasing_id()))
-    parts = ranked.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
-    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).cast("bigint"))
-    sizes = parts.groupBy(*by).agg(F.sum("_cnt").cast("bigint").alias("_n"))
-    ranked = (ranked.join(parts.select("_pid", *by, "_off", "_first"), ["_pid", *by])
-                    .withColumn("_rank", F.col("_off") + F.col("_mid") - F.col("_first")))
+    ranked = rank_within(rows, by, ["_v"], "_rank")
+    sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
     pos = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(percentiles)])
     targets = (sizes.select(*by, "_n", F.inline(pos))
                     .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))

@@ -1,11 +1,14 @@
 """Queue analytics: FIFO replay, backlog depth, samples, peaks, build-up
 rate, capacity table, arrivals per window (W3-W6, A8-A11, S14).
 
-Ordered recurrences (FIFO finish times, running depth) are computed with
-the bucket-offset method so no queue is ever one window partition: rows
-are grouped into time buckets; per-bucket aggregates (counts, maxima) form
-a small table whose prefix over buckets gives each bucket's offset; the
-ordered window then runs inside (queue, bucket) partitions only.
+Ordered recurrences (positions, FIFO finish times, running depth) never
+put a queue into one window partition. Rows are sorted with a
+range-partitioned sort (Spark samples the keys, so a queue holding a third
+of all rows is cut into many balanced blocks) and numbered inside their
+block; the numbered blocks are written once to the shared checkpoint
+folder, so every consumer sees the same numbering. Per-block aggregates
+form a small table whose prefix over blocks gives each block's offset;
+ordered windows then run inside (block, queue) only.
 Times are BIGINT microseconds throughout (exact arithmetic).
 """
 
@@ -17,28 +20,13 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import scalars as S
 from ..session import materialize
+from .ordering import prefix_before, rank_within, sorted_blocks
 
 HOUR_US = 3_600_000_000
 
 
-def _bucket(t: str, width_us: int):
-    return F.floor(F.col(t) / F.lit(width_us)).cast("bigint")
-
-
-def global_sequence(df: DataFrame, queue: str, t: str, tie: str, width_us: int = HOUR_US) -> DataFrame:
-    """0-based position per queue in (t, tie) order, via bucket offsets."""
-    d = df.withColumn("_b", _bucket(t, width_us))
-    counts = d.groupBy(queue, "_b").agg(F.count(F.lit(1)).cast("bigint").alias("_cnt"))
-    wb = Window.partitionBy(queue).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wb), F.lit(0)).cast("bigint"))
-    wi = Window.partitionBy(queue, "_b").orderBy(t, tie)
-    return (d.join(offsets.select(queue, "_b", "_off"), [queue, "_b"])
-             .withColumn("seq", F.col("_off") + F.row_number().over(wi).cast("bigint") - 1)
-             .drop("_off"))
-
-
 def fifo_finish(arrivals: DataFrame, queue: str, t_us: str, tie: str, service_us: int,
-                servers: int = C.PAYMENT_SLOTS, width_us: int = HOUR_US) -> DataFrame:
+                servers: int = C.PAYMENT_SLOTS) -> DataFrame:
     """Finish time of every arrival in a FIFO queue with ``servers``
     identical servers and fixed service time.
 
@@ -46,41 +34,37 @@ def fifo_finish(arrivals: DataFrame, queue: str, t_us: str, tie: str, service_us
     k = i div c, and finishes at (k+1)*S + max_{j<=k in lane}(a_j - j*S).
     Adds seq, lane, finish_us, response_us (finish - arrival) and
     wait_us (response - service)."""
-    S = F.lit(service_us).cast("bigint")
+    S_ = F.lit(service_us).cast("bigint")
     c = F.lit(servers).cast("bigint")
-    d = global_sequence(arrivals, queue, t_us, tie, width_us)
+    d = rank_within(arrivals, [queue], [t_us, tie], "seq")
     d = (d.withColumn("lane", F.col("seq") % c)
           .withColumn("k", F.floor(F.col("seq") / c).cast("bigint"))
-          .withColumn("_v", F.col(t_us).cast("bigint") - F.col("k") * S))
+          .withColumn("_v", F.col(t_us).cast("bigint") - F.col("k") * S_))
     key = [queue, "lane"]
-    mb = d.groupBy(*key, "_b").agg(F.max("_v").alias("_mb"))
-    wb = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = mb.withColumn("_pre", F.max("_mb").over(wb)).select(*key, "_b", "_pre")
-    wl = (Window.partitionBy(*key, "_b").orderBy("k")
+    mb = d.groupBy("_blk", *key).agg(F.max("_v").alias("_mb"))
+    prefix = prefix_before(mb, key, "_mb", "max", "_pre").select("_blk", *key, "_pre")
+    wl = (Window.partitionBy("_blk", *key).orderBy("k")
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.join(prefix, [*key, "_b"]).withColumn("_run", F.max("_v").over(wl))
+    d = d.join(prefix, ["_blk", *key]).withColumn("_run", F.max("_v").over(wl))
     best = F.greatest(F.col("_run"), F.coalesce(F.col("_pre"), F.col("_run")))
-    finish = (F.col("k") + 1) * S + best
+    finish = (F.col("k") + 1) * S_ + best
     return (d.withColumn("finish_us", finish)
              .withColumn("response_us", F.col("finish_us") - F.col(t_us))
-             .withColumn("wait_us", F.col("response_us") - S)
-             .drop("_b", "_v", "_pre", "_run", "k"))
-
-
-def running_sum(df: DataFrame, part: list[str], order: list[str], value: str,
-                bucket: Column, out: str) -> DataFrame:
-    """Running sum of ``value`` per ``part`` in ``order`` via bucket offsets:
-    per-bucket sums -> prefix over the (small) bucket table -> window inside
-    each (part, bucket). ``bucket`` must be monotone in ``order``."""
-    d = df.withColumn("_b", bucket)
-    sums = d.groupBy(*part, "_b").agg(F.sum(value).cast("bigint").alias("_s"))
-    wb = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    pre = sums.withColumn("_pre", F.coalesce(F.sum("_s").over(wb), F.lit(0)).cast("bigint"))
-    wl = (Window.partitionBy(*part, "_b").orderBy(*order)
+             .withColumn("wait_us", F.col("response_us") - S_)
+             .drop("_blk", "_v", "_pre", "_run", "k"))
+
+
+def running_sum(df: DataFrame, part: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Running sum of ``value`` per ``part`` in ``order`` over sorted blocks:
+    per-block sums -> prefix over blocks -> window inside (block, part)."""
+    b = sorted_blocks(df, part, order)
+    sums = b.groupBy("_blk", *part).agg(F.sum(value).cast("bigint").alias("_s"))
+    pre = prefix_before(sums, part, "_s", "sum", "_pre").select("_blk", *part, "_pre")
+    wl = (Window.partitionBy("_blk", *part).orderBy("_mid")
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (d.join(pre.select(*part, "_b", "_pre"), [*part, "_b"])
-             .withColumn(out, F.col("_pre") + F.sum(value).over(wl))
-             .drop("_b", "_pre"))
+    return (b.join(pre, ["_blk", *part])
+             .withColumn(out, F.coalesce("_pre", F.lit(0)).cast("bigint") + F.sum(value).over(wl))
+             .drop("_blk", "_mid", "_pre"))
 
 
 def depth_changes(fifo: DataFrame, queue: str, t_us: str) -> DataFrame:
@@ -90,22 +74,20 @@ def depth_changes(fifo: DataFrame, queue: str, t_us: str) -> DataFrame:
     return fifo.select(queue, F.inline(both))
 
 
-def backlog_depth(fifo: DataFrame, queue: str, t_us: str, width_us: int = HOUR_US) -> DataFrame:
+def backlog_depth(fifo: DataFrame, queue: str, t_us: str) -> DataFrame:
     """Queue depth after every arrival (+1) and completion (-1); at
     equal times completions are applied first."""
     ev = depth_changes(fifo, queue, t_us)
-    return running_sum(ev, [queue], ["ts_us", "delta"], "delta", _bucket("ts_us", width_us),
-                       "depth").select(queue, "ts_us", "delta", "depth")
+    return running_sum(ev, [queue], ["ts_us", "delta"], "delta", "depth").select(
+        queue, "ts_us", "delta", "depth")
 
 
-def sample_depth(changes: DataFrame, queue: str, every_us: int = HOUR_US,
-                 width_us: int = 24 * HOUR_US) -> DataFrame:
+def sample_depth(changes: DataFrame, queue: str, every_us: int = HOUR_US) -> DataFrame:
     """S14 analogue: depth at the end of each sampling period = running sum
     of the per-period net change (deterministic; no per-event window)."""
     per = (changes.withColumn("sample_us", F.floor(F.col("ts_us") / every_us).cast("bigint") * every_us)
                   .groupBy(queue, "sample_us").agg(F.sum("delta").cast("bigint").alias("net")))
-    return running_sum(per, [queue], ["sample_us"], "net", _bucket("sample_us", width_us),
-                       "depth").select(queue, "sample_us", "depth")
+    return running_sum(per, [queue], ["sample_us"], "net", "depth").select(queue, "sample_us", "depth")
 
 
 def sample_deltas(samples: DataFrame, run: str, t: str, value: str) -> DataFrame:

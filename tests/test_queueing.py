@@ -23,9 +23,11 @@ def heap_fifo(arrivals, c, s):
 def test_fifo_matches_heap(spark, c):
     rnd = random.Random(c)
     arr = [(rnd.randrange(0, 5_000_000), i) for i in range(300)]
+    # a hot queue next to small ones: blocks come from the range-partitioned sort
+    arr += [(rnd.randrange(0, 50), 1000 + i) for i in range(20)]
     s = 40_000
     df = spark.createDataFrame([("q", t, i) for t, i in arr], "q string, t_us long, id long")
-    got = {r.id: r.finish_us for r in Q.fifo_finish(df, "q", "t_us", "id", s, c, width_us=250_000).collect()}
+    got = {r.id: r.finish_us for r in Q.fifo_finish(df, "q", "t_us", "id", s, c).collect()}
     want = heap_fifo(arr, c, s)
     assert got == want
 
@@ -42,7 +44,7 @@ def test_backlog_depth_bucketed_equals_plain(spark):
     arr = [(rnd.randrange(0, 3_000_000), i) for i in range(200)]
     df = spark.createDataFrame([("q", t, i) for t, i in arr], "q string, t_us long, id long")
     f = Q.fifo_finish(df, "q", "t_us", "id", 20_000)
-    d = Q.backlog_depth(f, "q", "t_us", width_us=100_000).collect()
+    d = Q.backlog_depth(f, "q", "t_us").collect()
     evs = sorted([(r.ts_us, r.delta) for r in d])
     depth, want = 0, []
     for _, dl in evs:
