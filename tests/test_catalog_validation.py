@@ -89,3 +89,10 @@ def test_parse_request_id(spark):
 def test_positive_default(spark):
     df = spark.createDataFrame([("5",), ("0",), ("-3",), ("x",), (None,)], "v string")
     assert [r[0] for r in df.select(S.positive_or_default("v", 100)).collect()] == [5, 100, 100, 100, 100]
+
+
+def test_scan_stored_catalog(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    catalog.generate(spark, 500).write.parquet(path)
+    got = catalog.scan(spark, path)
+    assert got.count() == 500 and got.columns == [f.name for f in PRODUCT.fields]

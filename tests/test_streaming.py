@@ -55,3 +55,20 @@ def test_accept_rejects_and_publishes(spark, tmp_path):
     assert sorted(r.attributes["order_id"] for r in rows) == ["g1", "g3"]
     assert all('"status":"pending"' in r.body for r in rows)
     assert [r.status_code for r in rej.collect()] == [400]
+
+
+def test_publish_fans_out_to_every_queue(spark, tmp_path):
+    src = str(tmp_path / "requests")
+    os.makedirs(src)
+    spark.createDataFrame([(1, '{"customer_id":7,"items":[]}'), (2, '{"customer_id":8}')],
+                          "rid long, body string").write.parquet(src + "/part")
+    reqs = spark.readStream.schema("rid long, body string").parquet(src + "/part")
+    pub, _ = ST.accept(reqs, now=F.lit("2025-10-25 22:25:07").cast("timestamp"),
+                       generated_id=F.concat(F.lit("g"), F.col("rid").cast("string")),
+                       message_id=F.col("rid").cast("string"))
+    queues = [str(tmp_path / "q1"), str(tmp_path / "q2")]
+    ST.drain(ST.publish(pub.select("message_id", "attributes", "body"), queues, str(tmp_path / "ck")))
+    for q in queues:
+        rows = spark.read.text(q).collect()
+        ids = sorted(json.loads(r.value)["attributes"]["order_id"] for r in rows)
+        assert ids == ["g1", "g2"]
