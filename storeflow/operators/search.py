@@ -168,6 +168,8 @@ def search(products: DataFrame, requests: DataFrame, *, wrap: int = C.SEARCH_WRA
     req = normalize_requests(requests)
     keys, stats = search_keys(req.where("q_present").select(*KEY))
     hits = match_positions(products, keys, wrap=wrap, broadcast_rows=broadcast_rows, stats=stats)
+    # counts and result lists both read the hits: evaluate the theta join once
+    hits = materialize(hits, "search-hits")
     answers = totals(hits, keys).join(result_lists(top_matches(hits, stats["max_results"])), KEY, "left")
     empty = F.array().cast(answers.schema["products"].dataType)
     bad = ~F.col("q_present")
