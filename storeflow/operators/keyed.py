@@ -66,3 +66,13 @@ def net_new_count(base: DataFrame, updates: DataFrame, key: str | list[str]) ->
     keys = [key] if isinstance(key, str) else list(key)
     new_keys = updates.select(*keys).distinct().join(base.select(*keys), keys, "left_anti")
     return new_keys.agg(F.count(F.lit(1)).cast("bigint").alias("net_new"))
+
+
+def write_version(df: DataFrame, root: str, version: int) -> str:
+    """Store a catalog version as ``<root>/version=<n>`` and return its path.
+    Plain parquet has no row-level MERGE, so an upsert result read from
+    version n is written as version n+1; an existing version is never
+    overwritten (the write fails instead)."""
+    path = f"{root.rstrip('/')}/version={int(version)}"
+    df.write.mode("errorifexists").parquet(path)
+    return path

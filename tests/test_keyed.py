@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from storeflow import constants as C
@@ -49,3 +50,15 @@ def test_request_outcomes_order_of_checks(spark):
     assert out[10].error.message == C.MSG_ID_MISMATCH   # null body -> zero product
     assert out[11].status_code == 400
     assert F is not None
+
+
+def test_upsert_writes_new_version(spark, tmp_path):
+    root = str(tmp_path / "catalog")
+    v1 = K.write_version(catalog.generate(spark, 10), root, 1)
+    base = spark.read.parquet(v1)
+    upd = catalog.generate(spark, 12).where("product_id > 8").withColumn("seq", F.lit(1))
+    v2 = K.write_version(K.upsert(base, upd, "product_id", "seq"), root, 2)
+    assert v1.endswith("version=1") and v2.endswith("version=2")
+    assert spark.read.parquet(v1).count() == 10 and spark.read.parquet(v2).count() == 12
+    with pytest.raises(Exception):
+        K.write_version(base, root, 1)
