@@ -74,19 +74,22 @@ def _candidates(prod: DataFrame, keys: DataFrame, broadcastable: bool,
         return prod.join(F.broadcast(keys), cond, "inner")
     # Exact n-gram equi-join: a key's first min(3, len) characters must occur
     # in name or category for the substring test to pass, so joining on that
-    # gram loses no match; the substring test then removes false candidates.
+    # gram loses no match. Only (product_id, gram) pairs are exploded and
+    # shuffled; candidates are joined back to the products for the
+    # substring test. A hot gram is split by AQE's skew-join handling.
     parts = []
     for k in sorted(set(gram_lengths)):
         if k == 0:
             parts.append(F.array(F.lit("")))
         else:
             parts += [_grams(F.col("name_l"), k), _grams(F.col("cat_l"), k)]
-    pg = prod.withColumn("gram", F.explode(F.array_distinct(F.concat(*parts))))
+    pg = prod.select("product_id", F.explode(F.array_distinct(F.concat(*parts))).alias("gram"))
     kg = keys.withColumn("gram", F.substring("q_lower", 1, GRAM))
-    cond = (pg["gram"] == kg["gram"]) & _text_match(kg["q_lower"])
+    cond = pg["gram"] == kg["gram"]
     if bounded:
         cond = cond & (pg["product_id"] >= C.SEARCH_START_ID) & (pg["product_id"] <= kg["max_check"])
-    return pg.join(kg, cond, "inner").drop(pg["gram"]).drop(kg["gram"])
+    cand = pg.join(kg, cond, "inner").select(pg["product_id"], *[kg[c] for c in KEY])
+    return cand.join(prod, "product_id").where(_text_match(F.col("q_lower")))
 
 
 def search_keys(keys: DataFrame) -> tuple[DataFrame, dict]:

@@ -112,17 +112,17 @@ def dedupe_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("poison_split", """
 with m as (
-  select event_id, case when event_type = 'error' then left(props, length(props) - 1)
+  select event_id, case when event_type = 'error' then props || '}'
                         else props end as msg from events)
 select event_id, not (coalesce(json_valid(msg), false) and starts_with(ltrim(msg), '{')) as poison
 from m
 """)
 def poison_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict decode of queue messages; error events carry a
-    truncated payload and go to the poison side."""
+    damaged payload (a stray closing brace) and go to the poison side."""
     ev = tables.load(spark, sf_dir, "events")
     msg = F.when(F.col("event_type") == "error",
-                 F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+                 F.concat(F.col("props"), F.lit("}"))).otherwise(F.col("props"))
     _, ok = codec.decode_order(msg, strict=True)
     return ev.select("event_id", (~ok).alias("poison"))
 

@@ -58,11 +58,11 @@ def _order_pipeline(spark: SparkSession, sf_dir: str) -> str:
     # a retrying producer publishes click orders twice (at-least-once)
     again = published.where(F.col("event_type") == "click")
     msgs = published.unionByName(again).select("message_id", "attributes", "body")
-    # another producer writes damaged payloads for error events
+    # another producer writes damaged payloads (stray brace) for error events
     raw = ev.where(F.col("event_type") == "error").select(
         F.concat(F.lit("raw-"), F.col("event_id").cast("string")).alias("message_id"),
         F.create_map().cast("map<string,string>").alias("attributes"),
-        F.expr("left(props, length(props) - 1)").alias("body"))
+        F.concat(F.col("props"), F.lit("}")).alias("body"))
     queues = [os.path.join(root, "queue-orders"), os.path.join(root, "queue-audit")]
     ST.drain(ST.publish(msgs.unionByName(raw), queues, os.path.join(root, "ck-publish")))
     done, dead = ST.process(ST.queue_stream(spark, queues[0]))
