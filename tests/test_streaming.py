@@ -72,3 +72,14 @@ def test_publish_fans_out_to_every_queue(spark, tmp_path):
         rows = spark.read.text(q).collect()
         ids = sorted(json.loads(r.value)["attributes"]["order_id"] for r in rows)
         assert ids == ["g1", "g2"]
+
+
+def test_kafka_record_mapping_round_trip(spark):
+    msgs = spark.createDataFrame([("m1", {"order_id": "o1"}, '{"order_id":"o1"}')],
+                                 "message_id string, attributes map<string,string>, body string")
+    rec = ST.to_kafka_records(msgs)
+    r = rec.first()
+    assert r.key == "o1" and r.value == '{"order_id":"o1"}'
+    back = ST.from_kafka_records(rec.select(F.col("key").cast("binary").alias("key"),
+                                            F.col("value").cast("binary").alias("value"), "headers")).first()
+    assert (back.message_id, back.attributes, back.body) == ("m1", {"order_id": "o1"}, '{"order_id":"o1"}')
