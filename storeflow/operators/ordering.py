@@ -42,3 +42,17 @@ def rank_within(df: DataFrame, part: list[str], order: list[str], out: str = "ra
     return (b.join(stats.select("_blk", *part, "_off", "_first"), ["_blk", *part])
              .withColumn(out, F.coalesce("_off", F.lit(0)).cast("bigint") + F.col("_mid") - F.col("_first"))
              .drop("_off", "_first", "_mid"))
+
+
+def previous_value(df: DataFrame, part: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``lag(value)`` per ``part`` in ``order`` over sorted blocks: inside a
+    block a block-local window; the first row of a block takes the last
+    value of the nearest earlier block holding the group (small table)."""
+    b = sorted_blocks(df, part, order)
+    last = b.groupBy("_blk", *part).agg(F.max_by(value, "_mid").alias("_last"))
+    w = Window.partitionBy(*part).orderBy("_blk")
+    carry = last.withColumn("_carry", F.lag("_last").over(w)).select("_blk", *part, "_carry")
+    wl = Window.partitionBy("_blk", *part).orderBy("_mid")
+    return (b.join(carry, ["_blk", *part])
+             .withColumn(out, F.coalesce(F.lag(value).over(wl), F.col("_carry")))
+             .drop("_blk", "_mid", "_carry"))

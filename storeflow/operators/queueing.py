@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import scalars as S
 from ..session import materialize
-from .ordering import prefix_before, rank_within, sorted_blocks
+from .ordering import prefix_before, previous_value, rank_within, sorted_blocks
 
 HOUR_US = 3_600_000_000
 
@@ -91,9 +91,10 @@ def sample_depth(changes: DataFrame, queue: str, every_us: int = HOUR_US) -> Dat
 
 
 def sample_deltas(samples: DataFrame, run: str, t: str, value: str) -> DataFrame:
-    """Sample-to-sample change of a (small) sample series."""
-    w = Window.partitionBy(run).orderBy(t)
-    return samples.withColumn("delta", F.col(value) - F.lag(value).over(w))
+    """Sample-to-sample change of a sample series (blocked ``lag``, so a
+    long series is not one window partition)."""
+    prev = previous_value(samples, [run], [t], value, "_prev")
+    return prev.withColumn("delta", F.col(value) - F.col("_prev")).drop("_prev")
 
 
 def exact_slope(y, x_us, per: float = 1e6):

@@ -115,3 +115,15 @@ def test_arrivals_per_window(spark):
         "ts", F.col("ts").cast("timestamp"))
     got = sorted((r.window_start_us, r.arrivals) for r in Q.arrivals_per_window(df, ["k"], "ts").collect())
     assert [n for _, n in got] == [2, 1]
+
+
+def test_blocked_lag_matches_plain_lag(spark):
+    from pyspark.sql import Window
+    from storeflow.operators.ordering import previous_value
+    rnd = random.Random(5)
+    rows = [("a" if i % 5 else "b", i, rnd.randrange(0, 1000)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, t long, v long")
+    got = {(r.g, r.t): r.p for r in previous_value(df, ["g"], ["t"], "v", "p").collect()}
+    want = {(r.g, r.t): r.p for r in df.withColumn(
+        "p", F.lag("v").over(Window.partitionBy("g").orderBy("t"))).collect()}
+    assert got == want
