@@ -48,7 +48,7 @@ def outcomes(requests: DataFrame, products: DataFrame) -> DataFrame:
                   S.error_record(C.ERR_NOT_FOUND, C.MSG_NOT_FOUND, C.DETAILS_NOT_FOUND))
             .when(F.col("is_post") & ~F.col("json_ok"),
                   S.error_record(C.ERR_INVALID_INPUT, C.MSG_INVALID_JSON, "malformed JSON body"))
-            .when(F.col("is_post") & (p.getField("product_id") != F.col("path_id")),
+            .when(F.col("is_post") & ~V.id_matches(p.getField("product_id"), F.col("path_id")),
                   S.error_record(C.ERR_INVALID_INPUT, C.MSG_ID_MISMATCH, C.DETAILS_ID_MISMATCH))
             .when(F.col("is_post") & rule_error.isNotNull(),
                   S.error_record(C.ERR_INVALID_INPUT, C.MSG_INVALID_DATA, rule_error)))

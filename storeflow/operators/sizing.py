@@ -1,23 +1,5 @@
-"""Size checks that gate every broadcast."""
+"""Size gates for broadcasts."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-
-from ..session import materialize
-
-# Rows of a small side that may be broadcast (keys of ~100 bytes: ~10 MB).
+# Rows of a derived small side (search keys, ~100 bytes each: ~10 MB) that
+# may be broadcast; beyond it the operators use a shuffle-based plan.
 DEFAULT_BROADCAST_ROWS = 100_000
-
-
-def bounded_count(df: DataFrame, limit: int) -> int:
-    """Count rows but stop at ``limit + 1``: the answer is exact up to the
-    limit and the work is bounded beyond it."""
-    return df.limit(limit + 1).count()
-
-
-def small_side(df: DataFrame, limit: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Materialize a derived side (written once to the shared folder) and
-    report whether it is small enough to broadcast."""
-    m = materialize(df, "small-side")
-    return m, bounded_count(m, limit) <= limit

@@ -90,3 +90,14 @@ def test_traffic_mix_drops_health(spark):
     kinds = {r.kind: r["count"] for r in t.groupBy("kind").count().collect()}
     assert "health" not in kinds and set(kinds) == {"get", "add", "missing", "invalid"}
     assert kinds["get"] > kinds["add"] > kinds["missing"]
+
+
+def test_split_decoded_and_elapsed(spark):
+    from storeflow.functions import scalars as S
+    df = spark.createDataFrame([("a", '{"customer_id":1}'), ("b", "{oops")], "id string, body string")
+    good, bad = codec.split_decoded(df, "body", "order", strict=True)
+    assert [r.id for r in good.collect()] == ["a"] and [r.id for r in bad.collect()] == ["b"]
+    assert good.first().value.customer_id == 1
+    t = spark.createDataFrame([("2025-10-25 22:25:07", "2025-10-25 22:25:10.5")], "s string, e string")
+    t = t.select(F.col("s").cast("timestamp").alias("s"), F.col("e").cast("timestamp").alias("e"))
+    assert t.select(S.elapsed_ms("s", "e")).first()[0] == 3500.0
