@@ -165,8 +165,10 @@ def search(products: DataFrame, requests: DataFrame, *, wrap: int = C.SEARCH_WRA
     """Answer a table of search requests.
 
     Returns query_id, q, status_code, products (array of product structs),
-    total_found, checked, error (struct or NULL). Requests with an empty
-    query get 400 INVALID_INPUT (F6); the rest 200.
+    total_found, checked, search_time_ms, error (struct or NULL). Requests
+    with an empty query get 400 INVALID_INPUT (F6); the rest 200.
+    ``search_time_ms`` is NULL: a batch job has no per-request wall time
+    (the JSON body omits it, as the service omits an empty search_time).
     """
     req = normalize_requests(requests)
     keys, stats = search_keys(req.where("q_present").select(*KEY))
@@ -183,6 +185,7 @@ def search(products: DataFrame, requests: DataFrame, *, wrap: int = C.SEARCH_WRA
                    F.when(bad, empty).otherwise(F.coalesce("products", empty)).alias("products"),
                    F.when(bad, F.lit(None)).otherwise(F.coalesce("total_found", F.lit(0).cast("bigint"))).alias("total_found"),
                    F.when(bad, F.lit(None)).otherwise(F.col("max_check").cast("bigint")).alias("checked"),
+                   F.lit(None).cast("double").alias("search_time_ms"),
                    F.when(bad, S.error_record(C.ERR_INVALID_INPUT, C.MSG_MISSING_QUERY,
                                               C.DETAILS_MISSING_QUERY)).alias("error")))
 
