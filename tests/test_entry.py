@@ -31,6 +31,9 @@ def test_query_matches_oracle_small(spark, name):
     for t in TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{table_path(SF, t)}')")
     df = E.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "EvalPython" not in plan and "PythonUDF" not in plan
     rel = con.sql(E.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
     order = sorted(df.columns)
@@ -38,3 +41,8 @@ def test_query_matches_oracle_small(spark, name):
     idx = [rel.columns.index(c) for c in order]
     d = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
     assert s == d
+
+
+def test_search_probe_bound_reaches_scan(spark):
+    plan = E.queries()["search_bounded"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(p_partkey,100)" in plan and "GreaterThanOrEqual(p_partkey,1)" in plan
