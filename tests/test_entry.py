@@ -44,5 +44,9 @@ def test_query_matches_oracle_small(spark, name):
 
 
 def test_search_probe_bound_reaches_scan(spark):
-    plan = E.queries()["search_bounded"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    from storeflow.operators import search as SR
+    from storeflow.sources import catalog, tables
+    products = catalog.from_part(tables.load(spark, SF, "part"))
+    keys = spark.createDataFrame([("ring", 100, 20)], "q_lower string, max_check int, max_results int")
+    plan = SR.match_positions(products, keys)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(p_partkey,100)" in plan and "GreaterThanOrEqual(p_partkey,1)" in plan
