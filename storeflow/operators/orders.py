@@ -77,10 +77,12 @@ def async_response(orders: DataFrame, message_id: Column) -> DataFrame:
                          message_id.alias("message_id"))
 
 
-def unnest(orders: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """One row per item with its position (orders without items vanish)."""
+def unnest(orders: DataFrame, keep: list[str] | None = None, outer: bool = False) -> DataFrame:
+    """One row per item with its position. Orders without items vanish,
+    or (``outer=True``) keep one row with NULL item columns."""
     keep = keep or ["order_id"]
-    return (orders.select(*keep, F.posexplode("items").alias("line_no", "item"))
+    gen = F.posexplode_outer("items") if outer else F.posexplode("items")
+    return (orders.select(*keep, gen.alias("line_no", "item"))
                   .select(*keep, "line_no", "item.product_id", "item.quantity", "item.price"))
 
 

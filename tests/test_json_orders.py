@@ -101,3 +101,11 @@ def test_split_decoded_and_elapsed(spark):
     t = spark.createDataFrame([("2025-10-25 22:25:07", "2025-10-25 22:25:10.5")], "s string, e string")
     t = t.select(F.col("s").cast("timestamp").alias("s"), F.col("e").cast("timestamp").alias("e"))
     assert t.select(S.elapsed_ms("s", "e")).first()[0] == 3500.0
+
+
+def test_unnest_outer_keeps_empty_orders(spark):
+    df = spark.createDataFrame([("a", [(1, 2, 9.99), (3, 1, 5.0)]), ("b", [])],
+                               "order_id string, items array<struct<product_id:bigint,quantity:bigint,price:double>>")
+    assert O.unnest(df).count() == 2
+    rows = O.unnest(df, outer=True).orderBy("order_id", "line_no").collect()
+    assert [(r.order_id, r.line_no, r.product_id) for r in rows] == [("a", 0, 1), ("a", 1, 3), ("b", None, None)]
