@@ -242,3 +242,15 @@ def orders_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = tables.load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     as_of = o.agg(F.max("o_orderdate")).first()[0]   # one scalar
     return O.retained(o, "o_orderdate", F.lit(as_of))
+
+
+@register("order_lines_outer", """
+select cast(o_orderkey as varchar) as order_id, l_partkey as product_id,
+       cast(l_quantity as bigint) as quantity
+from orders left join lineitem on l_orderkey = o_orderkey
+""")
+def order_lines_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P13 (outer): every order's lines; an order without items keeps one
+    row with NULL item columns."""
+    lines = O.unnest(_decoded_documents(spark, sf_dir), outer=True)
+    return lines.select("order_id", "product_id", "quantity")
