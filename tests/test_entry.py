@@ -50,3 +50,12 @@ def test_search_probe_bound_reaches_scan(spark):
     keys = spark.createDataFrame([("ring", 100, 20)], "q_lower string, max_check int, max_results int")
     plan = SR.match_positions(products, keys)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(p_partkey,100)" in plan and "GreaterThanOrEqual(p_partkey,1)" in plan
+
+
+def test_single_split_tables_are_spread(spark):
+    from pyspark.sql import functions as F
+    from storeflow.sources import tables
+    df = tables.load(spark, SF, "part")
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = df.where(F.col("p_partkey") <= 5).select("p_name")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(p_partkey,5)" in plan and "ReadSchema: struct<p_partkey:bigint,p_name:string>" in plan

@@ -127,3 +127,14 @@ def test_blocked_lag_matches_plain_lag(spark):
     want = {(r.g, r.t): r.p for r in df.withColumn(
         "p", F.lag("v").over(Window.partitionBy("g").orderBy("t"))).collect()}
     assert got == want
+
+
+def test_exact_slope_matches_numpy(spark):
+    import numpy as np
+    rnd = random.Random(9)
+    xs = sorted(rnd.sample(range(0, 10_000_000_000), 200))
+    ys = [rnd.randrange(0, 5000) for _ in xs]
+    df = spark.createDataFrame(list(zip(xs, ys)), "x long, y long")
+    got = df.agg(Q.exact_slope(F.col("y"), F.col("x"))).first()[0]
+    want = np.polyfit(np.array(xs, dtype=float) / 1e6, np.array(ys, dtype=float), 1)[0]
+    assert abs(got - want) <= 1e-9 * max(1.0, abs(want))
