@@ -138,3 +138,23 @@ def test_exact_slope_matches_numpy(spark):
     got = df.agg(Q.exact_slope(F.col("y"), F.col("x"))).first()[0]
     want = np.polyfit(np.array(xs, dtype=float) / 1e6, np.array(ys, dtype=float), 1)[0]
     assert abs(got - want) <= 1e-9 * max(1.0, abs(want))
+
+
+def test_capacity_table_expands_scenarios(spark):
+    demand = spark.createDataFrame([("q", 3600, 60.0)], "q string, arrivals long, span_s double")
+    rows = {r.workers: r for r in Q.capacity_table(demand, "q", 3.0).collect()}
+    assert sorted(rows) == [1, 5, 20, 100, 182]
+    assert rows[182].workers_needed == 180 and rows[182].backlog == 0.0
+    assert round(rows[1].backlog, 6) == round(3600 - 60 / 3.0, 6)
+
+
+def test_window_start_independent_of_session_zone(spark):
+    df = spark.createDataFrame([("a", "2024-01-01 05:30:00")], "k string, ts string").select(
+        "k", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        got = Q.arrivals_per_window(df, ["k"], "ts").first().window_start_us
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == 1704085200000000  # 2024-01-01 05:00:00 as UTC wall clock

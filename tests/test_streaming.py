@@ -83,3 +83,11 @@ def test_kafka_record_mapping_round_trip(spark):
     back = ST.from_kafka_records(rec.select(F.col("key").cast("binary").alias("key"),
                                             F.col("value").cast("binary").alias("value"), "headers")).first()
     assert (back.message_id, back.attributes, back.body) == ("m1", {"order_id": "o1"}, '{"order_id":"o1"}')
+
+
+def test_latest_versions_keeps_newest_batch(spark, tmp_path):
+    out = str(tmp_path / "upd")
+    spark.createDataFrame([(1, "pending"), (2, "pending")], "k long, s string").write.parquet(out + "/batch=0")
+    spark.createDataFrame([(1, "completed")], "k long, s string").write.parquet(out + "/batch=1")
+    got = {r.k: r.s for r in ST.latest_versions(spark, out, ["k"]).collect()}
+    assert got == {1: "completed", 2: "pending"}
