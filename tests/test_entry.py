@@ -59,3 +59,13 @@ def test_single_split_tables_are_spread(spark):
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     plan = df.where(F.col("p_partkey") <= 5).select("p_name")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(p_partkey,5)" in plan and "ReadSchema: struct<p_partkey:bigint,p_name:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["fifo_finish", "queue_peak_rate", "request_stats", "search_topn"])
+def test_results_do_not_depend_on_partitioning(spark, name):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        test_query_matches_oracle_small(spark, name)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
