@@ -240,8 +240,10 @@ where o_orderdate >= (select max(o_orderdate) from orders) - interval {C.RETENTI
 def orders_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders still inside the 4-day retention at the newest order time."""
     o = tables.load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    as_of = o.agg(F.max("o_orderdate")).first()[0]   # one scalar
-    return O.retained(o, "o_orderdate", F.lit(as_of))
+    as_of = o.agg(F.max("o_orderdate").cast("string")).first()[0]   # one scalar
+    # a wall-clock (NTZ) literal: independent of the session zone, and a
+    # plain column-vs-literal predicate that reaches the parquet scan
+    return O.retained(o, "o_orderdate", F.lit(as_of).cast("timestamp_ntz"))
 
 
 @register("order_lines_outer", """
