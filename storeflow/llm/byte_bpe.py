@@ -133,7 +133,7 @@ class Ranks:
                 at = rank.argmin(axis=1)
                 best = rank[np.arange(len(live)), at]
             else:
-                best = np.full(len(live), NO_PAIR)
+                at, best = np.zeros(len(live), np.int64), np.full(len(live), NO_PAIR)
             stop = best == NO_PAIR
             if stop.any():
                 done.append((live[stop], grid[stop], size[stop]))
