@@ -259,10 +259,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """Encode every text, decode the ids again, and give digests of both:
     doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit
-    integers), decoded_sha256. One pass; no ids leave the task."""
+    integers), decoded_sha256; on request the ids too. One pass."""
     def run(batches):
         table = ranks(path)
         for rows, data, offsets in T.blocks(batches):
@@ -272,10 +272,14 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             back = memoryview(table.decode(ids).tobytes())
             byte_at = np.concatenate([[0], np.cumsum(sizes)])[first]
             texts = range(len(offsets) - 1)
-            yield pa.RecordBatch.from_arrays([
+            out = [
                 rows.column(0), pa.array(np.diff(first)),
                 pa.array([hashlib.sha256(coded[4 * first[i]: 4 * first[i + 1]]).hexdigest() for i in texts], pa.string()),
                 pa.array([hashlib.sha256(back[byte_at[i]: byte_at[i + 1]]).hexdigest() for i in texts], pa.string()),
-            ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ]
+            if with_ids:
+                out.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
 
-    return keyed_text(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return keyed_text(docs).mapInArrow(
+        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, line_dedup, merkle, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
+from . import byte_bpe, decontamination, licenses, line_dedup, merkle, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
 from .stages import documents, table
 
 #: Documents of more tokens than this are over the limit.
@@ -51,7 +51,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated(documents(spark, sf_dir))
+    return substring_dedup.repeated(documents(spark, sf_dir)).drop("removed")
 
 
 @query
@@ -70,3 +70,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, document."""
+    docs = documents(spark, sf_dir)
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))

@@ -210,3 +210,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
                     .select("fp", F.coalesce("component", "head").alias("component_id")))
     return (prints.join(classes, "fp")
                   .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
+
+
+def clean(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One document of each group stays, the one with the least doc_id; all
+    columns are kept. A null doc_id stays; rows that repeat a doc_id stay or
+    go together."""
+    gone = (near_duplicates(docs, size, max_bits).where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -11,16 +11,17 @@ becomes one symbol named after the pair. Names are 64-bit hashes of what
 they stand for, so they agree over all documents. Of the symbols inside a
 window, those whose making depends on the window's words alone (the first
 run and, in a pair round, a leading right or a trailing left symbol do not)
-are the same in every occurrence of the window. The window's sign is its
-least symbol of the highest such round; a window without one (a single
+are the same in every occurrence of the window. The window's sign is the
+longest of its symbols after ``ROUNDS`` pair rounds (of equals the least
+name), or of its last round that had any; a window without one (a single
 repeated word) is its own sign.
 
 1. Signs are few (neighbouring windows share them). Spark groups them and
    keeps those met in two documents or more.
 2. Documents meet their shared signs; only windows under a shared sign stay
    candidates, the rest of the text is done.
-3. Candidate windows are verified: grouped by two independent 64-bit hashes
-   of their words, the least doc_id of each found, and the words of windows
+3. Candidate windows are verified: grouped by 96 bits of two independent
+   hashes of their words, the least doc_id of each found, and the words of windows
    that an earlier document has are removed.
 
 Null text counts as empty (no words); a null doc_id is smaller than none
@@ -44,6 +45,9 @@ from .decontamination import _runs
 from .stages import Stage, keyed_text, release
 
 WINDOW = 13
+#: Pair rounds. More rounds make longer symbols but leave fewer of them in a
+#: window, and windows share a sign less often.
+ROUNDS = 3
 _NAME = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -78,6 +82,14 @@ def name_pairs(name: np.ndarray, joined: np.ndarray, level: int) -> tuple[np.nda
     return made[~second], place, right
 
 
+def _least_between(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least value of each range low .. high - 1 (none is empty)."""
+    least = value[low]
+    for step in range(1, int((high - low).max()) if len(low) else 0):
+        np.minimum(least, value[np.minimum(low + step, high - 1)], out=least)
+    return least
+
+
 def signs(w: T.Words, h: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(first word, sign) of all windows of a block of texts."""
     start = window_starts(w, size)
@@ -87,29 +99,34 @@ def signs(w: T.Words, h: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np
     begins = np.zeros(len(h) + 1, bool)
     begins[w.first] = True
     name, run = name_runs(h, begins[:-1])
-    # symbols low .. high - 1 of the current round depend on the window alone
+    # symbols low .. high - 1 of a round depend on the window alone
     low, high = run[start] + 1, run[start + size - 1]
     live = np.flatnonzero(low < high)
     low, high = low[live], high[live]
     first_run = np.zeros(len(name), bool)
     first_run[run[np.flatnonzero(begins[:-1])]] = True
     joined = np.append(~first_run[1:], False)
-    level = 0
-    while len(live):
-        level += 1
+    words = np.ones(len(name), np.int64)
+    for level in range(1, ROUNDS + 1):
         new, place, right = name_pairs(name, joined, level)
         a, b = low + right[low], high - ~right[high - 1]
-        last = a >= b
-        # the highest round of these windows: one or two symbols
-        sign[live[last]] = np.minimum(name[low[last]], name[high[last] - 1])
+        last = a >= b  # the highest round of these windows
+        sign[live[last]] = _least_between(_ranked(name, words), low[last], high[last])
         go = ~last
         live, low, high = live[go], place[a[go]], place[b[go] - 1] + 1
         still = np.zeros(len(new), bool)
         still[place] = joined  # of a pair, the second symbol is written last
-        name, joined = new, still
+        name, joined, words = new, still, np.bincount(place, words, len(new)).astype(np.int64)
+    sign[live] = _least_between(_ranked(name, words), low, high)
     return start, sign
 
 
+def _ranked(name: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Symbols in the order in which they are chosen as signs: longer ones
+    first, as fewer texts share them."""
+    return (name >> np.uint64(4)) | ((15 - np.minimum(words, 15)).astype(np.uint64) << np.uint64(60))
+
+
 def _second_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return T.window_hashes(T.mix(h ^ _NAME[1]), size, seed=7)
 
@@ -161,17 +178,15 @@ def _candidates(met: DataFrame, size: int) -> DataFrame:
         for rows, data, offsets in T.blocks(batches):
             w, h = _block(data, offsets)
             start, sign = signs(w, h, size)
-            text = np.searchsorted(w.first, start, "right") - 1
             lists = rows.column("signs")
-            if isinstance(lists, pa.ChunkedArray):
-                lists = lists.combine_chunks()
             n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             own = np.repeat(np.arange(len(n)), n)
-            shared = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            key = T.mix(shared + own.astype(np.uint64) * _NAME[2])
+            key = T.mix(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + own.astype(np.uint64) * _NAME[2])
+            text = np.searchsorted(w.first, start, "right") - 1
             mine = T.mix(sign + text.astype(np.uint64) * _NAME[2])
+            shared = np.isin(mine, key)
             covered = np.zeros(len(h), bool)
-            covered[start[np.isin(mine, key)]] = True
+            covered[start[shared]] = True
             text, a, b = _runs(covered, w.first)
             at = np.searchsorted(text, np.arange(len(n) + 1)).astype(np.int32)
             done = np.diff(at) == 0
@@ -195,7 +210,8 @@ def _run_starts(rows: pa.RecordBatch, w: T.Words) -> np.ndarray:
 
 
 def _windows(rows: DataFrame, size: int) -> DataFrame:
-    """(w1, w2, doc_id) of the candidate windows, once per text."""
+    """(w1, w2, doc_id) of the candidate windows, once per text: 96 bits of
+    two independent hashes stand for the words."""
     def run(batches):
         for rows, data, offsets in T.blocks(batches):
             w, h = _block(data, offsets)
@@ -204,10 +220,10 @@ def _windows(rows: DataFrame, size: int) -> DataFrame:
             text = np.searchsorted(w.first, start, "right") - 1
             pick = np.sort(_distinct(text, one))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(T.signed(one[pick])), pa.array(T.signed(two[pick])), rows.column("doc_id").take(pa.array(text[pick]))],
+                [pa.array(T.signed(one[pick])), pa.array((two[pick] >> np.uint64(32)).astype(np.uint32).view(np.int32)), rows.column("doc_id").take(pa.array(text[pick]))],
                 names=["w1", "w2", "doc_id"])
 
-    return rows.select("doc_id", "text", "runs").mapInArrow(run, "w1 bigint, w2 bigint, doc_id bigint")
+    return rows.select("doc_id", "text", "runs").mapInArrow(run, "w1 bigint, w2 int, doc_id bigint")
 
 
 def _cut(rows: DataFrame, size: int) -> DataFrame:
@@ -243,18 +259,25 @@ def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     removed words as begin, end, begin, end ..."""
     spark = docs.sparkSession
     texts = keyed_text(docs)
+    # stages are written and shuffle files released one after the other, so
+    # that no more than one round of them takes up disk
     told = Stage(document_signs(texts, size), "signs")
-    shared = told.df.groupBy("sign").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("sign")
-    lists = told.df.join(shared, "sign").groupBy("doc_id").agg(F.collect_list("sign").alias("signs"))
-    rows = Stage(_candidates(texts.join(lists, "doc_id", "left"), size), "candidates")
+    shared = Stage(told.df.groupBy("sign").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("sign"), "shared-signs")
+    release(spark)
+    lists = Stage(told.df.join(shared.df, "sign").groupBy("doc_id").agg(F.collect_list("sign").alias("signs")), "sign-lists")
     told.drop()
+    shared.drop()
+    release(spark)
+    rows = Stage(_candidates(texts.join(lists.df, "doc_id", "left"), size), "candidates")
+    lists.drop()
     release(spark)
     open_rows = rows.df.where("text is not null")
-    first = (_windows(open_rows, size).groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-             .where("a < b").select("w1", "w2", "a"))
-    repeats = (_windows(open_rows, size).join(first, ["w1", "w2"]).where("doc_id > a")
-               .groupBy("doc_id").agg(F.collect_list("w1").alias("repeats")))
-    repeats = Stage(repeats, "repeats").df
+    first = Stage(_windows(open_rows, size).groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+                  .where("a < b").select("w1", "w2", "a"), "repeated-windows")
+    release(spark)
+    repeats = Stage(_windows(open_rows, size).join(first.df, ["w1", "w2"]).where("doc_id > a")
+                    .groupBy("doc_id").agg(F.collect_list("w1").alias("repeats")), "repeats").df
+    first.drop()
     release(spark)
     cut = _cut(open_rows.join(repeats, "doc_id", "left").select("doc_id", "text", "runs", "repeats"), size)
     done = rows.df.where("text is null").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256",
