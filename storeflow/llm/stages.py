@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +45,14 @@ class Stage:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished stages: it
-    works when the driver's objects are collected, so ask for that."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner remove the shuffle files of finished stages now.
+    It works when the driver's objects are collected: Python's first, whose
+    references are given up a moment later, then the JVM's."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
