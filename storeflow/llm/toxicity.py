@@ -215,9 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     spark = docs.sparkSession
     texts = keyed_text(docs)
     taught = stage(teaching(labels), "labels")
-    found = word_counts(texts, taught).toPandas()
+    found = word_counts(texts, taught).toArrow()  # at most BUCKETS rows of numbers
     n = np.zeros((BUCKETS, 3))
-    n[found["bucket"].to_numpy(np.int64)] = found[["n", "n_toxic", "n_other"]].to_numpy(float)
+    for k, c in enumerate(("n", "n_toxic", "n_other")):
+        n[found["bucket"].to_numpy(), k] = found[c].to_numpy()
+    del found
     if n[:, 1].sum() and n[:, 2].sum():
         scores = log_odds(n[:, 0], n[:, 1], n[:, 2]) - DRIFT
         model = Model(scores.astype(np.float32), decay_rate(scores, n[:, 0]))
@@ -231,10 +233,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     if r.d and r.s:
         model.k = r.d / r.s
     step = F.round(F.least(evidence(model), F.lit(MOST_EVIDENCE)) * EVIDENCE_STEPS)
-    curve = known.groupBy(step.alias("step")).agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).toPandas()
-    if len(curve) and 0 < curve["toxic"].sum() < curve["n"].sum():
-        model.base, model.slope = _fit_curve(curve["step"].to_numpy(float) / EVIDENCE_STEPS,
-                                             curve["toxic"].to_numpy(float), curve["n"].to_numpy(float))
+    curve = known.groupBy(step.alias("step")).agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).toArrow()
+    x, toxic, total = (curve[c].to_numpy().astype(float) for c in ("step", "toxic", "n"))
+    if 0 < toxic.sum() < total.sum():
+        model.base, model.slope = _fit_curve(x / EVIDENCE_STEPS, toxic, total)
     return model, rows
 
 
