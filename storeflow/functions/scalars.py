@@ -9,7 +9,8 @@ from .. import constants as C
 
 # Go's strconv.ParseInt(s, 10, 32): optional sign then decimal digits only.
 # A regex guard is needed because a Spark cast trims surrounding spaces.
-ID_TEXT_PATTERN = r"^[+-]?[0-9]+$"
+# \z: the very end; $ would also match before a final line break.
+ID_TEXT_PATTERN = r"^[+-]?[0-9]+\z"
 
 
 def col(c: str | Column) -> Column:

@@ -11,28 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..schemas import ITEM, ORDER_FIELDS
-
-# Items per order document when lines are nested; larger orders are split
-# into several documents with the same order_id (hash-salted chunks), so
-# a single huge order is never collected into one task.
-ITEMS_PER_DOCUMENT = 64
+from ..schemas import ORDER_FIELDS
 
 
 def nest_lines(lines: DataFrame, key: str, item: Column) -> DataFrame:
-    """Nest order lines into item arrays per (key, chunk).
+    """Nest order lines into one item array per key, in one shuffle.
 
-    ``item`` is a struct column per line. The number of chunks of a key
-    follows its line count (partial count, joined back), and a line's
-    chunk is a hash of the whole line, so chunk sizes stay near
-    ``ITEMS_PER_DOCUMENT`` however skewed the keys are."""
-    counts = lines.groupBy(key).agg(F.count(F.lit(1)).alias("_lines"))
-    n_chunks = F.greatest(F.ceil(F.col("_lines") / F.lit(ITEMS_PER_DOCUMENT)), F.lit(1))
-    salted = (lines.join(counts, key)
-                   .withColumn("_item", item)
-                   .withColumn("chunk", F.pmod(F.xxhash64(*[F.col(c) for c in lines.columns]),
-                                               n_chunks.cast("bigint"))))
-    return salted.groupBy(key, "chunk").agg(F.collect_list("_item").alias("items"))
+    ``item`` is a struct column per line. An order document is one record
+    by definition (one message, one response), so a key's lines meet in one
+    row; queries that need only counts or sums aggregate the lines instead."""
+    return lines.groupBy(key).agg(F.collect_list(item).alias("items"))
 
 
 def item_count(items: str | Column = "items") -> Column:
@@ -41,13 +29,6 @@ def item_count(items: str | Column = "items") -> Column:
     return F.coalesce(F.size(c), F.lit(0)).cast("bigint")
 
 
-def items_total(items: str | Column = "items") -> Column:
-    """Sum of quantity * price over the items (0 for none)."""
-    c = F.col(items) if isinstance(items, str) else items
-    return F.aggregate(F.coalesce(c, F.array().cast(f"array<{ITEM.simpleString()}>")),
-                       F.lit(0.0), lambda acc, x: acc + x["quantity"] * x["price"])
-
-
 def default_order_id(order_id: str | Column = "order_id", generated: Column | None = None) -> Column:
     """Keep a non-empty order id, else generate one (uuid by default)."""
     c = F.col(order_id) if isinstance(order_id, str) else order_id
@@ -94,6 +75,21 @@ def process_sync(decoded: DataFrame, now: Column | None = None,
     return complete(o)
 
 
+def sync_answers(requests: DataFrame, now: Column | None = None, generated_id: Column | None = None,
+                 body: str = "body") -> DataFrame:
+    """T5 from body to answer: status_code 200 with the sync response, or 400
+    with the error record, and the other columns of the request."""
+    from ..functions.scalars import error_record
+    from ..sources import codec
+    rest = [c for c in requests.columns if c not in (body, *ORDER_FIELDS)]
+    r = codec.decode_rows(requests.select(*rest, F.col(body).alias("_body")), "_body", "order", strict=False)
+    done = process_sync(r.select(*rest, "ok", "value.*"), now, generated_id)
+    answer = F.struct(F.lit(C.MSG_ORDER_SYNC).alias("message"), "order_id", "status")
+    error = error_record(C.ERR_INVALID_INPUT, C.MSG_INVALID_BODY, "malformed JSON body")
+    return done.select(*rest, F.when(F.col("ok"), 200).otherwise(400).alias("status_code"),
+                       F.when(F.col("ok"), F.to_json(answer)).otherwise(F.to_json(error)).alias("response_body"))
+
+
 def latest_status(events: DataFrame, key: str, status: str, seq: str) -> DataFrame:
     """Current status per key from lifecycle events (partial ``max_by``)."""
     return events.groupBy(key).agg(F.max_by(status, seq).alias("status"),

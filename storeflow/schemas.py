@@ -64,6 +64,10 @@ def _zero(dt: T.DataType) -> Column:
     raise TypeError(f"no zero value for {dt}")
 
 
+def _fill_elements(array: Column, element: T.StructType) -> Column:
+    return F.transform(array, lambda x: zero_fill(x, element))
+
+
 def zero_fill(struct_col: Column, schema: T.StructType, skip: tuple[str, ...] = ()) -> Column:
     """Rebuild a decoded struct with Go zero values for absent fields."""
     parts = []
@@ -71,6 +75,8 @@ def zero_fill(struct_col: Column, schema: T.StructType, skip: tuple[str, ...] =
         v = struct_col.getField(f.name)
         if f.name in skip:
             parts.append(v.alias(f.name))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            parts.append(F.coalesce(_fill_elements(v, f.dataType.elementType), _zero(f.dataType)).alias(f.name))
         else:
             parts.append(F.coalesce(v, _zero(f.dataType)).alias(f.name))
     return F.struct(*parts)

@@ -9,6 +9,11 @@ expressions allow (all JVM-side):
     are parsed as Variant and their JSON type is checked (Spark alone
     would turn the number into text);
   * duplicate keys: the last one wins;
+  * keys and strings need double quotes; NaN and infinities, bare or quoted,
+    are no numbers;
+  * times have 0 to 9 fraction digits, cut to microseconds;
+  * absent fields are zero values, also inside items, and a null item is an
+    item of zero values;
   * strict decoding (one whole document, ``json.Unmarshal``) rejects any
     trailing text; lenient decoding (``Decoder.Decode``, first value
     only) tolerates it;
@@ -30,7 +35,10 @@ from pyspark.sql import types as T
 from ..schemas import ORDER, PRODUCT, zero_fill
 
 CORRUPT = "_corrupt_record"
+# written with microseconds; read with 0 to 9 fraction digits (the rest of
+# a nanosecond time is cut off)
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"
+TS_READ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"
 PRODUCT_STRINGS = ["sku", "manufacturer", "name", "category", "description", "brand"]
 ORDER_STRINGS = ["order_id", "status"]
 ORDER_TIMES = ["created_at"]
@@ -57,11 +65,12 @@ def _spec(kind: str, strict: bool | None):
 
 def _parse(t: Column, schema: T.StructType, strings: list[str], times: list[str]) -> Column:
     wire = _wire_schema(schema, strings + times)
-    return F.from_json(t, wire, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return F.from_json(t, wire, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+                                 "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
 
 
 def _judge(t: Column, p: Column, schema: T.StructType, strict: bool, strings: list[str],
-           times: list[str], ts_format: str = TS_FORMAT) -> Column:
+           times: list[str], ts_format: str = TS_READ_FORMAT) -> Column:
     """struct<ok boolean, value struct> from the text ``t`` and its parse ``p``."""
     def vtype(n):
         return F.schema_of_variant(p.getField(n))

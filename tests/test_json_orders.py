@@ -65,11 +65,30 @@ def test_encode_roundtrip(spark):
     assert '"created_at":"2025-10-25T22:25:07.5Z"' in r.b or '"created_at":"2025-10-25T22:25:07.500' in r.b
 
 
-def test_nest_lines_splits_large_orders(spark):
+def test_nest_lines_gives_one_document_per_order(spark):
     lines = spark.range(0, 1000).select(F.lit(1).alias("k"), F.col("id").alias("line"))
     nested = O.nest_lines(lines, "k", F.struct("line"))
-    sizes = [r[0] for r in nested.select(F.size("items")).collect()]
-    assert sum(sizes) == 1000 and len(sizes) > 1 and max(sizes) < 200
+    assert [r[0] for r in nested.select(F.size("items")).collect()] == [1000]
+    numbers = O.unnest(O.nest_lines(lines, "k", F.struct(F.col("line").alias("product_id"), F.lit(1).alias("quantity"),
+                                                         F.lit(1.0).alias("price"))), ["k"])
+    assert sorted(r.line_no for r in numbers.collect()) == list(range(1000))
+
+
+GO_VERDICTS = [  # body, decoded by the service
+    ('{"created_at":"2025-10-25T22:25:07.123456789Z"}', True), ('{"created_at":"2025-10-25T22:25:07Z"}', True),
+    ('{"created_at":"2025-10-25T22:25:07.1+02:00"}', True), ('{"created_at":"2025-10-25"}', False),
+    ("{'order_id':'a'}", False), ('{"items":[{"price":"NaN"}]}', False), ('{"items":[{"price":NaN}]}', False),
+    ('{"items":[{"price":Infinity}]}', False), ('{"items":[null,{"product_id":3}]}', True), ('{"items":[{"price":"1.5"}]}', False),
+]
+
+
+def test_decoder_gives_the_services_verdicts(spark):
+    df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(GO_VERDICTS)], "i int, body string")
+    for strict in (True, False):
+        rows = {r.i: r for r in codec.decode_rows(df, "body", "order", strict=strict).collect()}
+        assert [rows[i].ok for i in range(len(GO_VERDICTS))] == [ok for _, ok in GO_VERDICTS]
+        assert rows[0].value.created_at.microsecond == 123456
+        assert [tuple(x) for x in rows[8].value["items"]] == [(0, 0, 0.0), (3, 0, 0.0)]
 
 
 def test_synthetic_orders_ranges(spark):
