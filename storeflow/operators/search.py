@@ -7,15 +7,19 @@ Semantics per query (q, max_check, max_results):
     and an id probed twice counts twice (L1, L3);
   * a product matches when lower(q) is a literal substring of lower(name)
     or lower(category) (F7; ``%`` and ``_`` are plain characters);
+  * a catalog row counts by itself, also when ids repeat;
   * total_found counts every match, the result list keeps the first
     max_results matches in probe order (L2, W2, A3, A4).
 
 Plan shape: requests are reduced to distinct search keys first (many
-requests share a key), keys x products is matched either by a broadcast
-nested-loop join (key set size-checked) or, for large key sets, by an
-exact n-gram equi-join followed by the substring test. Counts use
-partial aggregation and the top-N uses a window group limit, so a key
-that matches a third of the catalog never sends its rows to one task.
+requests share a key). A key of n characters can only match where all its
+grams of min(n, 3) characters occur, so products meet keys in an equi-join
+on one gram of each key, the one found in the fewest products; the
+substring test follows. There is one way for every number of keys and
+products. Candidates and hits are narrow (id, row hash, position); product
+columns are joined to the result lists last. Counts use partial aggregation
+and the top-N uses a window group limit, so a key that matches a third of
+the catalog never sends its rows to one task.
 """
 
 from __future__ import annotations
@@ -27,7 +31,6 @@ from .. import constants as C
 from ..functions import scalars as S
 from ..schemas import PRODUCT_FIELDS
 from ..session import materialize
-from .sizing import DEFAULT_BROADCAST_ROWS
 
 KEY = ["q_lower", "max_check", "max_results"]
 GRAM = 3
@@ -42,75 +45,71 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
         S.positive_or_default("max_check", C.DEFAULT_MAX_CHECK).alias("max_check"),
         S.positive_or_default("max_results", C.DEFAULT_MAX_RESULTS).alias("max_results"),
         (F.coalesce(F.col("q"), F.lit("")) != "").alias("q_present"),
+        *[c for c in ("elapsed_ms",) if c in requests.columns],
     )
 
 
 def _prepared_products(products: DataFrame, id_upper: int | None) -> DataFrame:
+    """Narrow product rows: id, row hash, folded texts."""
     p = products
     if id_upper is not None:
         # L1 range predicate; reaches the parquet scan as a pushed filter.
         p = p.where((F.col("product_id") >= C.SEARCH_START_ID) & (F.col("product_id") <= id_upper))
-    return p.select(*PRODUCT_FIELDS,
+    return p.select("product_id", _row_hash().alias("_row"),
                     F.lower("name").alias("name_l"), F.lower("category").alias("cat_l"))
 
 
+def _row_hash() -> Column:
+    return F.xxhash64(*PRODUCT_FIELDS)
+
+
 def _text_match(q: Column) -> Column:
     return F.contains(F.col("name_l"), q) | F.contains(F.col("cat_l"), q)
 
 
 def _grams(text: Column, k: int) -> Column:
+    """The distinct k-character parts of a text (the empty text for k = 0)."""
+    if k == 0:
+        return F.array(F.lit(""))
     n = F.greatest(F.char_length(text) - F.lit(k - 1), F.lit(1))
     return F.filter(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, k)),
                     lambda g: F.char_length(g) == k)
 
 
-def _candidates(prod: DataFrame, keys: DataFrame, broadcastable: bool,
-                gram_lengths: list[int], bounded: bool) -> DataFrame:
-    in_range = (F.col("product_id") >= C.SEARCH_START_ID) & (F.col("product_id") <= F.col("max_check"))
-    if broadcastable:
-        cond = _text_match(F.col("q_lower"))
-        if bounded:
-            cond = in_range & cond
-        return prod.join(F.broadcast(keys), cond, "inner")
-    # Exact n-gram equi-join: a key's first min(3, len) characters must occur
-    # in name or category for the substring test to pass, so joining on that
-    # gram loses no match. Only (product_id, gram) pairs are exploded and
-    # shuffled; candidates are joined back to the products for the
-    # substring test. A hot gram is split by AQE's skew-join handling.
-    parts = []
-    for k in sorted(set(gram_lengths)):
-        if k == 0:
-            parts.append(F.array(F.lit("")))
-        else:
-            parts += [_grams(F.col("name_l"), k), _grams(F.col("cat_l"), k)]
-    pg = prod.select("product_id", F.explode(F.array_distinct(F.concat(*parts))).alias("gram"))
-    kg = keys.withColumn("gram", F.substring("q_lower", 1, GRAM))
-    cond = pg["gram"] == kg["gram"]
-    if bounded:
-        cond = cond & (pg["product_id"] >= C.SEARCH_START_ID) & (pg["product_id"] <= kg["max_check"])
-    cand = pg.join(kg, cond, "inner").select(pg["product_id"], *[kg[c] for c in KEY])
-    return cand.join(prod, "product_id").where(_text_match(F.col("q_lower")))
+def _candidates(prod: DataFrame, keys: DataFrame, gram_lengths: list[int]) -> DataFrame:
+    """(product_id, _row, key) of every match: join on the key's rarest gram,
+    then the substring test. A key with a gram that no product has matches
+    nothing; a hot gram is split by AQE's skew-join handling."""
+    lengths = sorted(set(gram_lengths)) or [GRAM]
+    in_product = F.array_distinct(F.flatten(F.array(
+        *[_grams(F.coalesce(c, F.lit("")), k) for k in lengths for c in (F.col("name_l"), F.col("cat_l"))])))
+    pg = prod.select("product_id", "_row", "name_l", "cat_l", F.explode(in_product).alias("gram"))
+    own = [F.when(F.least(F.char_length("q_lower"), F.lit(GRAM)) == k, _grams(F.col("q_lower"), k)) for k in lengths]
+    kg = keys.select(*KEY, F.explode(F.array_distinct(F.coalesce(*own))).alias("gram"))
+    met = pg.join(kg.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (kg.join(met, "gram", "left").groupBy(*KEY)
+                .agg(F.min(F.struct(F.coalesce("_n", F.lit(0).cast("bigint")).alias("n"), F.col("gram"))).alias("_g"))
+                .where("_g.n > 0").select(*KEY, F.col("_g.gram").alias("gram")))
+    return pg.join(rarest, "gram").where(_text_match(F.col("q_lower"))).select("product_id", "_row", *KEY)
 
 
 def search_keys(keys: DataFrame) -> tuple[DataFrame, dict]:
     """Materialize the distinct search keys once and read their statistics
-    in one small job: count (broadcast gate), largest max_check (static
-    range predicate), largest max_results (window group limit) and the
-    gram lengths needed by the equi-join path."""
+    in one small job: largest max_check (static range predicate), largest
+    max_results (window group limit) and the gram lengths of the equi-join."""
     keys = materialize(keys.select(*KEY).distinct(), "search-keys")
-    r = keys.agg(F.count(F.lit(1)).alias("n"), F.max("max_check").alias("mc"),
+    r = keys.agg(F.max("max_check").alias("mc"),
                  F.max("max_results").alias("mr"),
                  F.collect_set(F.least(F.char_length("q_lower"), F.lit(GRAM))).alias("gl")).first()
-    stats = {"n": int(r["n"]), "max_check": int(r["mc"] or 0),
+    stats = {"max_check": int(r["mc"] or 0),
              "max_results": int(r["mr"] or C.DEFAULT_MAX_RESULTS), "gram_lengths": list(r["gl"] or [])}
     return keys, stats
 
 
 def match_positions(products: DataFrame, keys: DataFrame, *, bounded: bool = True,
-                    wrap: int = C.SEARCH_WRAP,
-                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                    stats: dict | None = None) -> DataFrame:
-    """Every (key, probe position, product) hit; duplicates from the wrap are kept.
+                    wrap: int = C.SEARCH_WRAP, stats: dict | None = None) -> DataFrame:
+    """Every (key, product, probe position) hit as narrow rows; duplicates
+    from the wrap and from repeated ids are kept.
 
     ``keys`` has columns q_lower, max_check, max_results. With
     ``bounded=False`` the whole catalog is probed in id order. Pass the
@@ -118,19 +117,19 @@ def match_positions(products: DataFrame, keys: DataFrame, *, bounded: bool = Tru
     """
     if stats is None:
         keys, stats = search_keys(keys)
-    small = stats["n"] <= broadcast_rows
     prod = _prepared_products(products, stats["max_check"] if bounded else None)
-    hits = _candidates(prod, keys, small, stats["gram_lengths"], bounded)
+    hits = _candidates(prod, keys, stats["gram_lengths"])
     if not bounded:
-        return hits.withColumn("pos", F.col("product_id").cast("bigint")).drop("name_l", "cat_l")
+        return hits.withColumn("pos", F.col("product_id").cast("bigint"))
     # positions of a product in the probe walk: id-1 (if id <= wrap) and
-    # id-1+wrap (if id+wrap <= max_check).
+    # id-1+wrap (if id+wrap <= max_check); none beyond max_check.
     pid = F.col("product_id").cast("bigint")
     passes = F.filter(F.array(F.lit(0), F.lit(1)),
                       lambda k: ((k == 0) & (pid <= wrap)) | ((k == 1) & (pid + wrap <= F.col("max_check"))))
-    return (hits.withColumn("pass", F.explode(passes))
+    return (hits.where((F.col("product_id") >= C.SEARCH_START_ID) & (F.col("product_id") <= F.col("max_check")))
+                .withColumn("pass", F.explode(passes))
                 .withColumn("pos", pid - 1 + F.col("pass").cast("bigint") * wrap)
-                .drop("pass", "name_l", "cat_l"))
+                .drop("pass"))
 
 
 def totals(hits: DataFrame, keys: DataFrame) -> DataFrame:
@@ -145,56 +144,76 @@ def top_matches(hits: DataFrame, cap: int) -> DataFrame:
 
     ``cap`` is a literal upper bound of max_results; the literal lets
     Catalyst plan a WindowGroupLimit before the shuffle."""
-    w = Window.partitionBy(*KEY).orderBy("pos", "product_id")
+    w = Window.partitionBy(*KEY).orderBy("pos", "product_id", "_row")
     rn = F.row_number().over(w)
     return (hits.withColumn("rank", rn)
                 .where((F.col("rank") <= F.lit(cap)) & (F.col("rank") <= F.col("max_results")))
                 .withColumn("rank", F.col("rank").cast("bigint")))
 
 
-def result_lists(top: DataFrame) -> DataFrame:
-    """A4: the capped result list per key, ordered by probe position."""
+def result_lists(top: DataFrame, products: DataFrame) -> DataFrame:
+    """A4: the capped result list per key, ordered by probe position; the
+    product columns are joined to the few ranked rows only."""
+    full = products.select(*PRODUCT_FIELDS, _row_hash().alias("_row")).dropDuplicates(["product_id", "_row"])
     prod = F.struct(*[F.col(c) for c in PRODUCT_FIELDS])
-    return (top.groupBy(*KEY)
-               .agg(F.sort_array(F.collect_list(F.struct(F.col("pos"), prod.alias("p")))).alias("ps"))
+    return (top.join(full, ["product_id", "_row"]).groupBy(*KEY)
+               .agg(F.sort_array(F.collect_list(F.struct(F.col("rank"), prod.alias("p")))).alias("ps"))
                .select(*KEY, F.transform("ps", lambda x: x["p"]).alias("products")))
 
 
+def go_duration(ms: Column) -> Column:
+    """Milliseconds as the service prints a duration (1.5ms, 250µs, 1.2s)."""
+    text = lambda x: F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), "0+$", ""), "[.]$", "")
+    return (F.when(ms.isNull(), F.lit(None)).when(ms == 0, F.lit("0s"))
+             .when(ms < 0.001, F.concat(text(F.round(ms * 1e6, 0)), F.lit("ns")))
+             .when(ms < 1, F.concat(text(F.round(ms * 1e3, 3)), F.lit("µs")))
+             .when(ms < 1000, F.concat(text(F.round(ms, 6)), F.lit("ms")))
+             .otherwise(F.concat(text(F.round(ms / 1e3, 9)), F.lit("s"))))
+
+
 def search(products: DataFrame, requests: DataFrame, *, wrap: int = C.SEARCH_WRAP,
-           broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+           limit_ms: float = C.LATENCY_LIMIT_MS) -> DataFrame:
     """Answer a table of search requests.
 
     Returns query_id, q, status_code, products (array of product structs),
     total_found, checked, search_time_ms, error (struct or NULL). Requests
-    with an empty query get 400 INVALID_INPUT (F6); the rest 200.
-    ``search_time_ms`` is NULL: a batch job has no per-request wall time
-    (the JSON body omits it, as the service omits an empty search_time).
+    with an empty query get 400 INVALID_INPUT (F6). A batch job has no
+    per-request time; ``elapsed_ms``, an optional input column, brings the
+    measured one: it is given back as search_time_ms, and above ``limit_ms``
+    the answer is 503 (F8). The rest is 200.
     """
+    timed = "elapsed_ms" in requests.columns
     req = normalize_requests(requests)
     keys, stats = search_keys(req.where("q_present").select(*KEY))
-    hits = match_positions(products, keys, wrap=wrap, broadcast_rows=broadcast_rows, stats=stats)
-    # counts and result lists both read the hits: evaluate the theta join once
+    hits = match_positions(products, keys, wrap=wrap, stats=stats)
+    # counts and result lists both read the (narrow) hits
     hits = materialize(hits, "search-hits")
-    answers = totals(hits, keys).join(result_lists(top_matches(hits, stats["max_results"])), KEY, "left")
+    lists = result_lists(top_matches(hits, stats["max_results"]), products)
+    answers = totals(hits, keys).join(lists, KEY, "left")
     empty = F.array().cast(answers.schema["products"].dataType)
-    bad = ~F.col("q_present")
-    return (req.join(answers, KEY, "left")
+    error = F.when(~F.col("q_present"), S.error_record(C.ERR_INVALID_INPUT, C.MSG_MISSING_QUERY, C.DETAILS_MISSING_QUERY))
+    if timed:
+        error = error.when(F.col("elapsed_ms") > limit_ms, S.error_record(
+            C.ERR_SERVICE_UNAVAILABLE, C.MSG_SEARCH_UNAVAILABLE, C.DETAILS_SEARCH_UNAVAILABLE))
+    bad = F.col("error").isNotNull()
+    status = F.when(~F.col("q_present"), F.lit(400)).when(bad, F.lit(503)).otherwise(F.lit(200))
+    return (req.join(answers, KEY, "left").withColumn("error", error)
                .select(
-                   "query_id", "q",
-                   F.when(bad, F.lit(400)).otherwise(F.lit(200)).alias("status_code"),
+                   "query_id", "q", status.alias("status_code"),
                    F.when(bad, empty).otherwise(F.coalesce("products", empty)).alias("products"),
                    F.when(bad, F.lit(None)).otherwise(F.coalesce("total_found", F.lit(0).cast("bigint"))).alias("total_found"),
                    F.when(bad, F.lit(None)).otherwise(F.col("max_check").cast("bigint")).alias("checked"),
-                   F.lit(None).cast("double").alias("search_time_ms"),
-                   F.when(bad, S.error_record(C.ERR_INVALID_INPUT, C.MSG_MISSING_QUERY,
-                                              C.DETAILS_MISSING_QUERY)).alias("error")))
+                   (F.when(bad, F.lit(None)).otherwise(F.col("elapsed_ms")) if timed else F.lit(None)).cast("double").alias("search_time_ms"),
+                   "error"))
 
 
 def response_json(results: DataFrame) -> DataFrame:
-    """JSON body per request: the error record, or products + total_found."""
+    """JSON body per request: the error record, or products, total_found
+    and, where it was measured, search_time."""
+    timed = results.withColumn("search_time", go_duration(F.col("search_time_ms")))
     body = F.when(F.col("error").isNotNull(), F.to_json("error")).otherwise(
-        F.to_json(F.struct("products", "total_found")))
-    return results.withColumn("body", body)
+        F.to_json(F.struct("products", "total_found", "search_time")))
+    return timed.withColumn("body", body).drop("search_time")
 
 
 def search_terms(products: DataFrame) -> DataFrame:

@@ -145,3 +145,63 @@ def search_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = _products(spark, sf_dir)
     res = SR.search(products, _requests(spark, products))
     return SR.response_json(res).select("q", "status_code", "body")
+
+
+#: A small wrap, so that probes beyond it come up in small catalogs too.
+WRAP = 40
+# One request per event: the word of a part's name, with limits of all kinds
+# (absent, zero, negative, below and beyond the wrap), no word in every
+# eleventh, and the event's value as the measured time.
+REQUEST_FIELDS = {
+    "q": "case when event_id % 11 = 0 then '' else word end",
+    "max_check": "case event_id % 6 when 0 then 0 when 1 then -3 when 2 then 25 when 3 then 60 when 4 then 150 end",
+    "max_results": "case event_id % 5 when 0 then -1 when 1 then 3 when 2 then 7 when 3 then 0 else 50 end",
+    "elapsed_ms": "value * 10",
+}
+
+
+def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = tables.load(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("user_id"), F.element_at(F.split("p_name", " "), -1).alias("word"))
+    ev = tables.load(spark, sf_dir, "events").join(words, "user_id")
+    return ev.select(F.col("event_id").alias("query_id"), *[F.expr(x).alias(c) for c, x in REQUEST_FIELDS.items()])
+
+
+MIXED_SQL = f"""
+{PROD_SQL},
+words as (select p_partkey as user_id, list_last(string_split(p_name, ' ')) as word from part),
+req as (select event_id as query_id, {', '.join(f'{x} as {c}' for c, x in REQUEST_FIELDS.items())} from events join words using (user_id)),
+norm as (select query_id, q, elapsed_ms, case when max_check > 0 then max_check else {C.DEFAULT_MAX_CHECK} end as mc,
+                case when max_results > 0 then max_results else {C.DEFAULT_MAX_RESULTS} end as mr from req),
+keys as (select distinct q, mc, mr from norm where q <> ''),
+hits as (
+  select k.q, k.mc, k.mr, p.product_id, p.product_id - 1 as pos from keys k join prod p on p.product_id between 1 and least({WRAP}, k.mc)
+    and (contains(lower(p.name), lower(k.q)) or contains(lower(p.category), lower(k.q)))
+  union all
+  select k.q, k.mc, k.mr, p.product_id, p.product_id - 1 + {WRAP} from keys k join prod p on p.product_id between 1 and k.mc - {WRAP}
+    and (contains(lower(p.name), lower(k.q)) or contains(lower(p.category), lower(k.q)))),
+ranked as (select *, row_number() over (partition by q, mc, mr order by pos) as rank from hits),
+agg as (select q, mc, mr, count(*) as n, sum(case when rank <= mr then product_id end) as ids, count(case when rank <= mr then 1 end) as returned
+        from ranked group by q, mc, mr),
+answers as (
+  select query_id, norm.q, case when norm.q = '' then 400 when elapsed_ms > {C.LATENCY_LIMIT_MS} then 503 else 200 end as status_code,
+         elapsed_ms, norm.mc, coalesce(n, 0) as n, coalesce(ids, 0) as ids, coalesce(returned, 0) as returned
+  from norm left join agg on agg.q = norm.q and agg.mc = norm.mc and agg.mr = norm.mr)"""
+
+
+@register("search_mixed", f"""
+with {MIXED_SQL}
+select query_id, q, status_code, case when status_code = 200 then cast(n as bigint) end as total_found,
+       case when status_code = 200 then cast(mc as bigint) end as checked,
+       cast(case when status_code = 200 then returned else 0 end as bigint) as returned,
+       cast(case when status_code = 200 then ids else 0 end as bigint) as id_sum,
+       case when status_code = 200 then elapsed_ms end as search_time_ms
+from answers
+""")
+def search_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of all kinds, with wrap and measured time."""
+    products = _products(spark, sf_dir)
+    res = SR.search(products, mixed_requests(spark, sf_dir), wrap=WRAP)
+    ids = F.aggregate("products", F.lit(0).cast("bigint"), lambda a, x: a + x["product_id"])
+    return res.select("query_id", "q", "status_code", "total_found", "checked", F.size("products").cast("bigint").alias("returned"),
+                      ids.alias("id_sum"), "search_time_ms")

@@ -15,24 +15,10 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Read one table lazily; Catalyst prunes columns and pushes filters into
-    the parquet scan from whatever the caller selects.
-
-    A scan with fewer splits than the session's default parallelism (a
-    small table stored as one row group) is spread over that many
-    partitions, so per-row work is not left on a single core. Large
-    tables already have more splits than cores and are left untouched."""
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one table lazily (a file or a folder of part files); Catalyst
+    prunes columns and pushes filters into the parquet scan from whatever
+    the caller selects."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    df = spark.read.parquet(table_path(sf_dir, name))
-    if spread:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
-    return df
-
-
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    for n in names:
-        load(spark, sf_dir, n).createOrReplaceTempView(n)
+    return spark.read.parquet(table_path(sf_dir, name))

@@ -26,11 +26,10 @@ def run(spark, products, reqs, **kw):
     return {r.query_id: r for r in SR.search(products, df, **kw).collect()}
 
 
-@pytest.mark.parametrize("broadcast_rows", [100000, 0])
-def test_five_product_goldens(spark, broadcast_rows):
+
+def test_five_product_goldens(spark):
     res = run(spark, five(spark), [(1, "iPhone", 10, 5), (2, "Electronics", 10, 5), (3, "books", 10, 5),
-                                   (4, "Electronics", 10, 1), (5, "Apple", 10, 5), (6, "", 10, 5)],
-              broadcast_rows=broadcast_rows)
+                                   (4, "Electronics", 10, 1), (5, "Apple", 10, 5), (6, "", 10, 5)])
     assert (len(res[1].products), res[1].total_found) == (1, 1)
     assert (len(res[2].products), res[2].total_found) == (2, 2)
     assert (len(res[3].products), res[3].total_found) == (2, 2)
@@ -54,11 +53,10 @@ GENERATED = [  # q, total_found, returned, first ids
 ]
 
 
-@pytest.mark.parametrize("broadcast_rows", [100000, 0])
-def test_generated_catalog_goldens(spark, broadcast_rows):
+
+def test_generated_catalog_goldens(spark):
     cat = catalog.generate(spark)
-    res = run(spark, cat, [(i, q, 100, 20) for i, (q, *_) in enumerate(GENERATED)],
-              broadcast_rows=broadcast_rows)
+    res = run(spark, cat, [(i, q, 100, 20) for i, (q, *_) in enumerate(GENERATED)])
     for i, (q, total, returned, first) in enumerate(GENERATED):
         r = res[i]
         assert r.total_found == total, q
@@ -69,6 +67,24 @@ def test_generated_catalog_goldens(spark, broadcast_rows):
     assert last[-1] == 48
 
 
+def test_repeated_ids_count_by_row(spark):
+    rows = [(1, "a", "m", 1, 1, 1, "red rod", "Home", "", "x"), (1, "b", "m", 1, 1, 1, "a red", "Home", "", "x"),
+            (1, "b", "m", 1, 1, 1, "a red", "Home", "", "x"), (2, "c", "m", 1, 1, 1, "blue", "Toys", "", "x")]
+    res = run(spark, spark.createDataFrame(rows, PRODUCT), [(1, "red", 10, 5), (2, "e", 10, 2), (3, "zzz", 10, 5)])
+    assert res[1].total_found == 3 and sorted(p.sku for p in res[1].products) == ["a", "b", "b"]
+    assert res[2].total_found == 4 and len(res[2].products) == 2
+    assert res[3].total_found == 0 and res[3].products == []
+
+
+def test_measured_time_and_latency_guard(spark):
+    reqs = spark.createDataFrame([(1, "iphone", 10, 5, 1.5), (2, "iphone", 10, 5, 2000.0), (3, "iphone", 10, 5, 2000.1), (4, "", 10, 5, 1.0)],
+                                 "query_id bigint, q string, max_check int, max_results int, elapsed_ms double")
+    res = {r.query_id: r for r in SR.response_json(SR.search(five(spark), reqs)).collect()}
+    assert [res[i].status_code for i in (1, 2, 3, 4)] == [200, 200, 503, 400]
+    assert res[1].body.endswith('"total_found":1,"search_time":"1.5ms"}') and '"search_time":"2s"' in res[2].body
+    assert res[3].error.error == "SERVICE_UNAVAILABLE" and res[3].total_found is None
+
+
 def brute(products, q, max_check, max_results, wrap):
     by_id = {p[0]: p for p in products}
     hits = []
@@ -82,8 +98,8 @@ def brute(products, q, max_check, max_results, wrap):
     return len(hits), hits[:max_results]
 
 
-@pytest.mark.parametrize("broadcast_rows", [100000, 0])
-def test_wrap_against_brute_force(spark, broadcast_rows):
+
+def test_wrap_against_brute_force(spark):
     rnd = random.Random(7)
     words = ["red", "blue", "Gear", "rod", "ab", "b"]
     rows = [(i, f"SKU-{i}", "m", 1, 1, i, f"{rnd.choice(words)} {rnd.choice(words)}",
@@ -93,7 +109,7 @@ def test_wrap_against_brute_force(spark, broadcast_rows):
     reqs = [(k, q, mc, mr) for k, (q, mc, mr) in enumerate(
         [("red", 5, 3), ("r", 25, 4), ("o", 45, 100), ("ROD", 70, 5), ("b", 12, 2), ("gear", -1, 0),
          ("e", 64, 50)])]
-    res = run(spark, products, reqs, wrap=20, broadcast_rows=broadcast_rows)
+    res = run(spark, products, reqs, wrap=20)
     for k, q, mc, mr in reqs:
         mc2 = mc if mc > 0 else 100
         mr2 = mr if mr > 0 else 20
