@@ -51,6 +51,8 @@ MSG_ID_POSITIVE = "product_id must be a positive integer"
 ERR_INVALID_INPUT = "INVALID_INPUT"
 ERR_NOT_FOUND = "NOT_FOUND"
 ERR_SERVICE_UNAVAILABLE = "SERVICE_UNAVAILABLE"
+ERR_NO_TOPIC = "SNS_NOT_CONFIGURED"
+ERR_PUBLISH_FAILED = "PUBLISH_FAILED"
 MSG_INVALID_ID = "Invalid product ID"
 DETAILS_INVALID_ID = "Product ID must be a positive integer"
 MSG_NOT_FOUND = "Product not found"
@@ -98,6 +100,23 @@ TRAFFIC_WEIGHT_RANGE = (100, 5000)
 TRAFFIC_OTHER_ID_RANGE = (1, 1000)
 TRAFFIC_SKU_SUFFIX_RANGE = (100, 999)
 
+# --- failure texts of the response checks ----------------------------------------
+FAIL_SEARCH_STATUS = "Search failed with status %d"
+FAIL_JSON = "JSON parsing failed"
+FAIL_FIELDS = "Missing required fields in response"
+FAIL_TOO_MANY = "Too many products returned: %d"
+FAIL_TOTAL = "Invalid total_found: %d"
+FAIL_ORDER_MESSAGE = "Missing order_id or message_id in response"
+FAIL_ORDER_ID = "Missing order_id in response"
+FAIL_NOT_202 = "Expected 202, got %d"
+FAIL_JSON_RESPONSE = "Invalid JSON response"
+FAIL_STATUS = "Got status code %d"
+FAIL_STRUCTURE = "Invalid response structure"
+FAIL_PRODUCT_MISSING = "Product not found"
+FAIL_PRODUCT_ID = "Missing product_id in response"
+FAIL_NOT_404 = "Expected 404, got %d"
+FAIL_NOT_400 = "Expected 400, got %d"
+
 # --- capacity scenarios (report) ------------------------------------------------
 SCENARIO_WORKERS = [1, 5, 20, 100, 182]
 PER_WORKER_RATE_ROUNDED = 0.33

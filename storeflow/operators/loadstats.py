@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalars as S
-from .ordering import rank_within
+from ..session import materialize
+from .ordering import running_sum
 
 
 def pct_name(p: float) -> str:
@@ -21,26 +22,32 @@ def pct_name(p: float) -> str:
 def exact_percentiles(df: DataFrame, by: list[str], value: str,
                       percentiles: list[float]) -> DataFrame:
     """Exact percentiles (linear interpolation between closest ranks) per
-    group, without placing any group in one task.
+    group.
 
-    Ranks come from ``ordering.rank_within`` (range-partitioned sort, so a
-    group holding a third of all rows is spread over many tasks); only the
-    rows at the two ranks around each target position are joined back and
-    interpolated.
+    Rows are counted per (group, value) first, so equal values are one row
+    and every sort key is unique; counts get their prefix sums over
+    range-sorted blocks (a group of any size is cut into balanced blocks).
+    A value's rows hold the ranks from its prefix on; the values at the two
+    ranks around each target position are picked and interpolated.
     Returns ``by`` + one ``array<double>`` column ``percentiles``.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranked = rank_within(rows, by, ["_v"], "_rank")
-    sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
+    counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).cast("bigint").alias("_c"))
+    upto = materialize(running_sum(counts, by, ["_v"], "_c", "_upto"), "value-counts")
+    sizes = upto.groupBy(*by).agg(F.max("_upto").alias("_n"))
     pos = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(percentiles)])
-    targets = (sizes.select(*by, "_n", F.inline(pos))
+    targets = (sizes.select(*by, F.col("_n"), F.inline(pos))
                     .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
                     .withColumn("_lo", F.floor("_h").cast("bigint"))
                     .withColumn("_hi", F.ceil("_h").cast("bigint"))
-                    .withColumn("_rank", F.explode(F.array_distinct(F.array("_lo", "_hi")))))
-    picked = targets.join(ranked.select(*by, "_rank", "_v"), [*by, "_rank"])
-    per = picked.groupBy(*by, "i", "_h", "_lo").agg(
-        F.min_by("_v", "_rank").alias("_a"), F.max_by("_v", "_rank").alias("_b"))
+                    .groupBy(*by).agg(F.collect_list(F.struct("i", "_h", "_lo", "_hi")).alias("_t")))
+    # of each value, the targets that fall on one of its ranks
+    first = F.col("_upto") - F.col("_c")
+    here = F.filter("_t", lambda t: ((t["_lo"] >= first) & (t["_lo"] < F.col("_upto")))
+                    | ((t["_hi"] >= first) & (t["_hi"] < F.col("_upto"))))
+    picked = upto.join(targets, by).select(*by, "_v", F.inline(here))
+    # the lower rank's value is the least picked, the upper rank's the greatest
+    per = picked.groupBy(*by, "i", "_h", "_lo").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
     interp = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo"))
     return (per.groupBy(*by)
                .agg(F.sort_array(F.collect_list(F.struct("i", interp.alias("x")))).alias("_xs"))
@@ -52,7 +59,7 @@ def request_stats(log: DataFrame, by: list[str], *, exact: bool = True,
     """A5 A6 A7 per group: count, failures, avg/min/max/median, percentiles,
     requests per second over the group's time span and success rate.
 
-    ``exact`` ranks the values with ``exact_percentiles`` (skew-safe);
+    ``exact`` ranks value counts with ``exact_percentiles``;
     ``exact=False`` uses ``percentile_approx`` (one pass, bounded memory)."""
     x = F.col("elapsed_ms")
     fails = F.count_if(F.col("status_code") >= 400)
@@ -79,7 +86,7 @@ def request_stats(log: DataFrame, by: list[str], *, exact: bool = True,
 
 def slow_requests(log: DataFrame, limit_ms: float = C.LATENCY_LIMIT_MS) -> DataFrame:
     """F8: requests over the latency limit become 503 SERVICE_UNAVAILABLE."""
-    slow = F.col("elapsed_ms") > F.lit(limit_ms)
+    slow = F.col("elapsed_ms") > F.lit(float(limit_ms))
     return log.where(slow).withColumn("status_code", F.lit(503)).withColumn(
         "error", S.error_record(C.ERR_SERVICE_UNAVAILABLE, C.MSG_SEARCH_UNAVAILABLE,
                                 C.DETAILS_SEARCH_UNAVAILABLE))
@@ -94,11 +101,11 @@ def check_search(status: Column, body: Column) -> Column:
     n = F.json_array_length(F.get_json_object(body, "$.products"))
     total = F.get_json_object(body, "$.total_found").try_cast("bigint")
     req = _has(body, "products") & _has(body, "total_found") & _has(body, "search_time")
-    reason = (F.when(status != 200, F.format_string("Search failed with status %d", status))
-               .when(F.json_object_keys(body).isNull(), F.lit("JSON parsing failed"))
-               .when(~req, F.lit("Missing required fields in response"))
-               .when(n > C.DEFAULT_MAX_RESULTS, F.format_string("Too many products returned: %d", n))
-               .when(total < 0, F.format_string("Invalid total_found: %d", total)))
+    reason = (F.when(status != 200, F.format_string(C.FAIL_SEARCH_STATUS, status))
+               .when(F.json_object_keys(body).isNull(), F.lit(C.FAIL_JSON))
+               .when(~req, F.lit(C.FAIL_FIELDS))
+               .when(n > C.DEFAULT_MAX_RESULTS, F.format_string(C.FAIL_TOO_MANY, n))
+               .when(total < 0, F.format_string(C.FAIL_TOTAL, total)))
     return F.struct(reason.isNull().alias("success"), reason.alias("failure_reason"))
 
 
@@ -108,27 +115,27 @@ def check_order(status: Column, body: Column, *, asynchronous: bool, strict: boo
     parsed = F.json_object_keys(body).isNotNull()
     if asynchronous:
         need = _has(body, "order_id") & (_has(body, "message_id") if strict else F.lit(True))
-        miss = "Missing order_id or message_id in response" if strict else "Missing order_id in response"
-        reason = (F.when(status != 202, F.format_string("Expected 202, got %d", status))
-                   .when(~parsed, F.lit("Invalid JSON response"))
+        miss = C.FAIL_ORDER_MESSAGE if strict else C.FAIL_ORDER_ID
+        reason = (F.when(status != 202, F.format_string(C.FAIL_NOT_202, status))
+                   .when(~parsed, F.lit(C.FAIL_JSON_RESPONSE))
                    .when(~need, F.lit(miss)))
     else:
         ok = _has(body, "order_id") & F.coalesce(
             F.get_json_object(body, "$.status") == C.STATUS_COMPLETED, F.lit(False))
-        reason = (F.when(status != 200, F.format_string("Got status code %d", status))
-                   .when(~parsed, F.lit("Invalid JSON response"))
-                   .when(~ok, F.lit("Invalid response structure")))
+        reason = (F.when(status != 200, F.format_string(C.FAIL_STATUS, status))
+                   .when(~parsed, F.lit(C.FAIL_JSON_RESPONSE))
+                   .when(~ok, F.lit(C.FAIL_STRUCTURE)))
     return F.struct(reason.isNull().alias("success"), reason.alias("failure_reason"))
 
 
 def check_product(kind: Column, status: Column, body: Column) -> Column:
     """add -> 204; get -> 200 with product_id; missing -> 404; invalid -> 400."""
-    reason = (F.when((kind == "add") & (status != 204), F.format_string("Got status code %d", status))
-               .when((kind == "get") & (status == 404), F.lit("Product not found"))
-               .when((kind == "get") & (status != 200), F.format_string("Got status code %d", status))
-               .when((kind == "get") & ~_has(body, "product_id"), F.lit("Missing product_id in response"))
-               .when((kind == "missing") & (status != 404), F.format_string("Expected 404, got %d", status))
-               .when((kind == "invalid") & (status != 400), F.format_string("Expected 400, got %d", status)))
+    reason = (F.when((kind == "add") & (status != 204), F.format_string(C.FAIL_STATUS, status))
+               .when((kind == "get") & (status == 404), F.lit(C.FAIL_PRODUCT_MISSING))
+               .when((kind == "get") & (status != 200), F.format_string(C.FAIL_STATUS, status))
+               .when((kind == "get") & ~_has(body, "product_id"), F.lit(C.FAIL_PRODUCT_ID))
+               .when((kind == "missing") & (status != 404), F.format_string(C.FAIL_NOT_404, status))
+               .when((kind == "invalid") & (status != 400), F.format_string(C.FAIL_NOT_400, status)))
     return F.struct(reason.isNull().alias("success"), reason.alias("failure_reason"))
 
 

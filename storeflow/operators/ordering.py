@@ -5,7 +5,9 @@ sort keys, so a group holding a third of all rows is cut into many
 balanced blocks), numbers rows inside each block and writes the result
 once to the shared checkpoint folder, so every later reader sees the same
 numbering (also after a lost executor). Per-block aggregates are a small
-table; their prefix over blocks gives each block's offset.
+table; their prefix over blocks gives each block's offset. Rows with equal
+sort keys cannot be split by a range sort, so callers pass an order that
+ends in a unique column, or count equal rows first.
 """
 
 from __future__ import annotations
@@ -44,6 +46,19 @@ def rank_within(df: DataFrame, part: list[str], order: list[str], out: str = "ra
              .drop("_off", "_first", "_mid"))
 
 
+def running_sum(df: DataFrame, part: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Running sum of ``value`` per ``part`` in ``order`` over sorted blocks:
+    per-block sums -> prefix over blocks -> window inside (block, part)."""
+    b = sorted_blocks(df, part, order)
+    sums = b.groupBy("_blk", *part).agg(F.sum(value).cast("bigint").alias("_s"))
+    pre = prefix_before(sums, part, "_s", "sum", "_pre").select("_blk", *part, "_pre")
+    wl = (Window.partitionBy("_blk", *part).orderBy("_mid")
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (b.join(pre, ["_blk", *part])
+             .withColumn(out, F.coalesce("_pre", F.lit(0)).cast("bigint") + F.sum(value).over(wl))
+             .drop("_blk", "_mid", "_pre"))
+
+
 def previous_value(df: DataFrame, part: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """``lag(value)`` per ``part`` in ``order`` over sorted blocks: inside a
     block a block-local window; the first row of a block takes the last

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import scalars as S
 from ..session import materialize
-from .ordering import prefix_before, previous_value, rank_within, sorted_blocks
+from .ordering import prefix_before, previous_value, rank_within, running_sum
 
 HOUR_US = 3_600_000_000
+DAY_US = 24 * HOUR_US
 
 
 def fifo_finish(arrivals: DataFrame, queue: str, t_us: str, tie: str, service_us: int,
@@ -54,32 +55,19 @@ def fifo_finish(arrivals: DataFrame, queue: str, t_us: str, tie: str, service_us
              .drop("_blk", "_v", "_pre", "_run", "k"))
 
 
-def running_sum(df: DataFrame, part: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Running sum of ``value`` per ``part`` in ``order`` over sorted blocks:
-    per-block sums -> prefix over blocks -> window inside (block, part)."""
-    b = sorted_blocks(df, part, order)
-    sums = b.groupBy("_blk", *part).agg(F.sum(value).cast("bigint").alias("_s"))
-    pre = prefix_before(sums, part, "_s", "sum", "_pre").select("_blk", *part, "_pre")
-    wl = (Window.partitionBy("_blk", *part).orderBy("_mid")
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (b.join(pre, ["_blk", *part])
-             .withColumn(out, F.coalesce("_pre", F.lit(0)).cast("bigint") + F.sum(value).over(wl))
-             .drop("_blk", "_mid", "_pre"))
-
-
-def depth_changes(fifo: DataFrame, queue: str, t_us: str) -> DataFrame:
-    """+1 at every arrival, -1 at every completion (one pass over ``fifo``)."""
-    both = F.array(F.struct(F.col(t_us).alias("ts_us"), F.lit(1).alias("delta")),
-                   F.struct(F.col("finish_us").alias("ts_us"), F.lit(-1).alias("delta")))
-    return fifo.select(queue, F.inline(both))
+def depth_changes(visits: DataFrame, queue: str, id_col: str, arrive_us: str, leave_us: str) -> DataFrame:
+    """+1 at every arrival, -1 at every completion (none while ``leave_us`` is
+    null), in one pass. ``id`` tells changes at equal times apart."""
+    both = F.array(F.struct(F.col(arrive_us).alias("ts_us"), F.lit(1).alias("delta")),
+                   F.struct(F.col(leave_us).alias("ts_us"), F.lit(-1).alias("delta")))
+    return (visits.select(queue, F.col(id_col).alias("id"), F.inline(both)).where(F.col("ts_us").isNotNull()))
 
 
-def backlog_depth(fifo: DataFrame, queue: str, t_us: str) -> DataFrame:
+def backlog_depth(changes: DataFrame, queue: str) -> DataFrame:
     """Queue depth after every arrival (+1) and completion (-1); at
-    equal times completions are applied first."""
-    ev = depth_changes(fifo, queue, t_us)
-    return running_sum(ev, [queue], ["ts_us", "delta"], "delta", "depth").select(
-        queue, "ts_us", "delta", "depth")
+    equal times completions are applied first, then by id."""
+    return running_sum(changes, [queue], ["ts_us", "delta", "id"], "delta", "depth").select(
+        queue, "id", "ts_us", "delta", "depth")
 
 
 def sample_depth(changes: DataFrame, queue: str, every_us: int = HOUR_US) -> DataFrame:

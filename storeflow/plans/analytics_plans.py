@@ -127,79 +127,100 @@ def fifo_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+# An order waits in its priority's queue from its order date until the last
+# of its lines is shipped (never before it was placed); an order without
+# lines has not left yet.
+VISITS_SQL = """
+v as (select o_orderpriority as queue, o_orderkey as id, epoch_us(o_orderdate) as arrive_us,
+             case when s is not null then greatest(epoch_us(o_orderdate), epoch_us(s)) end as leave_us
+      from orders left join (select l_orderkey, max(l_shipdate) as s from lineitem group by 1) on l_orderkey = o_orderkey)"""
+
 DEPTH_SQL = f"""
-{_fifo_sql([1])},
-ev as (select event_type, t_us as ts_us, 1 as delta from f
-       union all select event_type, finish_us, -1 from f),
-d as (select event_type, ts_us, delta,
-             sum(delta) over (partition by event_type order by ts_us, delta
+{VISITS_SQL},
+ev as (select queue, id, arrive_us as ts_us, 1 as delta from v
+       union all select queue, id, leave_us, -1 from v where leave_us is not null),
+d as (select queue, id, ts_us, delta,
+             sum(delta) over (partition by queue order by ts_us, delta, id
                               rows between unbounded preceding and current row) as depth
       from ev),
-smp as (select event_type, sample_us,
-               sum(s) over (partition by event_type order by sample_us
+smp as (select queue, sample_us,
+               sum(s) over (partition by queue order by sample_us
                             rows between unbounded preceding and current row) as depth
-        from (select event_type, (ts_us // {Q.HOUR_US}) * {Q.HOUR_US} as sample_us, sum(delta) as s
+        from (select queue, (ts_us // {Q.DAY_US}) * {Q.DAY_US} as sample_us, sum(delta) as s
               from ev group by 1, 2))"""
 
 
+def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = tables.load(spark, sf_dir, "lineitem")
+    shipped = li.groupBy("l_orderkey").agg(F.max(S.epoch_us(li, "l_shipdate")).alias("shipped_us"))
+    o = tables.load(spark, sf_dir, "orders")
+    arrive = S.epoch_us(o, "o_orderdate")
+    visits = o.select(F.col("o_orderpriority").alias("queue"), F.col("o_orderkey").alias("id"), arrive.alias("arrive_us"))
+    return (visits.join(shipped, visits["id"] == shipped["l_orderkey"], "left")
+                  .select("queue", "id", "arrive_us",
+                          F.when(F.col("shipped_us").isNotNull(), F.greatest("arrive_us", "shipped_us")).alias("leave_us")))
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.depth_changes(_visits(spark, sf_dir), "queue", "id", "arrive_us", "leave_us")
+
+
 @register("backlog_depth", f"""
 with {DEPTH_SQL}
-select event_type, ts_us, cast(delta as integer) as delta, cast(depth as bigint) as depth from d
+select queue, id, ts_us, cast(delta as integer) as delta, cast(depth as bigint) as depth from d
 """)
 def backlog_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queue depth after every arrival and completion (one server)."""
-    d = Q.backlog_depth(_fifo(spark, sf_dir, 1), "event_type", "t_us")
-    return d.select("event_type", "ts_us", F.col("delta").cast("int"), F.col("depth").cast("bigint"))
+    """Open orders per priority after every order and completion."""
+    d = Q.backlog_depth(_changes(spark, sf_dir), "queue")
+    return d.select("queue", "id", "ts_us", F.col("delta").cast("int"), F.col("depth").cast("bigint"))
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = Q.depth_changes(_fifo(spark, sf_dir, 1), "event_type", "t_us")
-    return Q.sample_depth(changes, "event_type")
+    return Q.sample_depth(_changes(spark, sf_dir), "queue", Q.DAY_US)
 
 
 @register("queue_samples", f"""
 with {DEPTH_SQL}
-select event_type, sample_us, cast(depth as bigint) as depth,
-       cast(depth - lag(depth) over (partition by event_type order by sample_us) as bigint) as delta
+select queue, sample_us, cast(depth as bigint) as depth,
+       cast(depth - lag(depth) over (partition by queue order by sample_us) as bigint) as delta
 from smp
 """)
 def queue_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly queue-depth samples and sample-to-sample change."""
-    s = Q.sample_deltas(_samples(spark, sf_dir), "event_type", "sample_us", "depth")
-    return s.select("event_type", "sample_us", F.col("depth").cast("bigint"),
-                    F.col("delta").cast("bigint"))
+    """Daily queue-depth samples and sample-to-sample change."""
+    s = Q.sample_deltas(_samples(spark, sf_dir), "queue", "sample_us", "depth")
+    return s.select("queue", "sample_us", F.col("depth").cast("bigint"), F.col("delta").cast("bigint"))
 
 
 @register("queue_peak_rate", f"""
 with {DEPTH_SQL},
-pk as (select event_type, max(depth) as peak from smp group by 1),
-pt as (select s.event_type, min(sample_us) as peak_us from smp s join pk using (event_type)
+pk as (select queue, max(depth) as peak from smp group by 1),
+pt as (select s.queue, min(sample_us) as peak_us from smp s join pk using (queue)
        where s.depth = pk.peak group by 1),
-fs as (select event_type, arg_min(sample_us, sample_us) as first_us, arg_min(depth, sample_us) as first_depth
+fs as (select queue, arg_min(sample_us, sample_us) as first_us, arg_min(depth, sample_us) as first_depth
        from smp group by 1),
-sl0 as (select s.event_type, cast(count(*) as decimal(38,0)) as n,
+sl0 as (select s.queue, cast(count(*) as decimal(38,0)) as n,
                sum(cast(s.sample_us - fs.first_us as decimal(38,0))) as sx,
                sum(cast(s.depth as decimal(38,0))) as sy,
                sum(cast(s.sample_us - fs.first_us as decimal(38,0)) * cast(s.depth as decimal(38,0))) as sxy,
                sum(cast(s.sample_us - fs.first_us as decimal(38,0)) * cast(s.sample_us - fs.first_us as decimal(38,0))) as sxx
-        from smp s join pt using (event_type) join fs using (event_type)
+        from smp s join pt using (queue) join fs using (queue)
         where s.sample_us <= pt.peak_us group by 1),
-sl as (select event_type,
+sl as (select queue,
               case when cast(n * sxx - sx * sx as double) <> 0
                    then cast(n * sxy - sx * sy as double) / cast(n * sxx - sx * sx as double) * 1000000.0
               end as slope_per_s
        from sl0)
-select pk.event_type, cast(pk.peak as bigint) as peak_depth, pt.peak_us, fs.first_us,
+select pk.queue, cast(pk.peak as bigint) as peak_depth, pt.peak_us, fs.first_us,
        cast(fs.first_depth as bigint) as first_depth, sl.slope_per_s,
        case when pt.peak_us > fs.first_us
             then (pk.peak - fs.first_depth) / ((pt.peak_us - fs.first_us) / 1e6) end as endpoint_rate_per_s
-from pk join pt using (event_type) join fs using (event_type) join sl using (event_type)
+from pk join pt using (queue) join fs using (queue) join sl using (queue)
 """)
 def queue_peak_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peak depth and time, build-up slope and end-point rate."""
     s = _samples(spark, sf_dir)
-    r = Q.peak_and_rate(s, "event_type", "sample_us", "depth")
-    return r.select("event_type", F.col("peak_depth").cast("bigint"), "peak_us", "first_us",
+    r = Q.peak_and_rate(s, "queue", "sample_us", "depth")
+    return r.select("queue", F.col("peak_depth").cast("bigint"), "peak_us", "first_us",
                     F.col("first_depth").cast("bigint"), "slope_per_s", "endpoint_rate_per_s")
 
 
@@ -239,15 +260,19 @@ def arrivals_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.arrivals_per_window(ev, ["event_type"], "ts", "1 hour")
 
 
+#: Orders that take longer than this from order to last shipment are slow.
+SLOW_ORDER_MS = 720 * 86_400_000.0
+
+
 @register("slow_requests", f"""
-with {_fifo_sql([1])}
-select event_type, event_id, (finish_us - t_us) / 1000.0 as elapsed_ms, 503 as status_code,
+with {VISITS_SQL}
+select queue, id, (leave_us - arrive_us) / 1000.0 as elapsed_ms, 503 as status_code,
        '{C.ERR_SERVICE_UNAVAILABLE}' as error_code
-from f where (finish_us - t_us) / 1000.0 > {C.LATENCY_LIMIT_MS}
+from v where (leave_us - arrive_us) / 1000.0 > {SLOW_ORDER_MS}
 """)
 def slow_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replayed orders whose response time exceeds the 2 s guard."""
-    f = _fifo(spark, sf_dir, 1).withColumn("elapsed_ms", F.col("response_us") / F.lit(1000.0))
-    s = LS.slow_requests(f)
-    return s.select("event_type", "event_id", "elapsed_ms", "status_code",
-                    F.col("error.error").alias("error_code"))
+    """Orders whose measured elapsed time exceeds the guard's limit."""
+    start, end = F.timestamp_micros("arrive_us"), F.timestamp_micros("leave_us")
+    timed = _visits(spark, sf_dir).withColumn("elapsed_ms", S.elapsed_ms(start, end))
+    s = LS.slow_requests(timed, SLOW_ORDER_MS)
+    return s.select("queue", "id", "elapsed_ms", "status_code", F.col("error.error").alias("error_code"))

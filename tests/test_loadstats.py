@@ -69,3 +69,19 @@ def test_exact_percentiles_skewed_groups(spark):
     for k, vs in by.items():
         want = [float(np.percentile(vs, p * 100)) for p in ps]
         assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want)), k
+
+
+def test_equal_values_do_not_fill_one_block(spark):
+    """90 % equal values: percentiles are right and no sorted block is large."""
+    from storeflow.operators import loadstats as LS
+    from storeflow.operators.ordering import sorted_blocks
+    df = spark.range(200_000).selectExpr("'a' as name", "case when id % 10 = 0 then cast(id as double) else 7.0 end as v")
+    got = LS.exact_percentiles(df, ["name"], "v", [0.0, 0.5, 0.9, 0.95, 1.0]).first().percentiles
+    values = sorted([float(i) if i % 10 == 0 else 7.0 for i in range(200_000)])
+    for p, x in zip([0.0, 0.5, 0.9, 0.95, 1.0], got):
+        h = (len(values) - 1) * p
+        lo, hi = values[int(h)], values[min(int(h) + 1, len(values) - 1)]
+        assert abs(x - (lo + (hi - lo) * (h - int(h)))) < 1e-6
+    counts = df.groupBy("name", "v").count()
+    sizes = [r["count"] for r in sorted_blocks(counts, ["name"], ["v"]).groupBy("_blk").count().collect()]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)

@@ -44,7 +44,7 @@ def test_backlog_depth_bucketed_equals_plain(spark):
     arr = [(rnd.randrange(0, 3_000_000), i) for i in range(200)]
     df = spark.createDataFrame([("q", t, i) for t, i in arr], "q string, t_us long, id long")
     f = Q.fifo_finish(df, "q", "t_us", "id", 20_000)
-    d = Q.backlog_depth(f, "q", "t_us").collect()
+    d = Q.backlog_depth(Q.depth_changes(f, "q", "id", "t_us", "finish_us"), "q").collect()
     evs = sorted([(r.ts_us, r.delta) for r in d])
     depth, want = 0, []
     for _, dl in evs:
