@@ -8,7 +8,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions import scalars as S
@@ -19,11 +18,14 @@ from ..sources import tables
 from ..streaming import orders_stream as ST
 from .registry import register
 
-_RUNS: dict[tuple[str, str, str], str] = {}
-
 COMPLETED_SCHEMA = ("order_id string, customer_id bigint, status string, n_items bigint, "
                     "created_at timestamp, message_id string, batch int")
 DEAD_SCHEMA = "message_id string, reason string, raw string, batch int"
+REJECTED_SCHEMA = "event_id bigint, event_type string, ts timestamp, status_code int, error string, order_id string, message_id string, batch int"
+#: Files of the table and of a queue taken in one micro-batch (L4), messages a file.
+FILES, QUEUE_FILES, MESSAGES = 1, 4, 2000
+#: Every so many events one order has this many items, beyond the message limit.
+LARGE_EVERY, LARGE_ITEMS = 2500, 8000
 
 
 def _instant(df: DataFrame, name: str):
@@ -34,47 +36,66 @@ def _instant(df: DataFrame, name: str):
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = tables.load(spark, sf_dir, "events").schema
-    return ST.table_stream(spark, sf_dir, "events.parquet", schema)
+    return ST.table_stream(spark, tables.table_path(sf_dir, "events"), schema, FILES)
 
 
-def _order_pipeline(spark: SparkSession, sf_dir: str) -> str:
-    """Run producer and consumer once per session and data folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, "orders")
-    if key in _RUNS:
-        return _RUNS[key]
-    ST.use_rocksdb(spark)
-    root = scratch_path(spark, "order-stream")
-    ev = _events_stream(spark, sf_dir)
-    # order requests: one per non-error event (no order id: the service assigns one)
+def order_requests(ev: DataFrame) -> DataFrame:
+    """Order requests from events other than errors: a signup in ten sends a
+    body of wrong types, one event in LARGE_EVERY an order too large for a
+    message; orders carry no id (the service assigns one)."""
     item = F.struct(F.get_json_object("props", "$.k").cast("bigint").alias("product_id"),
                     F.lit(1).cast("bigint").alias("quantity"), F.col("value").alias("price"))
-    reqs = ev.where(F.col("event_type") != "error").select(
-        "event_id", "event_type", _instant(ev, "ts").alias("ts"),
-        F.to_json(F.struct(F.col("user_id").alias("customer_id"),
-                           F.array(item).alias("items"))).alias("body"))
-    published, _rejected = ST.accept(
-        reqs, now=F.col("ts"), generated_id=F.concat(F.lit("ord-"), F.col("event_id").cast("string")),
-        message_id=F.concat(F.lit("msg-"), F.col("event_id").cast("string")))
-    # a retrying producer publishes click orders twice (at-least-once)
-    again = published.where(F.col("event_type") == "click")
-    msgs = published.unionByName(again).select("message_id", "attributes", "body")
-    # another producer writes damaged payloads (stray brace) for error events
-    raw = ev.where(F.col("event_type") == "error").select(
-        F.concat(F.lit("raw-"), F.col("event_id").cast("string")).alias("message_id"),
-        F.create_map().cast("map<string,string>").alias("attributes"),
-        F.concat(F.col("props"), F.lit("}")).alias("body"))
+    items = F.array_repeat(item, F.when(F.col("event_id") % LARGE_EVERY == 7, LARGE_ITEMS).otherwise(1))
+    good = F.to_json(F.struct(F.col("user_id").alias("customer_id"), items.alias("items")))
+    bad = F.to_json(F.struct(F.concat(F.lit("user "), F.col("user_id")).alias("customer_id")))
+    body = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 10 == 3), bad).otherwise(good)
+    return ev.where(F.col("event_type") != "error").select(
+        "event_id", "event_type", _instant(ev, "ts").alias("ts"), body.alias("body"))
+
+
+def judge_requests(reqs: DataFrame) -> DataFrame:
+    return ST.judged(reqs, now=F.col("ts"), generated_id=F.concat(F.lit("ord-"), F.col("event_id").cast("string")),
+                     message_id=F.concat(F.lit("msg-"), F.col("event_id").cast("string")))
+
+
+REQUESTS_SQL = f"""
+req as (select event_id, event_type, user_id,
+               event_type = 'signup' and event_id % 10 = 3 as bad, event_id % {LARGE_EVERY} = 7 as large
+        from events where event_type <> 'error')"""
+
+
+def _order_pipeline(spark: SparkSession, sf_dir: str, consume: bool = True) -> str:
+    """Drain producer and consumer over the events table into a new folder."""
+    root = scratch_path(spark, "order-stream")
+    ev = _events_stream(spark, sf_dir)
+
+    def judge(batch: DataFrame) -> DataFrame:
+        rows = judge_requests(order_requests(batch))
+        # a retrying producer publishes click orders twice (at-least-once)
+        again = rows.where("event_type = 'click' and status_code = 202")
+        # another producer writes damaged payloads (stray brace) for error events
+        raw = batch.where(F.col("event_type") == "error").select(
+            "event_id", "event_type", _instant(batch, "ts").alias("ts"), F.lit(202).alias("status_code"),
+            F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("order_id"),
+            F.concat(F.lit("raw-"), F.col("event_id").cast("string")).alias("message_id"),
+            F.create_map().cast("map<string,string>").alias("attributes"),
+            F.concat(F.col("props"), F.lit("}")).alias("body"))
+        return rows.unionByName(raw).unionByName(again)
+
     queues = [os.path.join(root, "queue-orders"), os.path.join(root, "queue-audit")]
-    ST.drain(ST.publish(msgs.unionByName(raw), queues, os.path.join(root, "ck-publish")))
-    done, dead = ST.process(ST.queue_stream(spark, queues[0]))
-    ST.drain(ST.run_processor(done, dead, os.path.join(root, "out"), os.path.join(root, "ck-process")))
-    _RUNS[key] = root
+    ST.drain(ST.publish(ev, judge, queues, os.path.join(root, "rejected"), os.path.join(root, "ck-publish"),
+                        records_per_file=MESSAGES))
+    if consume:
+        done = ST.process(ST.queue_stream(spark, queues[0], QUEUE_FILES))
+        ST.drain(ST.run_processor(done, os.path.join(root, "out"), os.path.join(root, "ck-process")))
     return root
 
 
-@register("stream_orders", """
+@register("stream_orders", f"""
+with {REQUESTS_SQL}
 select 'ord-' || cast(event_id as varchar) as order_id, user_id as customer_id,
        'completed' as status, cast(1 as bigint) as n_items
-from events where event_type <> 'error'
+from req where not bad and not large
 """)
 def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders accepted, published,
@@ -95,19 +116,62 @@ def stream_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("message_id", "reason")
 
 
+@register("stream_rejected", f"""
+with {REQUESTS_SQL}
+select event_id, cast(case when bad then 400 else 500 end as integer) as status_code,
+       case when bad then '{C.ERR_INVALID_INPUT}' else '{C.ERR_PUBLISH_FAILED}' end as error
+from req where bad or large
+""")
+def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that were not published, with their answer."""
+    root = _order_pipeline(spark, sf_dir, consume=False)
+    df = spark.read.schema(REJECTED_SCHEMA).parquet(os.path.join(root, "rejected"))
+    return df.select("event_id", "status_code", "error")
+
+
+@register("stream_audit", f"""
+with {REQUESTS_SQL}
+select 'msg-' || cast(event_id as varchar) as message_id,
+       cast(case when event_type = 'click' then 2 else 1 end as bigint) as deliveries
+from req where not bad and not large
+union all select 'raw-' || cast(event_id as varchar), cast(1 as bigint) from events where event_type = 'error'
+""")
+def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second subscriber of the topic received."""
+    root = _order_pipeline(spark, sf_dir, consume=False)
+    lines = spark.read.text(os.path.join(root, "queue-audit"))
+    return (lines.select(F.from_json("value", ST.ENVELOPE).alias("m")).groupBy("m.message_id")
+                 .agg(F.count(F.lit(1)).cast("bigint").alias("deliveries")))
+
+
+@register("orders_accepted", f"""
+with {REQUESTS_SQL}
+select event_id, cast(case when bad then 400 when large then 500 else 202 end as integer) as status_code,
+       case when bad then '{C.ERR_INVALID_INPUT}' when large then '{C.ERR_PUBLISH_FAILED}' end as error,
+       case when not bad and not large then '{C.MSG_ORDER_ASYNC}' end as message,
+       case when not bad and not large then 'ord-' || cast(event_id as varchar) end as order_id,
+       case when not bad and not large then 'msg-' || cast(event_id as varchar) end as message_id
+from req
+""")
+def orders_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 P10 (async) F9: the answer to every order request."""
+    rows = judge_requests(order_requests(tables.load(spark, sf_dir, "events")))
+    ok = F.col("status_code") == 202
+    return rows.select("event_id", "status_code", "error", F.when(ok, F.lit(C.MSG_ORDER_ASYNC)).alias("message"),
+                       F.when(ok, F.col("order_id")).alias("order_id"), F.when(ok, F.col("message_id")).alias("message_id"))
+
+
 @register("stream_arrivals", f"""
 select event_type, (epoch_us(ts) // {Q.HOUR_US}) * {Q.HOUR_US} as window_start_us,
        cast(count(*) as bigint) as arrivals
 from events group by 1, 2
 """)
 def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A11 streaming: hourly arrivals with a watermark, update mode."""
-    ST.use_rocksdb(spark)
+    """A11 streaming: hourly arrivals in update mode. Without a watermark no
+    event is late; state is one small row per event type and hour."""
     root = scratch_path(spark, "arrivals-stream")
     ev = _events_stream(spark, sf_dir)
-    ev = (ev.select("event_type", _instant(ev, "ts").alias("ts"))
-            .withWatermark("ts", "1 hour"))
-    agg = Q.arrivals_per_window(ev, ["event_type"], "ts", "1 hour")
+    agg = Q.arrivals_per_window(ev.select("event_type", _instant(ev, "ts").alias("ts")), ["event_type"], "ts", "1 hour")
     ST.drain(ST.run_update_sink(agg, os.path.join(root, "out"), os.path.join(root, "ck")))
     return ST.latest_versions(spark, os.path.join(root, "out"), ["event_type", "window_start_us"])
 
@@ -118,7 +182,6 @@ from events group by user_id
 """)
 def stream_status_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T6 streaming: current status per key, update-mode aggregation."""
-    ST.use_rocksdb(spark)
     root = scratch_path(spark, "status-stream")
     ev = _events_stream(spark, sf_dir).select("user_id", "event_type", "event_id")
     agg = O.latest_status(ev, "user_id", "event_type", "event_id")

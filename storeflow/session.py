@@ -9,6 +9,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_stages: list[str] = []
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -26,6 +28,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -73,4 +76,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    _stages.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stage tables written so far; for when their readers are done."""
+    while _stages:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_stages.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

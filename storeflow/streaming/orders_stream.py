@@ -1,19 +1,23 @@
 """Order pipeline on Structured Streaming.
 
   producer (T1):  request bodies --S6 lenient decode--> P6 default id
-                  --P7 pending--> S8 JSON --F9 size check--> topic (S9)
+                  --P7 pending--> S8 JSON --F9 size check--> topic (S9);
+                  requests that fail (400, 500, 503) go to their own sink
   topic -> queue: every subscriber folder gets the raw message (S11)
   consumer (T2):  queue files (S10, rate-limited) --S7 strict decode-->
                   F11 split: poison -> dead letter (T4);
                   good -> T3 de-dup by order_id within the retention
-                  horizon (F10) -> P8 completed -> sinks (T8)
+                  horizon (F10) -> P8 completed (T8)
 
 Messages are JSON lines ``{"message_id", "attributes": {"order_id"},
-"body"}``. Sinks are written by ``foreachBatch`` into one folder per batch
-id with overwrite, so a retried batch replaces its own output (exactly
-once with the checkpoint). ``trigger(availableNow=True)`` drains what is
-available and stops (T7). State lives in the checkpoint folder (RocksDB
-provider), so a lost executor only re-runs its tasks.
+"body"}``. Producer and consumer are one query each: a micro-batch is decoded
+once, kept, and written to all its sinks by ``foreachBatch``, one folder per
+batch id. A folder that was finished is never written again, so a retried
+batch changes nothing a reader may have seen. De-duplication runs on the time
+a message was enqueued, which only grows along the queue, so no message is
+late, whatever times its order carries. ``trigger(availableNow=True)`` drains
+what is available and stops (T7). State lives in the checkpoint folder, so a
+lost executor only re-runs its tasks.
 """
 
 from __future__ import annotations
@@ -29,58 +33,63 @@ from ..operators import orders as O
 from ..sources import codec
 
 ENVELOPE = "message_id string, attributes map<string,string>, body string"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RETENTION = f"{C.RETENTION_SECONDS} seconds"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def table_stream(spark: SparkSession, folder: str, file_name: str, schema,
-                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """S10 for parquet: stream the files of ``folder`` matching ``file_name``."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", file_name)
+def table_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """S10 for parquet: stream a table stored as one file or as a folder of
+    part files."""
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(folder)
+    fs, p = _fs(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        return r.parquet(path)
+    return r.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
 
 
 def queue_stream(spark: SparkSession, queue_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Message envelopes from a queue folder (rate-limited by files)."""
+    """Message envelopes from a queue folder (rate-limited by files)
+    with the time they were enqueued."""
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     env = F.from_json(F.col("value"), ENVELOPE)
-    return r.load(queue_dir).select(env.alias("m"), F.col("value").alias("raw")).select("m.*", "raw")
-
-
-def accept(requests: DataFrame, *, body: str = "body", now: Column | None = None,
-           generated_id: Column | None = None, message_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """T1 transform: (messages to publish, rejected requests).
-
-    Rejected: undecodable bodies (400 INVALID_INPUT) and messages over the
-    topic's size limit (F9, 500 PUBLISH_FAILED)."""
-    r = codec.decode_rows(requests, body, "order", strict=False)
-    orders = r.where("ok").select([F.col(c) for c in requests.columns] + [F.col("value").alias("o")])
-    orders = orders.withColumn("order_id", O.default_order_id(F.col("o.order_id"), generated_id))
-    orders = orders.withColumn("status", F.lit(C.STATUS_PENDING))
-    orders = orders.withColumn("created_at", F.current_timestamp() if now is None else now)
-    order = F.struct(F.col("order_id"), F.col("o.customer_id").alias("customer_id"), F.col("status"),
-                     F.col("o.items").alias("items"), F.col("created_at"))
-    msg_body = codec.encode(order)
-    mid = F.expr("uuid()") if message_id is None else message_id
-    msgs = orders.select(mid.alias("message_id"),
-                         F.create_map(F.lit("order_id"), F.col("order_id")).alias("attributes"),
-                         msg_body.alias("body"), *[F.col(c) for c in requests.columns if c != body])
-    size_ok = F.octet_length("body") <= F.lit(C.MAX_MESSAGE_BYTES)
-    published = msgs.where(size_ok)
-    too_big = msgs.where(~size_ok).select(F.lit(500).alias("status_code"),
-                                          F.lit("PUBLISH_FAILED").alias("error"), "message_id")
-    rejected = r.where(~F.col("ok")).select(F.lit(400).alias("status_code"),
-                                             F.lit(C.ERR_INVALID_INPUT).alias("error"),
-                                             F.lit(None).cast("string").alias("message_id"))
-    return published, rejected.unionByName(too_big)
+    return r.load(queue_dir).select(env.alias("m"), F.col("value").alias("raw"),
+                                    F.col("_metadata.file_modification_time").alias("enqueued_at")).select("m.*", "raw", "enqueued_at")
+
+
+def judged(requests: DataFrame, *, body: str = "body", now: Column | None = None, generated_id: Column | None = None,
+           message_id: Column | None = None, topic: bool = True) -> DataFrame:
+    """Every request with its outcome: status_code 202, or 400 (body not
+    decodable), 503 (no topic configured), 500 (message over the topic's size
+    limit, F9) with ``error``; the message (message_id, attributes, body) and
+    order_id of decodable requests. Each body is decoded once."""
+    rest = [F.col(c) for c in requests.columns if c != body]
+    r = codec.decode_rows(requests, body, "order", strict=False).select(*rest, "ok", F.col("value").alias("o"))
+    r = r.withColumn("order_id", F.when(F.col("ok"), O.default_order_id(F.col("o.order_id"), generated_id)))
+    order = F.struct(F.col("order_id"), F.col("o.customer_id").alias("customer_id"), F.lit(C.STATUS_PENDING).alias("status"),
+                     F.col("o.items").alias("items"), (F.current_timestamp() if now is None else now).alias("created_at"))
+    r = r.withColumn("body", F.when(F.col("ok"), codec.encode(order)))
+    r = r.withColumn("message_id", F.when(F.col("ok"), F.expr("uuid()") if message_id is None else message_id))
+    status = (F.when(~F.col("ok"), 400).when(~F.lit(topic), 503)
+               .when(F.octet_length("body") > C.MAX_MESSAGE_BYTES, 500).otherwise(202))
+    error = (F.when(~F.col("ok"), C.ERR_INVALID_INPUT).when(~F.lit(topic), C.ERR_NO_TOPIC)
+              .when(F.octet_length("body") > C.MAX_MESSAGE_BYTES, C.ERR_PUBLISH_FAILED))
+    return r.select(*rest, status.alias("status_code"), error.alias("error"), "order_id", "message_id",
+                    F.when(F.col("ok"), F.create_map(F.lit("order_id"), F.col("order_id"))).alias("attributes"), "body")
+
+
+def accept(requests: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
+    """T1 as two DataFrames: messages to publish, rejected requests."""
+    rows = judged(requests, **kw)
+    return (rows.where("status_code = 202").drop("status_code", "error"),
+            rows.where("status_code <> 202").drop("attributes", "body"))
 
 
 def envelope_json(messages: DataFrame) -> DataFrame:
@@ -88,57 +97,67 @@ def envelope_json(messages: DataFrame) -> DataFrame:
     return messages.select(F.to_json(F.struct("message_id", "attributes", "body")).alias("value"))
 
 
-def publish(messages: DataFrame, queue_dirs: list[str], checkpoint: str,
-            available_now: bool = True) -> StreamingQuery:
-    """S9 + S11: write each micro-batch of messages to every subscribed
-    queue folder (raw delivery, no filter)."""
-    lines = envelope_json(messages)
+def write_once(df: DataFrame, path: str, fmt: str, **options) -> None:
+    """Write a folder unless an earlier try of the same batch finished it."""
+    fs, done = _fs(df.sparkSession, os.path.join(path, "_SUCCESS"))
+    if not fs.exists(done):
+        df.write.mode("overwrite").format(fmt).options(**options).save(path)
 
-    def fan_out(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+
+def _started(df: DataFrame, sink, checkpoint: str, available_now: bool, mode: str = "append") -> StreamingQuery:
+    w = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def publish(requests: DataFrame, judge, queue_dirs: list[str], rejected_dir: str, checkpoint: str,
+            available_now: bool = True, records_per_file: int = 0) -> StreamingQuery:
+    """Judge each micro-batch of requests once, write its messages
+    to every subscribed queue folder (raw delivery, no filter) and its
+    rejected requests to ``rejected_dir``. ``judge``: requests to the rows of
+    ``judged``."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = judge(batch).persist()
+        lines = envelope_json(rows.where("status_code = 202"))
         for q in queue_dirs:
-            batch.write.mode("overwrite").text(os.path.join(q, f"batch={batch_id}"))
-        batch.unpersist()
+            write_once(lines, os.path.join(q, f"batch={batch_id}"), "text", maxRecordsPerFile=records_per_file)
+        write_once(rows.where("status_code <> 202").drop("attributes", "body"), os.path.join(rejected_dir, f"batch={batch_id}"), "parquet")
+        rows.unpersist()
 
-    w = lines.writeStream.foreachBatch(fan_out).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w
-    return w.start()
+    return _started(requests, sink, checkpoint, available_now)
 
 
-def process(queue: DataFrame, *, horizon: str = RETENTION) -> tuple[DataFrame, DataFrame]:
-    """T2 transform on a queue stream: (completed orders, dead letters).
+def process(queue: DataFrame, *, horizon: str = RETENTION) -> DataFrame:
+    """T2 on a queue stream: every message once, completed (``reason`` null)
+    or dead (T4: no body, too large, not decodable) with its raw text.
 
-    Poison (T4): undecodable body, oversize body or missing created_at
-    (these cannot be placed on the event-time watermark)."""
-    size_ok = F.octet_length("body") <= F.lit(C.MAX_MESSAGE_BYTES)
+    Redeliveries of an order within the horizon are removed (T3); orders
+    without an id are known by their message; dead messages are all kept."""
     m = codec.decode_rows(queue, "body", "order", strict=True).withColumnRenamed("value", "o")
-    m = m.withColumn(
-        "reason", F.when(F.col("body").isNull(), "no body")
-                   .when(~size_ok, "too large")
-                   .when(~F.col("ok"), "decode")
-                   .when(F.col("o.created_at").isNull(), "no created_at"))
-    dead = m.where(F.col("reason").isNotNull()).select("message_id", "reason", "raw")
-    good = (m.where(F.col("reason").isNull()).select("message_id", "o.*")
-              .withWatermark("created_at", horizon)
-              .dropDuplicatesWithinWatermark(["order_id"]))
-    done = O.complete(good).withColumn("n_items", O.item_count("items"))
-    return done.select("order_id", "customer_id", "status", "n_items", "created_at", "message_id"), dead
-
-
-def run_processor(completed: DataFrame, dead: DataFrame, out_dir: str, checkpoint: str,
-                  available_now: bool = True) -> list[StreamingQuery]:
-    """T2/T4/T7/T8 sinks: completed orders and dead letters, per batch id."""
-    qs = []
-    for name, df in (("completed", completed), ("dead_letter", dead)):
-        target = os.path.join(out_dir, name)
-
-        def sink(batch: DataFrame, batch_id: int, target=target) -> None:
-            batch.write.mode("overwrite").parquet(os.path.join(target, f"batch={batch_id}"))
-
-        w = df.writeStream.foreachBatch(sink).option("checkpointLocation", os.path.join(checkpoint, name))
-        w = w.trigger(availableNow=True) if available_now else w
-        qs.append(w.start())
-    return qs
+    m = m.withColumn("reason", F.when(F.col("body").isNull(), "no body")
+                                .when(F.octet_length("body") > C.MAX_MESSAGE_BYTES, "too large")
+                                .when(~F.col("ok"), "decode"))
+    key = (F.when(F.col("reason").isNotNull(), F.concat(F.lit("dead "), F.expr("uuid()")))
+            .when(F.col("o.order_id") != "", F.concat(F.lit("order "), F.col("o.order_id")))
+            .otherwise(F.concat(F.lit("message "), F.coalesce("message_id", F.lit("")))))
+    m = m.withColumn("key", key).withWatermark("enqueued_at", horizon).dropDuplicatesWithinWatermark(["key"])
+    return m.select("message_id", "reason", "raw", F.col("o.order_id").alias("order_id"), F.col("o.customer_id").alias("customer_id"),
+                    F.when(F.col("reason").isNull(), F.lit(C.STATUS_COMPLETED)).alias("status"),
+                    O.item_count("o.items").alias("n_items"), F.col("o.created_at").alias("created_at"))
+
+
+COMPLETED = ["order_id", "customer_id", "status", "n_items", "created_at", "message_id"]
+DEAD = ["message_id", "reason", "raw"]
+
+
+def run_processor(processed: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Completed orders and dead letters of one query, per batch id."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        write_once(batch.where("reason is null").select(*COMPLETED), os.path.join(out_dir, "completed", f"batch={batch_id}"), "parquet")
+        write_once(batch.where("reason is not null").select(*DEAD), os.path.join(out_dir, "dead_letter", f"batch={batch_id}"), "parquet")
+        batch.unpersist()
+
+    return _started(processed, sink, checkpoint, available_now)
 
 
 def drain(queries: list[StreamingQuery] | StreamingQuery) -> None:
@@ -157,11 +176,7 @@ def latest_versions(spark: SparkSession, path: str, key: list[str]) -> DataFrame
 
 def run_update_sink(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Update-mode aggregation written per batch id (drained with availableNow)."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-
-    return (df.writeStream.outputMode("update").foreachBatch(sink)
-              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return _started(df, lambda batch, i: write_once(batch, os.path.join(out, f"batch={i}"), "parquet"), checkpoint, True, "update")
 
 
 # --- Kafka wire format (S9/S10 with a broker) ---------------------------------
@@ -186,9 +201,10 @@ def from_kafka_records(records: DataFrame) -> DataFrame:
                           lambda h: F.struct(h["key"].alias("key"), h["value"].cast("string").alias("value")))
     attrs = F.map_from_entries(F.filter(entries, lambda e: e["key"] != "message_id"))
     mid = F.element_at(F.filter(entries, lambda e: e["key"] == "message_id"), 1)["value"]
+    enqueued = [F.col("timestamp").alias("enqueued_at")] if "timestamp" in records.columns else []
     return records.select(mid.alias("message_id"), attrs.alias("attributes"),
                           F.col("value").cast("string").alias("body"),
-                          F.col("value").cast("string").alias("raw"))
+                          F.col("value").cast("string").alias("raw"), *enqueued)
 
 
 def kafka_queue_stream(spark: SparkSession, servers: str, topic: str,

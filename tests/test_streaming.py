@@ -21,57 +21,99 @@ def _msg(mid, order_id, created="2025-10-25T22:25:07Z", body=None):
 
 
 def _run(spark, queue, root):
-    done, dead = ST.process(ST.queue_stream(spark, queue, max_files_per_trigger=1))
-    ST.drain(ST.run_processor(done, dead, os.path.join(root, "out"), os.path.join(root, "ck")))
+    done = ST.process(ST.queue_stream(spark, queue, max_files_per_trigger=1))
+    ST.drain(ST.run_processor(done, os.path.join(root, "out"), os.path.join(root, "ck")))
     read = lambda n, s: spark.read.schema(s).parquet(os.path.join(root, "out", n))
     return (read("completed", "order_id string, status string, n_items long, batch int"),
             read("dead_letter", "message_id string, reason string, raw string, batch int"))
 
 
 def test_dedupe_poison_and_restart(spark, tmp_path):
-    ST.use_rocksdb(spark)
     queue, root = str(tmp_path / "q"), str(tmp_path / "run")
     _write_queue_file(queue, "a.json", [_msg("m1", "o1"), _msg("m2", "o2"), _msg("m1b", "o1"),
+                                        _msg("bad", "x", body='{"customer_id":1} trailing'),
                                         _msg("bad", "x", body='{"customer_id":1} trailing'),
                                         _msg("nots", "o9", body='{"order_id":"o9"}')])
     _write_queue_file(queue, "b.json", [_msg("m3", "o3"), _msg("m2b", "o2", created="2025-10-25T22:26:00Z")])
     done, dead = _run(spark, queue, root)
-    assert sorted(r.order_id for r in done.collect()) == ["o1", "o2", "o3"]
+    # an order without a time is completed; dead messages are all kept
+    assert sorted(r.order_id for r in done.collect()) == ["o1", "o2", "o3", "o9"]
     assert {r.status for r in done.collect()} == {"completed"}
-    assert sorted((r.message_id, r.reason) for r in dead.collect()) == [("bad", "decode"),
-                                                                         ("nots", "no created_at")]
+    assert sorted((r.message_id, r.reason) for r in dead.collect()) == [("bad", "decode"), ("bad", "decode")]
     # restart from the checkpoint: nothing is processed twice, new files are
     _write_queue_file(queue, "c.json", [_msg("m4", "o4"), _msg("m1c", "o1")])
     done, _ = _run(spark, queue, root)
-    assert sorted(r.order_id for r in done.collect()) == ["o1", "o2", "o3", "o4"]
+    assert sorted(r.order_id for r in done.collect()) == ["o1", "o2", "o3", "o4", "o9"]
+
+
+def test_no_order_is_late(spark, tmp_path):
+    """Orders out of time order, one file a batch: each is completed."""
+    queue, root = str(tmp_path / "q"), str(tmp_path / "run")
+    for i, day in enumerate((25, 1, 20, 2, 28, 3)):
+        _write_queue_file(queue, f"{i}.json", [_msg(f"m{i}", f"o{i}", created=f"2025-10-{day:02}T00:00:00Z")])
+        os.utime(os.path.join(queue, f"{i}.json"), (1_760_000_000 + i, 1_760_000_000 + i))
+    _write_queue_file(queue, "z.json", [_msg("null", "", body="null"), _msg("none", "", body='{"customer_id":3}'), _msg("none", "", body='{"customer_id":3}')])
+    done, dead = _run(spark, queue, root)
+    assert sorted(r.order_id for r in done.collect()) == ["", "", "o0", "o1", "o2", "o3", "o4", "o5"]
+    assert dead.count() == 0
 
 
 def test_accept_rejects_and_publishes(spark, tmp_path):
+    big = json.dumps({"customer_id": 1, "items": [{"product_id": 1, "quantity": 1, "price": 1.25}] * 8000})
     reqs = spark.createDataFrame([(1, '{"customer_id":7,"items":[]}'), (2, '{"bad":'),
-                                  (3, '{"customer_id":1} trailing')], "rid long, body string")
-    pub, rej = ST.accept(reqs, generated_id=F.concat(F.lit("g"), F.col("rid").cast("string")),
-                         message_id=F.col("rid").cast("string"))
+                                  (3, '{"customer_id":1} trailing'), (4, big)], "rid long, body string")
+    ids = {"generated_id": F.concat(F.lit("g"), F.col("rid").cast("string")), "message_id": F.col("rid").cast("string")}
+    pub, rej = ST.accept(reqs, **ids)
     rows = pub.collect()
     assert sorted(r.attributes["order_id"] for r in rows) == ["g1", "g3"]
     assert all('"status":"pending"' in r.body for r in rows)
-    assert [r.status_code for r in rej.collect()] == [400]
+    assert sorted((r.rid, r.status_code, r.error) for r in rej.collect()) == [(2, 400, "INVALID_INPUT"), (4, 500, "PUBLISH_FAILED")]
+    assert sorted(r.status_code for r in ST.judged(reqs, topic=False, **ids).collect()) == [400, 503, 503, 503]
 
 
-def test_publish_fans_out_to_every_queue(spark, tmp_path):
+def test_publish_fans_out_once(spark, tmp_path):
     src = str(tmp_path / "requests")
     os.makedirs(src)
-    spark.createDataFrame([(1, '{"customer_id":7,"items":[]}'), (2, '{"customer_id":8}')],
+    spark.createDataFrame([(1, '{"customer_id":7,"items":[]}'), (2, '{"customer_id":8}'), (3, "no")],
                           "rid long, body string").write.parquet(src + "/part")
-    reqs = spark.readStream.schema("rid long, body string").parquet(src + "/part")
-    pub, _ = ST.accept(reqs, now=F.lit("2025-10-25 22:25:07").cast("timestamp"),
-                       generated_id=F.concat(F.lit("g"), F.col("rid").cast("string")),
-                       message_id=F.col("rid").cast("string"))
+    reqs = ST.table_stream(spark, src + "/part", "rid long, body string")
+    judge = lambda b: ST.judged(b, now=F.lit("2025-10-25 22:25:07").cast("timestamp"),
+                                generated_id=F.concat(F.lit("g"), F.col("rid").cast("string")),
+                                message_id=F.col("rid").cast("string"))
     queues = [str(tmp_path / "q1"), str(tmp_path / "q2")]
-    ST.drain(ST.publish(pub.select("message_id", "attributes", "body"), queues, str(tmp_path / "ck")))
-    for q in queues:
-        rows = spark.read.text(q).collect()
-        ids = sorted(json.loads(r.value)["attributes"]["order_id"] for r in rows)
-        assert ids == ["g1", "g2"]
+    for ck in ("ck", "ck-again"):  # the second run repeats batch 0 from the start
+        ST.drain(ST.publish(reqs, judge, queues, str(tmp_path / "rejected"), str(tmp_path / ck)))
+        for q in queues:
+            rows = spark.read.text(q).collect()
+            assert sorted(json.loads(r.value)["attributes"]["order_id"] for r in rows) == ["g1", "g2"]
+        assert [r.rid for r in spark.read.parquet(str(tmp_path / "rejected")).collect()] == [3]
+
+
+def test_stream_queries_on_a_folder_in_mixed_order(spark, tmp_path):
+    """The events table as a folder of files in mixed time order, one file a
+    batch: every stream query gives its batch answer, and nothing is lost."""
+    import duckdb
+
+    import __spark_entry__ as E
+    sf = str(tmp_path / "sf")
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for i in range(5):
+        part = ev.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == i)
+        part.coalesce(1).write.mode("append").parquet(os.path.join(sf, "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{sf}/events.parquet/*.parquet')")
+    rows = {}
+    for name in ("stream_orders", "stream_dead_letter", "stream_rejected", "stream_audit", "stream_arrivals", "stream_status_latest", "orders_accepted"):
+        got = E.queries()[name](spark, sf)
+        rel = con.sql(E.oracle_sql()[name])
+        order = sorted(got.columns)
+        assert order == sorted(rel.columns)
+        idx = [rel.columns.index(c) for c in order]
+        want = sorted((tuple(r[i] for i in idx) for r in rel.fetchall()), key=repr)
+        found = sorted((tuple(r[c] for c in order) for r in got.collect()), key=repr)
+        assert found == want, name
+        rows[name] = len(found)
+    assert rows["stream_orders"] + rows["stream_rejected"] + rows["stream_dead_letter"] == ev.count()
 
 
 def test_kafka_record_mapping_round_trip(spark):
