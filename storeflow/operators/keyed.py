@@ -40,24 +40,23 @@ def missing(left: DataFrame, right: DataFrame, on) -> DataFrame:
 
 
 def latest_per_key(updates: DataFrame, key: str | list[str], seq: str) -> DataFrame:
-    """The last write per key by ``seq`` (whole row, ties: any one).
+    """The last write per key by ``seq`` (whole row; rows that tie in
+    ``seq`` are told apart by a hash of the row, so the choice is stable).
 
     ``max_by`` is a partial aggregate: every map task keeps one row per key
     before the shuffle."""
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in updates.columns if c not in keys]
-    agg = updates.groupBy(*keys).agg(
-        F.max_by(F.struct(*[F.col(c) for c in rest]), F.col(seq)).alias("_last"))
+    order = F.struct(F.col(seq), F.xxhash64(*[F.col(c) for c in rest]))
+    agg = updates.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), order).alias("_last"))
     return agg.select(*keys, *[F.col("_last").getField(c).alias(c) for c in rest])
 
 
-def upsert(base: DataFrame, updates: DataFrame, key: str | list[str], seq: str | None = None) -> DataFrame:
-    """Whole-row replace, last write wins; keys absent from base are added.
-
-    ``updates`` must carry the base columns (plus ``seq`` when given)."""
+def upsert(base: DataFrame, updates: DataFrame, key: str | list[str], seq: str) -> DataFrame:
+    """Whole-row replace, last write by ``seq`` wins; keys absent from
+    base are added. ``updates`` must carry the base columns and ``seq``."""
     keys = [key] if isinstance(key, str) else list(key)
-    latest = latest_per_key(updates, keys, seq) if seq else updates
-    latest = latest.select(*base.columns)
+    latest = latest_per_key(updates, keys, seq).select(*base.columns)
     return base.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
 
 

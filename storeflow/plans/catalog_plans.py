@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import validation as V
+from ..schemas import PRODUCT_FIELDS
 from ..sources import catalog, tables
 from .registry import register, sql_values
 
@@ -83,25 +84,58 @@ ALL_ERRORS_SQL = "concat_ws('; ', " + ", ".join(
     f"case when {c} then '{m}' end" for c, m in VALIDATION_CASES) + ")"
 
 
+# One product in 16 of each kind: faults of every rule, and pairs of faults.
+FAULTS = [
+    (1, "product_id", "-1"), (2, "sku", "repeat('s', 101)"), (3, "manufacturer", "''"), (4, "category_id", "0"),
+    (5, "weight", "-1"), (6, "some_other_id", "0"), (7, "name", "repeat('n', 201)"), (8, "category", "''"),
+    (9, "description", "repeat('d', 1001)"), (10, "brand", "repeat('b', 101)"), (11, "sku", "''"), (11, "brand", "''"),
+    (12, "weight", "-5"), (12, "name", "''"), (13, "sku", "repeat('é', 51)"), (14, "sku", "repeat('s', 100)"),
+]
+
+
+def faulty_sql(key: str, product_sql: str, skip: tuple[str, ...] = ()) -> str:
+    """Products with the faults of their kind (``key`` modulo 16) as SQL that
+    Spark and DuckDB read alike."""
+    cases = {}
+    for kind, field, value in FAULTS:
+        if field not in skip:
+            cases.setdefault(field, []).append(f"when {key} % 16 = {kind} then {value}")
+    fields = [f"case {' '.join(cases[f])} else {f} end as {f}" if f in cases else f for f in PRODUCT_FIELDS]
+    return f"select {key}, {', '.join(fields)} from ({product_sql}) pr"
+
+
+def faulty(products: DataFrame, key: str, skip: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    cases = {}
+    for kind, field, value in FAULTS:
+        if field not in skip:
+            cases[field] = cases.get(field, F).when(F.col(key) % 16 == kind, F.expr(value))
+    return products.select(key, *keep, *[cases[f].otherwise(F.col(f)).alias(f) if f in cases else F.col(f) for f in PRODUCT_FIELDS])
+
+
+FAULTY_SQL = faulty_sql("pk", f"select product_id as pk, * from ({catalog.PART_PRODUCT_SQL}) q")
+
+
+def _faulty_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return faulty(catalog.from_part(tables.load(spark, sf_dir, "part")).withColumn("pk", F.col("product_id")), "pk")
+
+
 @register("validate_first_error", f"""
-with prod as ({catalog.PART_PRODUCT_SQL})
-select product_id, {FIRST_ERROR_SQL} as first_error from prod
+with prod as ({FAULTY_SQL})
+select pk, {FIRST_ERROR_SQL} as first_error from prod
 """)
 def validate_first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """first failing rule per product of the `part` view (NULL = valid)."""
-    p = catalog.from_part(tables.load(spark, sf_dir, "part"))
-    return p.select("product_id", V.first_error().alias("first_error"))
+    """first failing rule per product (NULL = valid)."""
+    return _faulty_parts(spark, sf_dir).select("pk", V.first_error().alias("first_error"))
 
 
 @register("validate_all_errors", f"""
-with prod as ({catalog.PART_PRODUCT_SQL})
-select product_id, {ALL_ERRORS_SQL} as all_errors,
+with prod as ({FAULTY_SQL})
+select pk, {ALL_ERRORS_SQL} as all_errors,
        cast(({' + '.join(f'(case when {c} then 1 else 0 end)' for c, _ in VALIDATION_CASES)}) as integer) as n_errors
 from prod
 """)
 def validate_all_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """every failing rule per product, joined with '; ', and their count."""
-    p = catalog.from_part(tables.load(spark, sf_dir, "part"))
     errs = V.all_errors()
-    return p.select("product_id", F.array_join(errs, "; ").alias("all_errors"),
-                    F.size(errs).cast("int").alias("n_errors"))
+    return _faulty_parts(spark, sf_dir).select("pk", F.array_join(errs, "; ").alias("all_errors"),
+                                               F.size(errs).cast("int").alias("n_errors"))

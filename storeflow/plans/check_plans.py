@@ -1,5 +1,5 @@
-"""Response-contract checks (F13-F15) over responses produced by the
-operators themselves from the driver tables."""
+"""Response-contract checks (F13-F15) over responses that the operators
+themselves produce from the driver tables, with their own status codes."""
 
 from __future__ import annotations
 
@@ -12,65 +12,70 @@ from ..operators import orders as O
 from ..operators import requests as RQ
 from ..operators import search as SR
 from ..sources import catalog, synth, tables
-from ..streaming import orders_stream as ST
-from . import order_plans, search_plans
+from . import order_plans, search_plans, streaming_plans
 from .registry import register
 
 
-def _summary(df: DataFrame, check: str, result) -> DataFrame:
-    return df.select(F.lit(check).alias("contract"), result.alias("r")).groupBy(
-        "contract", F.col("r.success").alias("success"), F.col("r.failure_reason").alias("failure_reason")
+def _summary(df: DataFrame, result) -> DataFrame:
+    """Responses per verdict."""
+    return df.select(result.alias("r")).groupBy(
+        F.col("r.success").alias("success"), F.col("r.failure_reason").alias("failure_reason")
     ).agg(F.count(F.lit(1)).cast("bigint").alias("responses"))
 
 
+def _summary_sql(reason: str, source: str) -> str:
+    return (f"select r is null as success, r as failure_reason, cast(count(*) as bigint) as responses "
+            f"from (select {reason} as r from {source}) group by 1, 2")
+
+
+@register("contract_search", f"""
+with {search_plans.MIXED_SQL}
+{_summary_sql("case when status_code <> 200 then 'Search failed with status ' || status_code "
+              "when returned > 20 then 'Too many products returned: ' || returned end", "answers")}
+""")
+def contract_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F13 over the answers to mixed search requests."""
+    products = catalog.from_part(tables.load(spark, sf_dir, "part"))
+    res = SR.response_json(SR.search(products, search_plans.mixed_requests(spark, sf_dir), wrap=search_plans.WRAP))
+    return _summary(res, LS.check_search(F.col("status_code"), F.col("body")))
+
+
+# Sync order bodies: order documents, every ninth with a customer of the wrong
+# type (400).
+@register("contract_orders_sync", f"""
+{_summary_sql("case when o_orderkey % 9 = 4 then 'Got status code 400' end", "orders")}
+""")
+def contract_orders_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F14 (sync) over the responses of the synchronous path."""
+    bodies = order_plans.order_bodies(spark, sf_dir)
+    number = F.col("order_id").cast("bigint")
+    bad = F.regexp_replace("body", '"customer_id":([0-9]+)', '"customer_id":"$1"')
+    sent = bodies.withColumn("body", F.when(number % 9 == 4, bad).otherwise(F.col("body")))
+    answers = O.sync_answers(sent, now=F.lit("2024-01-01").cast("timestamp"))
+    return _summary(answers, LS.check_order(F.col("status_code"), F.col("response_body"), asynchronous=False))
+
+
+@register("contract_orders_async", f"""
+with {streaming_plans.REQUESTS_SQL}
+{_summary_sql("case when bad then 'Expected 202, got 400' when large then 'Expected 202, got 500' end", "req")}
+""")
+def contract_orders_async(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F14 (async, strict) over the answers to order requests."""
+    rows = streaming_plans.judge_requests(streaming_plans.order_requests(tables.load(spark, sf_dir, "events")))
+    acc = F.to_json(F.struct(F.lit(C.MSG_ORDER_ASYNC).alias("message"), "order_id", F.lit(C.STATUS_PENDING).alias("status"), "message_id"))
+    body = F.when(F.col("status_code") == 202, acc).otherwise(F.to_json(F.struct("error")))
+    return _summary(rows, LS.check_order(F.col("status_code"), body, asynchronous=True, strict=True))
+
+
 @register("contract_checks", f"""
-with {order_plans._traffic_sql()},
-{search_plans.TERMS_SQL},
-f15 as (
-  select 'products' as contract,
-    case kind when 'add' then false
-              when 'get' then exists (select 1 from part where p_partkey = get_id)
-              else true end as success,
-    case kind when 'add' then 'Got status code 400'
-              when 'get' then (case when exists (select 1 from part where p_partkey = get_id)
-                                    then null else 'Product not found' end) end as failure_reason
-  from tr where kind <> 'health'),
-f14s as (select 'orders_sync' as contract, true as success, null as failure_reason from orders),
-f14a as (select 'orders_async' as contract, true as success, null as failure_reason
-         from events where event_type <> 'error'),
-f13 as (select 'search' as contract, false as success,
-               'Missing required fields in response' as failure_reason from terms),
-u as (select * from f15 union all select * from f14s union all select * from f14a
-      union all select * from f13)
-select contract, success, failure_reason, cast(count(*) as bigint) as responses
-from u group by 1, 2, 3
+with {order_plans._traffic_sql()}
+{_summary_sql("case kind when 'add' then 'Got status code 400' "
+              "when 'get' then (case when not exists (select 1 from part where p_partkey = get_id) then 'Product not found' end) end",
+              "tr where kind <> 'health'")}
 """)
 def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The load tests' response checks applied to responses
-    of the search, order and product operators."""
-    t = lambda n: tables.load(spark, sf_dir, n)
-    products = catalog.from_part(t("part"))
-    # synthetic product traffic
-    traffic = RQ.outcomes(synth.product_traffic(t("events").select("event_id"), "event_id"), products)
+    """F15 over the answers to product traffic."""
+    products = catalog.from_part(tables.load(spark, sf_dir, "part"))
+    traffic = RQ.outcomes(synth.product_traffic(tables.load(spark, sf_dir, "events").select("event_id"), "event_id"), products)
     body = F.coalesce(F.col("response_body"), F.to_json(F.col("error")))
-    f15 = _summary(traffic, "products", LS.check_product(F.col("kind"), F.col("status_code"), body))
-    # F14 sync: order documents through the synchronous path
-    docs = order_plans._decoded_documents(spark, sf_dir)
-    sync = O.sync_response(O.process_sync(docs, now=F.col("created_at")))
-    sync_body = F.to_json(F.struct("message", "order_id", "status"))
-    f14s = _summary(sync, "orders_sync", LS.check_order(F.lit(200), sync_body, asynchronous=False))
-    # F14 async: events accepted as orders (202 with order_id and message_id)
-    ev = t("events").where(F.col("event_type") != "error").select(
-        "event_id", F.to_json(F.struct(F.col("user_id").alias("customer_id"))).alias("body"))
-    published, _ = ST.accept(ev, now=F.lit(None).cast("timestamp"),
-                             generated_id=F.concat(F.lit("ord-"), F.col("event_id").cast("string")),
-                             message_id=F.concat(F.lit("msg-"), F.col("event_id").cast("string")))
-    acc = O.async_response(published.withColumn("order_id", F.col("attributes")["order_id"])
-                           .withColumn("status", F.lit(C.STATUS_PENDING)), F.col("message_id"))
-    acc_body = F.to_json(F.struct("message", "order_id", "status", "message_id"))
-    f14a = _summary(acc, "orders_async", LS.check_order(F.lit(202), acc_body, asynchronous=True, strict=True))
-    # bounded search responses (no search_time field is produced)
-    res = SR.response_json(SR.search(products, search_plans._requests(spark, products)))
-    f13 = _summary(res, "search", LS.check_search(F.col("status_code"), F.col("body")))
-    return f15.unionByName(f14s).unionByName(f14a).unionByName(f13)
-
+    return _summary(traffic, LS.check_product(F.col("kind"), F.col("status_code"), body))

@@ -11,6 +11,7 @@ from ..operators import requests as RQ
 from ..sources import catalog, tables
 from ..schemas import PRODUCT_FIELDS
 from ..session import materialize
+from .catalog_plans import faulty, faulty_sql
 from .registry import register
 
 MISSING_ID_BASE = C.TRAFFIC_MISSING_ID_RANGE[0]
@@ -27,7 +28,7 @@ def _get_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 (F.col("o_orderkey") + MISSING_ID_BASE).cast("string").alias("product_id_text"))
     docs = t("documents").select(F.lit("doc").alias("source"), F.col("source").alias("product_id_text"))
     return (lines.unionByName(orders).unionByName(docs)
-                 .select(F.lit(None).cast("bigint").alias("request_id"), F.lit("GET").alias("method"),
+                 .select(F.lit("GET").alias("method"),
                          "product_id_text", F.lit(None).cast("string").alias("body"), "source"))
 
 
@@ -35,6 +36,29 @@ ID_SQL = ("case when regexp_full_match(product_id_text, '[+-]?[0-9]+') "
           "then try_cast(product_id_text as integer) end")
 
 
+# Id texts of every form, from the tables' keys.
+ID_FORMS = ["cast(k as varchar)", "'+' || cast(k as varchar)", "'00' || cast(k as varchar)", "'-' || cast(k as varchar)",
+            "' ' || cast(k as varchar)", "cast(k as varchar) || '.5'", "cast(k as varchar) || chr(10)", "cast(k as varchar) || chr(13)",
+            "cast(k + 2147483000 as varchar)", "cast(k as varchar) || 'x'", "''", "'+'"]
+
+
+@register("parse_ids", f"""
+with ids as (
+  select k, unnest([{', '.join(ID_FORMS)}]) as t from (select p_partkey as k from part)
+  union all select doc_id, source from documents),
+parsed as (select k, t, case when regexp_full_match(t, '[+-]?[0-9]+') then try_cast(t as integer) end as id from ids)
+select k, t, id, coalesce(id >= 1, false) as valid from parsed
+""")
+def parse_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 F2: request id texts parsed as 32-bit integers, and checked."""
+    from ..functions import scalars as S
+    forms = F.array(*[F.expr(x.replace("varchar", "string")) for x in ID_FORMS])
+    ids = tables.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select("k", F.explode(forms).alias("t"))
+    docs = tables.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("source").alias("t"))
+    return (ids.unionByName(docs).withColumn("id", S.parse_request_id("t"))
+               .withColumn("valid", S.valid_id("id")))
+
+
 @register("lookup_status", f"""
 with reqs as (
   select 'line' as source, cast(l_partkey as varchar) as product_id_text from lineitem
@@ -78,19 +102,28 @@ def missing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _customer_base_and_updates(spark: SparkSession, sf_dir: str):
-    base = tables.load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    upd = tables.load(spark, sf_dir, "orders").select(
+    # two thirds of the customers are known; four fifths of them order, so
+    # there are rows to insert, to replace and to keep
+    base = (tables.load(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 != 0)
+            .select("c_custkey", "c_acctbal", "c_mktsegment"))
+    upd = tables.load(spark, sf_dir, "orders").where(F.col("o_custkey") % 5 != 0).select(
         F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"),
         F.col("o_orderpriority").alias("c_mktsegment"), F.col("o_orderkey").alias("seq"))
     return base, upd
 
 
-@register("upsert_latest", """
-with upd as (
+BASE_SQL = """
+base as (select * from customer where c_custkey % 3 <> 0),
+ups as (select * from orders where o_custkey % 5 <> 0)"""
+
+
+@register("upsert_latest", f"""
+with {BASE_SQL},
+upd as (
   select o_custkey as c_custkey, arg_max(o_totalprice, o_orderkey) as c_acctbal,
          arg_max(o_orderpriority, o_orderkey) as c_mktsegment
-  from orders group by o_custkey)
-select c_custkey, c_acctbal, c_mktsegment from customer
+  from ups group by o_custkey)
+select c_custkey, c_acctbal, c_mktsegment from base
 where c_custkey not in (select c_custkey from upd)
 union all select c_custkey, c_acctbal, c_mktsegment from upd
 """)
@@ -100,14 +133,14 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.upsert(base, upd, "c_custkey", "seq")
 
 
-@register("upsert_new_count", """
-with nn as (select count(distinct o_custkey) as n from orders
-            where o_custkey not in (select c_custkey from customer))
-select 'base_count' as metric, cast(count(*) as bigint) as value from customer
-union all select 'update_rows', cast(count(*) as bigint) from orders
-union all select 'update_keys', cast(count(distinct o_custkey) as bigint) from orders
+@register("upsert_new_count", f"""
+with {BASE_SQL},
+nn as (select count(distinct o_custkey) as n from ups where o_custkey not in (select c_custkey from base))
+select 'base_count' as metric, cast(count(*) as bigint) as value from base
+union all select 'update_rows', cast(count(*) as bigint) from ups
+union all select 'update_keys', cast(count(distinct o_custkey) as bigint) from ups
 union all select 'net_new', cast(n as bigint) from nn
-union all select 'final_count', cast((select count(*) from customer) + n as bigint) from nn
+union all select 'final_count', cast((select count(*) from base) + n as bigint) from nn
 """)
 def upsert_new_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 A2: counts around the upsert; the count grows only for unseen keys."""
@@ -125,24 +158,41 @@ def upsert_new_count(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(metric("final_count", one(merged), "v")))
 
 
+#: New products are written under their part's number plus this.
+NEW_IDS = 1_000_000
+# Write bodies: every part with the faults of its kind, written again with
+# another weight, and every seventh part under a new id.
+WRITES_SQL = f"""
+prod as ({catalog.PART_PRODUCT_SQL}),
+bodies as (
+  select 'part' as source, 2 * product_id as seq, product_id as pk, * from prod
+  union all select 'again', 2 * product_id + 1, product_id, * replace (weight + 1 as weight) from prod
+  union all select 'new', 2 * product_id, product_id, * replace (product_id + {NEW_IDS} as product_id) from prod where product_id % 7 = 0)"""
+
+
 def _post_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """POST traffic derived from the tables: every part row written back as
-    its product JSON, every event's props and every document's text sent
-    as a body (zero-valued product / malformed JSON)."""
+    """POST traffic derived from the tables: products of every kind of fault
+    (see WRITES_SQL), every event's props and every document's text sent as
+    a body (zero-valued product / malformed JSON). ``seq`` is the order of writes."""
     t = lambda n: tables.load(spark, sf_dir, n)
-    prod = catalog.from_part(t("part"))
-    parts = prod.select(F.lit("part").alias("source"),
-                        F.col("product_id").cast("string").alias("product_id_text"),
-                        F.to_json(F.struct(*PRODUCT_FIELDS)).alias("body"))
-    events = t("events").select(F.lit("event").alias("source"),
+    prod = catalog.from_part(t("part")).withColumn("pk", F.col("product_id"))
+    own = prod.withColumn("source", F.lit("part")).withColumn("seq", 2 * F.col("pk"))
+    again = (prod.withColumn("weight", F.col("weight") + 1).withColumn("source", F.lit("again"))
+                 .withColumn("seq", 2 * F.col("pk") + 1))
+    new = (prod.where(F.col("pk") % 7 == 0).withColumn("product_id", F.col("pk") + NEW_IDS)
+               .withColumn("source", F.lit("new")).withColumn("seq", 2 * F.col("pk")))
+    bodies = own.unionByName(again).unionByName(new)
+    parts = faulty(bodies, "pk", ("product_id",), ("source", "seq")).select(
+        "source", "seq", F.col("product_id").cast("string").alias("product_id_text"),
+        F.to_json(F.struct(*PRODUCT_FIELDS)).alias("body"))
+    events = t("events").select(F.lit("event").alias("source"), F.col("event_id").alias("seq"),
                                 F.col("user_id").cast("string").alias("product_id_text"),
                                 F.col("props").alias("body"))
-    docs = t("documents").select(F.lit("doc").alias("source"),
+    docs = t("documents").select(F.lit("doc").alias("source"), F.col("doc_id").alias("seq"),
                                  F.col("doc_id").cast("string").alias("product_id_text"),
                                  F.col("text").alias("body"))
     return (parts.unionByName(events).unionByName(docs)
-                 .select(F.lit(None).cast("bigint").alias("request_id"), F.lit("POST").alias("method"),
-                         "product_id_text", "body", "source"))
+                 .select(F.lit("POST").alias("method"), "product_id_text", "body", "source", "seq"))
 
 
 def _rules_sql(prefix: str) -> str:
@@ -151,18 +201,20 @@ def _rules_sql(prefix: str) -> str:
 
 
 POST_SQL = f"""
+{WRITES_SQL},
+faulty as ({faulty_sql("pk", "select * from bodies", ("product_id",)).replace("select pk,", "select source, seq, pk,", 1)}),
 reqs as (
-  select 'part' as source, cast(p_partkey as varchar) as product_id_text,
-         to_json({{'product_id': p.product_id, 'sku': p.sku, 'manufacturer': p.manufacturer,
-                  'category_id': p.category_id, 'weight': p.weight, 'some_other_id': p.some_other_id,
-                  'name': p.name, 'category': p.category, 'description': p.description,
-                  'brand': p.brand}})::varchar as body
-  from ({catalog.PART_PRODUCT_SQL}) p join part on p.product_id = part.p_partkey
-  union all select 'event', cast(user_id as varchar), props from events
-  union all select 'doc', cast(doc_id as varchar), text from documents
+  select source, seq, cast(product_id as varchar) as product_id_text,
+         to_json({{'product_id': product_id, 'sku': sku, 'manufacturer': manufacturer,
+                  'category_id': category_id, 'weight': weight, 'some_other_id': some_other_id,
+                  'name': name, 'category': category, 'description': description,
+                  'brand': brand}})::varchar as body
+  from faulty
+  union all select 'event', event_id, cast(user_id as varchar), props from events
+  union all select 'doc', doc_id, cast(doc_id as varchar), text from documents
 ),
 dec as (
-  select source, product_id_text, body, {ID_SQL} as pid,
+  select source, seq, product_id_text, body, {ID_SQL} as pid,
          coalesce(json_valid(body), false) and starts_with(ltrim(body), '{{') as json_ok
   from reqs
 ),
@@ -182,7 +234,7 @@ fields as (
   from dec2
 ),
 judged as (
-  select source, product_id_text, pid, product_id,
+  select source, seq, product_id_text, pid, product_id, sku, weight, brand,
     case when pid is null or pid < 1 then 'id'
          when not json_ok then 'json'
          when product_id <> pid then 'mismatch'
@@ -212,24 +264,49 @@ def product_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("error.message").alias("message"), F.col("error.details").alias("details"))
 
 
+#: The catalog before the writes: every second part.
+CATALOG_SQL = f"select * from ({catalog.PART_PRODUCT_SQL}) c where product_id % 2 = 0"
+
+
+def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The catalog, and the accepted writes in their order."""
+    products = catalog.from_part(tables.load(spark, sf_dir, "part")).where(F.col("product_id") % 2 == 0)
+    out = RQ.outcomes(_post_requests(spark, sf_dir), products)
+    acc = out.where(F.col("status_code") == 204).select("seq", "accepted.*")
+    return products, acc.withColumn("product_id", F.col("product_id").cast("bigint"))
+
+
 @register("product_upsert", f"""
 with {POST_SQL},
+cat as ({CATALOG_SQL}),
 acc as (select distinct pid from judged where fail is null),
-nn as (select count(*) as n from acc where pid not in (select p_partkey from part))
+nn as (select count(*) as n from acc where pid not in (select product_id from cat))
 select 'accepted_writes' as metric, cast(count(*) as bigint) as value from judged where fail is null
 union all select 'net_new', cast(n as bigint) from nn
-union all select 'final_count', cast((select count(*) from part) + n as bigint) from nn
+union all select 'final_count', cast((select count(*) from cat) + n as bigint) from nn
 """)
 def product_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4 A1 A2 on accepted writes: catalog size after applying them."""
-    products = catalog.from_part(tables.load(spark, sf_dir, "part"))
-    out = RQ.outcomes(_post_requests(spark, sf_dir), products)
-    acc = out.where(F.col("status_code") == 204).select("accepted.*")
+    products, acc = _written(spark, sf_dir)
     # accepted writes are stored once (reliable checkpoint) and read three times
-    acc = materialize(acc.withColumn("product_id", F.col("product_id").cast("bigint")))
-    merged = K.upsert(products, acc.select(*products.columns), "product_id")
+    acc = materialize(acc)
+    merged = K.upsert(products, acc, "product_id", "seq")
     one = lambda df, n: df.agg(F.count(F.lit(1)).cast("bigint").alias("value")).select(
         F.lit(n).alias("metric"), "value")
     nn = K.net_new_count(products, acc, "product_id").select(
         F.lit("net_new").alias("metric"), F.col("net_new").alias("value"))
     return one(acc, "accepted_writes").unionByName(nn).unionByName(one(merged, "final_count"))
+
+
+@register("product_upsert_rows", f"""
+with {POST_SQL},
+cat as ({CATALOG_SQL}),
+last as (select pid as product_id, arg_max(sku, seq) as sku, cast(arg_max(weight, seq) as integer) as weight, arg_max(brand, seq) as brand
+         from judged where fail is null group by pid)
+select product_id, sku, weight, brand from cat where product_id not in (select product_id from last)
+union all select * from last
+""")
+def product_upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 W1 on accepted writes: the catalog after the last write of each product."""
+    products, acc = _written(spark, sf_dir)
+    return K.upsert(products, acc, "product_id", "seq").select("product_id", "sku", "weight", "brand")

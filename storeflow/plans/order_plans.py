@@ -30,14 +30,27 @@ def _order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "items", F.col("o_orderdate").cast("timestamp").alias("created_at"))
 
 
+def order_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order document's JSON request body."""
+    docs = _order_documents(spark, sf_dir)
+    return docs.select("order_id", codec.encode(O.order_struct(docs)).alias("body"))
+
+
 def _decoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S8 then S6: encode each document as its JSON request body and decode it."""
-    docs = _order_documents(spark, sf_dir)
-    body = codec.encode(O.order_struct(docs))
-    rows = codec.decode_rows(docs.select(body.alias("body")), "body", "order", strict=False)
+    rows = codec.decode_rows(order_bodies(spark, sf_dir).select("body"), "body", "order", strict=False)
     return rows.where("ok").select("value.*")
 
 
+#: Parts up to this size are in the catalog that order lines are checked against.
+STOCKED_SIZE = 45
+
+
+def _stocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = tables.load(spark, sf_dir, "part").where(F.col("p_size") <= STOCKED_SIZE)
+    return part.select(F.col("p_partkey").alias("product_id"))
+
+
 LINE_PRICE_SQL = "case when l_quantity = 0 then null else l_extendedprice / l_quantity end"
 
 
@@ -45,15 +58,13 @@ LINE_PRICE_SQL = "case when l_quantity = 0 then null else l_extendedprice / l_qu
 select cast(l_orderkey as varchar) as order_id, l_partkey as product_id,
        cast(l_quantity as bigint) as quantity, {LINE_PRICE_SQL} as price,
        p.p_partkey is not null as product_known
-from lineitem left join part p on p.p_partkey = l_partkey
+from lineitem left join part p on p.p_partkey = l_partkey and p.p_size <= {STOCKED_SIZE}
 """)
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested orders through JSON, unnested to lines, each
     line checked against the catalog."""
     lines = O.unnest(_decoded_documents(spark, sf_dir))
-    part = tables.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"),
-                                                     F.lit(True).alias("_k"))
-    return (lines.join(part, "product_id", "left")
+    return (lines.join(_stocked(spark, sf_dir).withColumn("_k", F.lit(True)), "product_id", "left")
                  .select("order_id", "product_id", "quantity", "price",
                          F.coalesce("_k", F.lit(False)).alias("product_known")))
 
@@ -65,13 +76,10 @@ from orders left join lineitem on l_orderkey = o_orderkey
 group by o_orderkey
 """)
 def order_item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items per order (0 for orders without lines), over all documents."""
+    """Items per order (0 for orders without lines)."""
     docs = _decoded_documents(spark, sf_dir)
     qty = F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x["quantity"])
-    return (docs.select("order_id", O.item_count("items").alias("n"), qty.alias("q"))
-                .groupBy("order_id")
-                .agg(F.sum("n").cast("bigint").alias("n_items"),
-                     F.sum("q").cast("bigint").alias("total_quantity")))
+    return docs.select("order_id", O.item_count("items").alias("n_items"), qty.alias("total_quantity"))
 
 
 @register("orders_sync", f"""
@@ -84,9 +92,7 @@ def orders_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decode, stamp processing, complete, respond."""
     docs = _decoded_documents(spark, sf_dir)
     done = O.process_sync(docs, now=F.col("created_at"))
-    per_order = (done.withColumn("n", O.item_count("items")).groupBy("order_id", "status")
-                     .agg(F.sum("n").cast("bigint").alias("n_items")))
-    return O.sync_response(per_order, "n_items")
+    return O.sync_response(done.withColumn("n_items", O.item_count("items")), "n_items")
 
 
 @register("status_latest", """
@@ -110,21 +116,39 @@ def dedupe_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.first_delivery(ev, ["user_id", "props"], "event_id")
 
 
-@register("poison_split", """
-with m as (
-  select event_id, case when event_type = 'error' then props || '}'
-                        else props end as msg from events)
-select event_id, not (coalesce(json_valid(msg), false) and starts_with(ltrim(msg), '{')) as poison
-from m
+# Queue messages from events, whole or damaged in one of six ways, written in
+# SQL that Spark and DuckDB read alike; k is event_id modulo 11.
+MESSAGES = [
+    (1, "props || '}'"), (2, "substr(props, 1, length(props) - 1)"), (3, "replace(props, '\"', chr(39))"),
+    (4, "'{\"items\":[{\"price\":NaN}]}'"), (5, "'{\"customer_id\":\"' || event_type || '\"}'"), (6, "props || ' x'"),
+    (7, "'{\"created_at\":\"2024-01-01T00:00:00.123456789Z\",\"customer_id\":' || cast(user_id as varchar) || '}'"),
+    (8, "'{\"items\":[null,{\"product_id\":' || cast(user_id as varchar) || '}]}'"), (9, "' null '"), (10, "'[' || props || ']'"),
+]
+MESSAGE_SQL = "case event_id % 11 " + " ".join(f"when {k} then {m}" for k, m in MESSAGES) + " else props end"
+
+
+@register("poison_split", f"""
+with m as (select event_id, {MESSAGE_SQL} as msg from events),
+v as (select event_id, msg, json_valid(msg) and not regexp_matches(msg, ':NaN') as valid from m)
+select event_id,
+       not (valid and (trim(msg) = 'null' or json_type(case when valid then msg end) = 'OBJECT')
+            and coalesce(json_type(case when valid then msg end, '$.customer_id') in ('BIGINT', 'UBIGINT'), true)) as poison,
+       case when valid and json_type(case when valid then msg end) = 'OBJECT'
+                 and json_type(case when valid then msg end, '$.customer_id') in ('BIGINT', 'UBIGINT')
+            then nullif(cast(json_extract_string(case when valid then msg end, '$.customer_id') as bigint), 0) end as customer_id,
+       cast(case when valid and json_type(case when valid then msg end, '$.items') = 'ARRAY'
+                 then json_array_length(case when valid then msg end, '$.items') else 0 end as bigint) as n_items
+from v
 """)
 def poison_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strict decode of queue messages; error events carry a
-    damaged payload (a stray closing brace) and go to the poison side."""
+    """Strict decode of queue messages; the damaged ones go to the
+    poison side, the others give their customer and number of items."""
     ev = tables.load(spark, sf_dir, "events")
-    msg = F.when(F.col("event_type") == "error",
-                 F.concat(F.col("props"), F.lit("}"))).otherwise(F.col("props"))
-    _, ok = codec.decode_order(msg, strict=True)
-    return ev.select("event_id", (~ok).alias("poison"))
+    msg = F.expr(MESSAGE_SQL.replace("varchar", "string"))
+    rows = codec.decode_rows(ev.select("event_id", msg.alias("msg")), "msg", "order", strict=True)
+    customer = F.col("value.customer_id")
+    return rows.select("event_id", (~F.col("ok")).alias("poison"), F.when(customer != 0, customer).alias("customer_id"),
+                       O.item_count("value.items").alias("n_items"))
 
 
 def _synth_orders_sql() -> str:
@@ -159,16 +183,14 @@ def synthetic_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("order_refs_missing", f"""
-with {_synth_orders_sql()}
-select order_key, line_no, product_id from sl
-where not exists (select 1 from part where p_partkey = product_id)
+select l_orderkey as order_key, l_linenumber as line_no, l_partkey as product_id from lineitem
+where not exists (select 1 from part where p_partkey = l_partkey and p_size <= {STOCKED_SIZE})
 """)
 def order_refs_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic order lines whose product is not in the catalog."""
-    part = tables.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"))
-    lines = _synth_lines(spark, sf_dir).select(
-        "order_key", F.col("line_no").cast("int").alias("line_no"), "product_id")
-    return lines.join(part, "product_id", "left_anti").select("order_key", "line_no", "product_id")
+    """Order lines whose product is not in the catalog."""
+    lines = tables.load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("product_id"))
+    return lines.join(_stocked(spark, sf_dir), "product_id", "left_anti").select("order_key", "line_no", "product_id")
 
 
 def _terms_sql() -> str:
