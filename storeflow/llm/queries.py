@@ -49,11 +49,43 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+ORACLE_SQL["op6_substring_dedup"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') as k
+            from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+least as (select k, min(doc_id) as m from windows group by k),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from windows join least using (k) where m < doc_id),
+words as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, string_agg(x, ' ' order by p) as t, count(*) as n from words anti join gone using (doc_id, p) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated(documents(spark, sf_dir)).drop("removed")
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE_SQL["op7_benchmark_decontamination"] = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+items as (select distinct item, least(len(w), 13) as n, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') as k
+          from (select item, w, unnest(range(1, greatest(len(w) - 11, 2))) as i from b where len(w) > 0)),
+sizes as (select distinct n from items),
+windows as (select doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') as k
+            from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d join sizes on len(w) >= n)),
+found as (select doc_id, items.n, i, item from windows join items on items.n = windows.n and items.k = windows.k),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from found) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from found) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (doc_id) left join named using (doc_id)
+"""
+
+
 @query
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.overlap(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
