@@ -31,7 +31,7 @@ from .stages import Stage, keyed_text
 FAN = 8
 #: A phrase ends after a space after punctuation or one of these letters;
 #: it keeps the space, so that the leaves hold the whole text.
-PHRASE_END = r"(?<=[.!?,;:|*#$%&esnd][ \t])"
+PHRASE_END = r"(?<=[.!?;:|*dgs][ \t])"
 
 
 def _tree(text: Column) -> Column:
@@ -84,18 +84,28 @@ def differing(a: str, b: str) -> Column:
     return F.array_compact(F.flatten(inside))
 
 
+#: What tells rows apart: doc_id (0 for null), a hash of the text (and of
+#: whether doc_id is null), code points. None is null.
+KEY = ["k_id", "k_text", "n_chars"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return keyed_text(docs).select(
+        "doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("k_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("k_text"),
+        F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def neighbours(texts: DataFrame) -> DataFrame:
-    """One row per text row in descending doc_id: ``key`` (doc_id, hash and
-    code points), its number ``at``, and number and key of the row whose next
-    row it is (``of_at``, ``of_key``). Numbers come from range-sorted blocks of narrow rows; a block's first row takes
-    its predecessor from the last of the block before."""
-    key = F.struct("doc_id", F.xxhash64("text").alias("h"), F.char_length("text").cast("bigint").alias("n_chars"))
-    narrow = texts.select(key.alias("key"))
-    blocks = Stage(narrow.orderBy(F.col("key.doc_id").desc_nulls_last(), "key.h", "key.n_chars")
-                         .withColumn("block", F.spark_partition_id())
-                         .withColumn("mid", F.monotonically_increasing_id()), "merkle-order").df
+    """One row per row of ``keyed`` in descending doc_id: doc_id, its key, its
+    number ``at``, and number and key of the row whose next row it is
+    (``of_at``, ``of_k_id`` ...). Numbers come from range-sorted blocks of
+    narrow rows; a block's first row takes its predecessor from the last of
+    the block before."""
+    blocks = Stage(texts.select("doc_id", *KEY).orderBy(F.col("doc_id").desc_nulls_last(), "k_text", "n_chars")
+                        .withColumn("block", F.spark_partition_id())
+                        .withColumn("mid", F.monotonically_increasing_id()), "merkle-order").df
     sums = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("first"),
-                                       F.max_by("key", "mid").alias("last_key"))
+                                       F.max_by(F.struct(*KEY), "mid").alias("last_key"))
     # one row per sort partition, whatever the number of documents
     order = Window.orderBy("block")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -104,8 +114,9 @@ def neighbours(texts: DataFrame) -> DataFrame:
     inside = Window.partitionBy("block").orderBy("mid")
     return (blocks.join(F.broadcast(sums), "block")
                   .withColumn("at", F.col("offset") + F.col("mid") - F.col("first"))
-                  .withColumn("of_key", F.coalesce(F.lag("key").over(inside), F.col("carry")))
-                  .select("key", "at", F.pmod(F.col("at") - 1, F.col("total")).alias("of_at"), "of_key"))
+                  .withColumn("of", F.coalesce(F.lag(F.struct(*KEY)).over(inside), F.col("carry")))
+                  .select("doc_id", *KEY, "at", F.pmod(F.col("at") - 1, F.col("total")).alias("of_at"),
+                          *[F.col(f"of.{k}").alias(f"of_{k}") for k in KEY]))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -115,26 +126,23 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     (or all) of the next text in descending doc_id (after the last: the
     first). Texts are shuffled once, by their key; of the next text only the
     part that is used and the leaf hashes travel."""
-    texts = keyed_text(docs)
+    texts = keyed(docs)
     order = Stage(neighbours(texts), "merkle-neighbours").df
-    key = F.struct("doc_id", F.xxhash64("text").alias("h"), F.char_length("text").cast("bigint").alias("n_chars"))
-    told = texts.withColumn("key", key).groupBy("key").agg(F.first("text").alias("text"))
-    rows = told.join(order, "key")
+    rows = texts.groupBy(*KEY).agg(F.first("text").alias("text")).join(order, KEY)
     third = lambda chars: F.floor(chars / 3).cast("int")
     given = with_tree(rows, "text", "next_").select(
-        F.col("of_key").alias("key"), "of_at", "next_leaves",
-        F.substring(F.col("text"), F.lit(1), third(F.col("of_key.n_chars"))).alias("given"))
-    own = rows.select("key", "at", "text").alias("own")
-    given = given.alias("given")
+        *[F.col(f"of_{k}").alias(k) for k in KEY], "of_at", F.array_distinct("next_leaves").alias("next_leaves"),
+        F.substring(F.col("text"), F.lit(1), third(F.col("of_n_chars"))).alias("given")).alias("given")
+    own = rows.select("doc_id", *KEY, "at", "text").alias("own")
     # the number is compared by difference: rows stay dealt by their key alone
-    both = own.join(given, (F.col("own.key") == F.col("given.key")) & (F.col("own.at") - F.col("given.of_at") == 0))
-    n = F.col("key.n_chars")
-    out = both.select("own.key", "own.text", "given.given", "given.next_leaves").select(
-        "key", "text", "next_leaves",
+    same = [F.col(f"own.{k}") == F.col(f"given.{k}") for k in KEY] + [F.col("own.at") - F.col("given.of_at") == 0]
+    n = F.col("n_chars")
+    out = own.join(given, same).select("own.doc_id", "own.n_chars", "own.text", "given.given", "given.next_leaves").select(
+        "doc_id", "n_chars", "text", "next_leaves",
         F.concat(F.substring(F.col("text"), F.lit(1), n.cast("int") - third(n)), F.col("given")).alias("edited"))
     out = with_tree(with_tree(out, "text", ""), "edited", "edited_")
     return out.select(
-        "key.doc_id", "key.n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint("").alias("fingerprint"), fingerprint("edited_").alias("edited_fingerprint"),
         likeness("leaves", "edited_leaves").alias("near_edited"), likeness("leaves", "next_leaves").alias("near_next"),
         differing("", "edited_").alias("edited_paragraphs"))
