@@ -80,7 +80,8 @@ def kd_leaves(points: DataFrame, shards: int) -> DataFrame:
     """``points`` (group, size, part, weight, dimensions, tie) with ``shard``.
     A node is (first shard, number of shards); the number of nodes is at
     most the number of shards, so tables per node are broadcast."""
-    now = points.withColumn("node", F.lit(0)).withColumn("leaves", F.lit(shards))
+    # written, so that the node stays a join key and no constant
+    now = Stage(points.withColumn("node", F.lit(0)).withColumn("leaves", F.lit(shards)), "kd-root").df
     spread = points.agg(*[(F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS]).first()
     left = shards
     while left > 1:
