@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,19 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def with_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package also where only the driver was
+    told its folder (a cluster has it installed or sent by --py-files)."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table."""
     return table(spark, sf_dir, "documents")
@@ -23,6 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keyed_text(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id and text (null: empty) plus named columns; other columns go."""
+    with_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
@@ -34,7 +49,7 @@ class Stage:
     def __init__(self, df: DataFrame, name: str):
         spark = df.sparkSession
         self.spark, self.path = spark, scratch_path(spark, name)
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
