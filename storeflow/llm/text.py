@@ -2,7 +2,7 @@
 
 The texts of an Arrow batch lie in one UTF-8 buffer. Word classes here are
 sets of ASCII bytes (every byte from 0x80 up is a word byte), so words are
-found on bytes, for all texts of a block at once. Blocks hold a few MB of
+found on bytes, for all texts of a block at once. Blocks hold about a MB of
 whole texts (one text alone if it is larger), which bounds memory.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def _table(separators) -> np.ndarray:
