@@ -1,10 +1,11 @@
 """Toxicity by maximum-scoring segments.
 
-1. Words (hashed to ``BUCKETS`` features) are counted over all documents,
-   and over the toxic and the other labelled documents of the learning fold.
+1. Words (by their 64-bit hash) are counted over all documents, and over
+   the toxic and the other labelled documents of the learning fold.
 2. A word's score is its log-odds between the two classes under a Dirichlet
    prior shaped like the whole corpus, drawn towards zero by ``CERTAINTY``
-   standard deviations (words whose odds are no surer than that score zero),
+   standard deviations (words whose odds are no surer than that score zero,
+   as do words that no labelled document has),
    less a drift per word, so that ordinary text scores below zero.
 3. A linear-time scan finds every maximal-scoring segment of a text.
 4. Segment scores of length-n text without toxic passages follow an extreme-
@@ -37,9 +38,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .decontamination import Lookup
 from .stages import Stage, keyed_text, stage
 
-BUCKETS = 1 << 19
+#: Distinct words that a task adds up before it hands them on.
+WORDS_HELD = 1 << 20
 #: Bound on the labelled rows that teach.
 MAX_LABELLED = 500_000
 #: Words of prior, as a share of the smaller class's words.
@@ -54,7 +57,8 @@ EVIDENCE_STEPS, MOST_EVIDENCE = 4, 200.0
 
 @dataclass
 class Model:
-    scores: np.ndarray  # per bucket
+    words: np.ndarray   # hashes of the words that score, ascending
+    scores: np.ndarray  # of these words; all others score -DRIFT
     rate: float         # lambda
     k: float = 1.0
     base: float = -40.0  # logistic curve: base + slope * evidence
@@ -75,39 +79,50 @@ def teaching(labels: DataFrame) -> DataFrame:
     return known
 
 
-def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, T.Words]:
+def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, T.Words]:
     w = T.words(T.lower(data), offsets, T.ALNUM)
-    return (w.hashes() >> np.uint64(64 - 19)).astype(np.int64), w
+    return w.hashes(), w
+
+
+def _added(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words, and the sums of their rows of counts."""
+    order = np.argsort(words, kind="stable")
+    words, counts = words[order], counts[order]
+    first = np.flatnonzero(np.diff(words, prepend=~words[:1]) != 0)
+    return (words[first], np.add.reduceat(counts, first)) if len(first) else (words, counts)
 
 
 def word_counts(docs: DataFrame, taught: DataFrame) -> DataFrame:
-    """(bucket, n, n_toxic, n_other) over all documents; each task adds its
-    words up before the shuffle."""
+    """(word, n, n_toxic, n_other) over all documents; each task adds its
+    words up before the shuffle, WORDS_HELD distinct ones at a time."""
+    def rows_of(words, counts):
+        for part in np.array_split(np.arange(len(words)), max(1, len(words) // 65536)):
+            yield pa.RecordBatch.from_arrays([pa.array(T.signed(words[part])), *(pa.array(counts[part, k]) for k in range(3))],
+                                             names=["word", "n", "n_toxic", "n_other"])
+
     def run(batches):
-        total = np.zeros((BUCKETS, 3), np.int64)
+        words, total = np.zeros(0, np.uint64), np.zeros((0, 3), np.int64)
         for rows, data, offsets in T.blocks(batches):
-            b, w = buckets(data, offsets)
+            h, w = hashed(data, offsets)
             label = np.repeat(rows.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False), w.counts)
-            total[:, 0] += np.bincount(b, minlength=BUCKETS)
-            for k, of in ((1, 1), (2, 0)):
-                some = b[label == of]
-                if len(some):
-                    total[:, k] += np.bincount(some, minlength=BUCKETS)
-        used = np.flatnonzero(total[:, 0])
-        for part in np.array_split(used, max(1, len(used) // 65536)):
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(total[part, k]) for k in range(3))],
-                                             names=["bucket", "n", "n_toxic", "n_other"])
+            new, counts = _added(h, np.stack([np.ones(len(h), np.int64), label == 1, label == 0], axis=1).astype(np.int64))
+            words, total = _added(np.concatenate([words, new]), np.concatenate([total, counts]))
+            if len(words) > WORDS_HELD:
+                yield from rows_of(words, total)
+                words, total = words[:0], total[:0]
+        yield from rows_of(words, total)
 
     joined = docs.join(F.broadcast(taught), "doc_id", "left").select("text", "toxic")
-    return (joined.mapInArrow(run, "bucket int, n bigint, n_toxic bigint, n_other bigint")
-                  .groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "n_toxic", "n_other")]))
+    return (joined.mapInArrow(run, "word bigint, n bigint, n_toxic bigint, n_other bigint")
+                  .groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n_toxic", "n_other")]))
 
 
-def log_odds(n: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Per bucket: log-odds ratio under the corpus-shaped Dirichlet prior,
-    drawn to zero by CERTAINTY standard deviations."""
+def log_odds(n: np.ndarray, toxic: np.ndarray, other: np.ndarray, n_words: int, n_distinct: int) -> np.ndarray:
+    """Per word met in labelled documents: log-odds ratio under the prior
+    shaped like the corpus of ``n_words`` words, ``n_distinct`` of them
+    distinct, drawn to zero by CERTAINTY standard deviations."""
     mass = PRIOR * max(min(toxic.sum(), other.sum()), 1)
-    prior = mass * (n + 0.5) / (n.sum() + 0.5 * len(n))
+    prior = mass * (n + 0.5) / (n_words + 0.5 * n_distinct)
     a, b = toxic + prior, other + prior
     ratio = np.log(a / (toxic.sum() + mass - a)) - np.log(b / (other.sum() + mass - b))
     sure = np.abs(ratio) - CERTAINTY * np.sqrt(1 / a + 1 / b)
@@ -171,10 +186,12 @@ def passages(docs: DataFrame, model) -> DataFrame:
     """doc_id, n_words and ``segments`` (begin, end, score), all maximal-
     scoring segments of every text. ``model``: a broadcast Model."""
     def run(batches):
-        table = model.value.scores
+        look, scores = Lookup(model.value.words), model.value.scores
         for rows, data, offsets in T.blocks(batches):
-            b, w = buckets(data, offsets)
-            s = table[b].astype(np.float64)
+            h, w = hashed(data, offsets)
+            s = np.full(len(h), -DRIFT)
+            at, k = look.find(h)
+            s[at] = scores[k]
             some = np.zeros(len(offsets) - 1, bool)
             some[np.unique(w.owner()[s > 0])] = True
             segments = [_text_segments(s[w.first[i]: w.first[i + 1]]) if some[i] else [] for i in range(len(some))]
@@ -215,16 +232,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     spark = docs.sparkSession
     texts = keyed_text(docs)
     taught = stage(teaching(labels), "labels")
-    found = word_counts(texts, taught).toArrow()  # at most BUCKETS rows of numbers
-    n = np.zeros((BUCKETS, 3))
-    for k, c in enumerate(("n", "n_toxic", "n_other")):
-        n[found["bucket"].to_numpy(), k] = found[c].to_numpy()
+    counted = Stage(word_counts(texts, taught), "words").df
+    all_words = counted.agg(F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    # words of the bounded sample only
+    found = counted.where("n_toxic + n_other > 0").toArrow()
+    words = found["word"].to_numpy().view(np.uint64)
+    n, toxic, other = (found[c].to_numpy().astype(float) for c in ("n", "n_toxic", "n_other"))
     del found
-    if n[:, 1].sum() and n[:, 2].sum():
-        scores = log_odds(n[:, 0], n[:, 1], n[:, 2]) - DRIFT
-        model = Model(scores.astype(np.float32), decay_rate(scores, n[:, 0]))
+    if len(words) and toxic.sum() and other.sum():
+        scores = log_odds(n, toxic, other, all_words.n, all_words.distinct)
+        rate = decay_rate(np.append(scores, 0.0) - DRIFT, np.append(n, all_words.n - n.sum()))
+        some = np.flatnonzero(scores)
+        some = some[np.argsort(words[some])]
+        model = Model(words[some], scores[some] - DRIFT, rate)
     else:
-        model = Model(np.full(BUCKETS, -DRIFT, np.float32), 1.0)
+        model = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0)
     rows = Stage(passages(texts, spark.sparkContext.broadcast(model)), "passages").df
     known = rows.join(F.broadcast(taught), "doc_id").where("n_words > 0")
     best = F.coalesce(F.array_max(F.transform("segments", lambda x: x["score"])), F.lit(0.0))

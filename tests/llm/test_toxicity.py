@@ -111,3 +111,15 @@ def test_awkward_rows(spark, make):
     none = X.scored(make(rows), known.limit(0)).collect()
     assert len(none) == len(rows) and all(r.predicted == 0 for r in none)
     assert X.scored(make(rows).limit(0), known).collect() == []
+
+
+def test_words_do_not_share_counts(spark, make):
+    """A vocabulary larger than any fixed table of buckets keeps words apart."""
+    docs, labels = planted()
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    many = [(10_000 + d, " ".join(f"{d}x{k}" for k in range(2000))) for d in range(400)]
+    rows = {r.doc_id: r for r in X.scored(make(docs + many), known).collect()}
+    assert [rows[i].predicted for i, _ in docs] == [t for *_, t in labels]
+    assert all(not rows[i].segments for i, _ in many)  # words of no labelled document
+    counted = X.word_counts(make(docs + many).select("doc_id", "text"), known.select("doc_id", "toxic"))
+    assert counted.count() == len({x for _, t in docs + many for x in t.split()})
