@@ -208,12 +208,6 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
 
 
-def distinct_pieces(data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
-    """(index of one occurrence of each distinct piece, each piece's number)."""
-    _, one, number = np.unique(T.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    return one, number
-
-
 _loaded: dict[str, Ranks] = {}
 
 
@@ -229,7 +223,7 @@ def encode_block(data: np.ndarray, offsets: np.ndarray, table: Ranks) -> tuple[n
     starts, ends, first = pieces(data, offsets)
     if not len(starts):
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-    one, number = distinct_pieces(data, starts, ends)
+    one, number = T.distinct_spans(data, starts, ends)
     ids, at = table.encode_pieces(data, starts[one], ends[one])
     sizes = np.diff(at)[number]
     out = ids[ragged(at[:-1][number], sizes)]

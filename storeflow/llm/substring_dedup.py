@@ -127,8 +127,8 @@ def _ranked(name: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (name >> np.uint64(4)) | ((15 - np.minimum(words, 15)).astype(np.uint64) << np.uint64(60))
 
 
-def _second_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    return T.window_hashes(T.mix(h ^ _NAME[1]), size, seed=7)
+def _second_hashes(w: T.Words, size: int) -> np.ndarray:
+    return T.window_hashes(w.hashes(seed=1), size, seed=7)
 
 
 def _block(data, offsets):
@@ -216,7 +216,7 @@ def _windows(rows: DataFrame, size: int) -> DataFrame:
         for rows, data, offsets in T.blocks(batches):
             w, h = _block(data, offsets)
             start = _run_starts(rows, w)
-            one, two = T.window_hashes(h, size)[start], _second_hashes(h, size)[start]
+            one, two = T.window_hashes(h, size)[start], _second_hashes(w, size)[start]
             text = np.searchsorted(w.first, start, "right") - 1
             pick = np.sort(_distinct(text, one))
             yield pa.RecordBatch.from_arrays(

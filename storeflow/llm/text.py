@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 
@@ -32,22 +33,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64 (kept for the next call)."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if size <= 4 * BLOCK_BYTES:
-            _powers[base] = have
-    return have[:n]
+#: Spans up to this many bytes are hashed together, longer ones by XXH64.
+SHORT_SPAN = 64
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -110,8 +98,8 @@ class Words:
         """The text that each word belongs to."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return span_hashes(self.data, self.starts, self.ends, seed)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> Words:
@@ -128,13 +116,46 @@ def words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> Word
     return Words(data, starts, ends, np.searchsorted(starts, offsets))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span: a polynomial over random byte values,
-    taken from one running sum, then mixed with the length."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(_INVERSE, len(data) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span. Short spans take in eight bytes a
+    round, all spans at once, and mix after every round (spans of one length
+    up to eight bytes never share a hash); longer spans are hashed one by one.
+    Different seeds give independent hashes."""
+    left = ends - starts
+    h = (left + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(seed * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+    long = np.flatnonzero(left > SHORT_SPAN)
+    if len(long):
+        raw = memoryview(data.tobytes())
+        h[long] = np.fromiter((xxhash.xxh64_intdigest(raw[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist())), np.uint64, len(long))
+    live = np.flatnonzero(left <= SHORT_SPAN)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at, left, now = starts[live], left[live], h[live]
+    while len(live):
+        now = mix((now + np.uint64(_BASE)) ^ (eight[at] & _LOW_BYTES[np.minimum(left, 8)]))
+        last = left <= 8
+        h[live[last]] = now[last]
+        more = ~last
+        live, at, left, now = live[more], at[more] + 8, left[more] - 8, now[more]
+    return h
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one occurrence of each distinct span, each span's number);
+    spans of one hash are compared byte by byte."""
+    _, one, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size, chosen = ends - starts, one[number]
+    apart = size != size[chosen]
+    checked = np.where(apart, 0, size)
+    offset = np.cumsum(checked) - checked
+    step = np.arange(int(checked.sum()))
+    differs = data[np.repeat(starts - offset, checked) + step] != data[np.repeat(starts[chosen] - offset, checked) + step]
+    if differs.any():
+        apart[np.repeat(np.arange(len(starts)), checked)[differs]] = True
+    apart = np.flatnonzero(apart)
+    number[apart] = len(one) + np.arange(len(apart))
+    return np.concatenate([one, apart]), number
 
 
 def window_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:

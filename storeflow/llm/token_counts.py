@@ -202,7 +202,7 @@ class Counter:
 
     def __init__(self, path: str):
         self.machine = Transducer(path)
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text of a block."""
@@ -212,15 +212,16 @@ class Counter:
         total = np.bincount(text, minlength=n) - 1  # one for each special token
         if not len(starts):
             return total
-        h, one, number = np.unique(T.span_hashes(plain, starts, ends), return_index=True, return_inverse=True)
+        one, number = T.distinct_spans(plain, starts, ends)
         if len(self.known) > MAX_PIECES:
             self.known = {}
         raw, known, count = plain.tobytes(), self.known, self.machine.count
         tokens = []
-        for k, a, b in zip(h.tolist(), starts[one].tolist(), ends[one].tolist()):
-            c = known.get(k)
+        for a, b in zip(starts[one].tolist(), ends[one].tolist()):
+            piece = raw[a:b]
+            c = known.get(piece)
             if c is None:
-                c = known[k] = count(raw[a:b])
+                c = known[piece] = count(piece)
             tokens.append(c)
         running = np.concatenate([[0], np.cumsum(np.array(tokens, np.int64)[number])])
         return total + np.bincount(text, running[first[1:]] - running[first[:-1]], minlength=n).astype(np.int64)
