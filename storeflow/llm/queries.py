@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over the whole tables, with
+"""The registered queries of the operators, over the whole tables, with
 production parameters. Each derives the contract's columns from its operator."""
 
 from __future__ import annotations
@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, licenses, line_dedup, merkle, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
+from . import byte_bpe, collocations, decontamination, licenses, line_dedup, merkle, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
 from .stages import documents, table
 
 #: Documents of more tokens than this are over the limit.
@@ -110,3 +110,34 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+ORACLE_SQL["op13_phrase_collocations"] = rf"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) as p from documents),
+words as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces),
+grams as (select lang, size, g, count(*) as f
+          from (select lang, size, unnest([array_to_string(list_slice(w, i, i + size - 1), ' ') for i in range(1, len(w) - size + 2)]) as g
+                from words, (select unnest([1, 2, 3, 4]) as size) where len(w) >= size)
+          group by lang, size, g),
+totals as (select lang, sum(f) as n from grams where size = 1 group by lang),
+candidates as materialized (select *, string_split(g, ' ') as w from grams where size > 1 and f >= 30),
+often as materialized (select concat(lang, chr(1), g) as part, f from grams where f >= 30),
+halves as materialized (select lang, size, g, f as a, k, concat(lang, chr(1), array_to_string(list_slice(w, 1, k), ' ')) as x,
+                               concat(lang, chr(1), array_to_string(list_slice(w, k + 1, size), ' ')) as y
+                        from (select *, unnest(range(1, size)) as k from candidates)),
+cuts as (select lang, size, g, a, k, often.f as l, r, (2000000::hugeint * a) // (often.f::hugeint + r) as score
+         from (select halves.*, often.f as r from halves join often on y = part) join often on x = part),
+best as (select *, row_number() over (partition by lang, g order by score, k) as place from cuts),
+parts as (select lang, f, array_to_string(list_slice(w, i, i + n - 1), ' ') as g
+          from (select lang, f, w, size, n, unnest(range(1, size - n + 2)) as i from (select *, unnest(range(2, size)) as n from candidates))),
+most as (select lang, g, max(f) as f from parts group by lang, g),
+kept as (select best.* from best left join most using (lang, g) where place = 1 and not coalesce(100 * most.f >= 80 * a, false)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, g) as rank from kept)
+select lang, rank, g as phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
