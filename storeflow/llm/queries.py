@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, collocations, decontamination, licenses, line_dedup, merkle, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
+from . import byte_bpe, collocations, conversations, decontamination, licenses, line_dedup, merkle, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
 from .stages import documents, table
 
 #: Documents of more tokens than this are over the limit.
@@ -112,6 +112,59 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
 
 
+ORACLE_SQL["op12_conversation_repair"] = r"""
+with recursive
+keyed as (select coalesce(conv_id::varchar, ' ') as conv, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                 concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' ')) as key from conversations),
+kinds as (select *, xor(4294967295, list_reduce(list_transform(string_split(key, ''), lambda c: ascii(c)::bigint),
+                 lambda crc, b: list_reduce(range(8), lambda t, k: case when t & 1 = 1 then xor(t >> 1, 3988292384) else t >> 1 end, xor(crc, b)),
+                 4294967295::bigint)) % 20 as kind from keyed),
+damaged as (select conv, turn, case when kind = 4 then 'user' else role end as role,
+                   case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+                   unnest(range(case when kind = 3 then 2 else 1 end)) as copy from kinds where kind <> 0),
+numbered as (select conv, turn, role, text, row_number() over (partition by conv order by turn nulls first, role, sha256(concat(length(role)::varchar, ':', role, text)), copy) as i
+             from damaged),
+shown as (select *, rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) as t,
+                 row_number() over (partition by conv, role, text order by i) as nth from numbered),
+rows as (select conv, turn, role, text, i, left(role, 1) as initial,
+                case when t = '' then 1 when nth > 1 then 2 when right(t, 1) in ('.', '!', '?') then 0 else 3 end as fault,
+                lag(left(role, 1)) over (partition by conv order by i) as before from shown),
+inserts as (select * from (values (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''), (1, 2, 5, 'I'), (1, 3, 10, 'II'),
+                                  (2, 2, 0, ''), (2, 3, 5, 'I'), (3, 3, 0, ''), (3, 2, 5, 'I')) as x(s, m, fee, mark)),
+moves as (select * from (values (0, 0, 'D', ''), (1, 1, 'D', ''), (2, 2, 'D', ''), (3, 3, 'D', ''), (0, 1, 'K', 's'), (0, 2, 'K', 'u'), (1, 2, 'K', 'u'), (3, 2, 'K', 'u'),
+                                (2, 3, 'K', 'a'), (0, 2, 'R', ''), (1, 2, 'R', ''), (2, 3, 'R', ''), (3, 2, 'R', '')) as x(m, s, op, own)),
+paths as (
+  select distinct conv, 0::bigint as i, 0 as s, {'cost': 0::bigint, 'audit': '', 'made': []::varchar[]} as p from rows
+  union all
+  select r.conv, r.i, v.s, min({
+      'cost': paths.p.cost + n.fee + case v.op when 'D' then 2 when 'K' then 0 else 1 end + case when r.fault = 3 and v.op <> 'D' then 5 else 0 end,
+      'audit': concat(paths.p.audit, n.mark, v.op),
+      'made': list_concat(paths.p.made, case n.mark when 'I' then [if(n.m = 2, 'user:', 'assistant:')] when 'II' then ['user:', 'assistant:'] else []::varchar[] end,
+                          case v.op when 'D' then []::varchar[] when 'K' then [concat(r.role, ':', r.text)] else [concat(if(v.s = 2, 'user:', 'assistant:'), r.text)] end)}) as p
+  from paths join rows r on r.conv = paths.conv and r.i = paths.i + 1
+       join inserts n on n.s = paths.s
+       join moves v on v.m = n.m and (v.op <> 'K' or v.own = r.initial) and (v.op = 'D' or r.fault not in (1, 2))
+  group by r.conv, r.i, v.s),
+lengths as (select conv, max(i) as i from rows group by conv),
+ended as (select conv, min({'cost': p.cost + n.fee, 'audit': concat(p.audit, n.mark),
+                            'made': list_concat(p.made, case n.mark when 'I' then [if(n.m = 2, 'user:', 'assistant:')] when 'II' then ['user:', 'assistant:'] else []::varchar[] end)}) as p
+          from paths join lengths using (conv, i) join inserts n on n.s = paths.s where n.m in (0, 3) group by conv),
+told as (select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank,
+                count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+                count(*) filter (before is not null and concat(before, initial) not in ('su', 'ua', 'au')) as illegal from rows group by conv)
+select conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, coalesce(p.cost, 0) as cost, coalesce(p.audit, '') as audit,
+       sha256(coalesce(array_to_string(p.made, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id, coalesce(conv_id::varchar, ' ') as conv from conversations) left join told using (conv) left join ended using (conv)
+"""
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.audited(rows, conversations.damaged(rows))
+
+
 ORACLE_SQL["op13_phrase_collocations"] = rf"""
 with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) as p from documents),
 words as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces),
