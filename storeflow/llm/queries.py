@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, collocations, conversations, decontamination, licenses, line_dedup, merkle, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
+from . import byte_bpe, collocations, conversations, decontamination, licenses, line_dedup, merkle, quality, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
 from .stages import documents, table
 
 #: Documents of more tokens than this are over the limit.
@@ -112,6 +112,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
 
 
+@query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 ORACLE_SQL["op12_conversation_repair"] = r"""
 with recursive
 keyed as (select coalesce(conv_id::varchar, ' ') as conv, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
