@@ -43,8 +43,8 @@ from .stages import Stage, keyed_text, stage
 from .toxicity import held_out
 
 #: Bounds on the rows that teach and vote, and on the terms that count.
-MAX_LABELLED = 8192
-MAX_TERMS = 1 << 16
+MAX_LABELLED = 4096
+MAX_TERMS = 1 << 15
 RANK, SPARE, ROUNDS = 64, 8, 3
 NEIGHBOURS, POWER = 25, 8
 STEPS = 20
@@ -144,14 +144,14 @@ def tf_idf(text: np.ndarray, times: np.ndarray, weight: np.ndarray, texts: int)
     return x / np.maximum(length[text], 1e-12)
 
 
-def _sums(by: np.ndarray, size: int, column: np.ndarray, x: np.ndarray, dense: np.ndarray) -> np.ndarray:
+def _sums(by: np.ndarray, size: int, column: np.ndarray, x: np.ndarray, dense: np.ndarray, most: int = 1 << 14) -> np.ndarray:
     """Per value of ``by`` (ascending) the sum of x times the rows of ``dense``
-    named by ``column``; about 2 ** 16 entries in memory at a time."""
+    named by ``column``; about ``most`` entries in memory at a time."""
     out = np.zeros((size, dense.shape[1]))
     at = np.searchsorted(by, np.arange(size + 1))
     lo = 0
     while lo < size:
-        hi = max(int(np.searchsorted(at, at[lo] + (1 << 16), "right")) - 1, lo + 1)
+        hi = max(int(np.searchsorted(at, at[lo] + most, "right")) - 1, lo + 1)
         a, b = at[lo], at[hi]
         full = np.flatnonzero(np.diff(at[lo: hi + 1])) + lo
         if len(full):
@@ -251,7 +251,7 @@ def vectors(model: Model, look: Lookup, data: np.ndarray, offsets: np.ndarray) -
     return whole_numbers(_sums(text, texts, code, x, model.basis))
 
 
-def votes(model: Model, v: np.ndarray, rows: int = 256) -> np.ndarray:
+def votes(model: Model, v: np.ndarray, rows: int = 128) -> np.ndarray:
     """The score of each vector."""
     out = np.full(len(v), model.share)
     known = np.flatnonzero(v.any(axis=1)) if len(model.points) else np.zeros(0, np.int64)
