@@ -5,14 +5,13 @@
                   requests that fail (400, 500, 503) go to their own sink
   topic -> queue: every subscriber folder gets the raw message (S11)
   consumer (T2):  queue files (S10, rate-limited) --S7 strict decode-->
-                  F11 split: poison -> dead letter (T4);
-                  good -> T3 de-dup by order_id within the retention
+                  F11 split: poison -> dead letter (T4); good -> received
+                  received -> T3 de-dup by order_id within the retention
                   horizon (F10) -> P8 completed (T8)
 
 Messages are JSON lines ``{"message_id", "attributes": {"order_id"},
-"body"}``. Producer and consumer are one query each: a micro-batch is decoded
-once, kept, and written to all its sinks by ``foreachBatch``, one folder per
-batch id. A folder that was finished is never written again, so a retried
+"body"}``. A micro-batch is decoded once, kept, and written to all its sinks by
+``foreachBatch``, one folder per batch id. A folder that was finished is never written again, so a retried
 batch changes nothing a reader may have seen. De-duplication runs on the time
 a message was enqueued, which only grows along the queue, so no message is
 late, whatever times its order carries. ``trigger(availableNow=True)`` drains
@@ -114,50 +113,87 @@ def publish(requests: DataFrame, judge, queue_dirs: list[str], rejected_dir: str
     """Judge each micro-batch of requests once, write its messages
     to every subscribed queue folder (raw delivery, no filter) and its
     rejected requests to ``rejected_dir``. ``judge``: requests to the rows of
-    ``judged``."""
+    ``judged``. The judged rows are a written table, so a batch that is tried
+    again after one of the folders was finished gives the others the same ids
+    and times. ``records_per_file`` 10 with one file a trigger is the
+    service's receive limit (L4)."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = judge(batch).persist()
+        rows = judge(batch)
+        kept = os.path.join(f"{checkpoint.rstrip('/')}-judged", f"batch={batch_id}")
+        write_once(rows, kept, "parquet")
+        rows = batch.sparkSession.read.schema(rows.schema).parquet(kept)
         lines = envelope_json(rows.where("status_code = 202"))
         for q in queue_dirs:
             write_once(lines, os.path.join(q, f"batch={batch_id}"), "text", maxRecordsPerFile=records_per_file)
         write_once(rows.where("status_code <> 202").drop("attributes", "body"), os.path.join(rejected_dir, f"batch={batch_id}"), "parquet")
-        rows.unpersist()
 
     return _started(requests, sink, checkpoint, available_now)
 
 
-def process(queue: DataFrame, *, horizon: str = RETENTION) -> DataFrame:
-    """T2 on a queue stream: every message once, completed (``reason`` null)
-    or dead (T4: no body, too large, not decodable) with its raw text.
-
-    Redeliveries of an order within the horizon are removed (T3); orders
-    without an id are known by their message; dead messages are all kept."""
+def received(queue: DataFrame) -> DataFrame:
+    """T2 S7 F11 on queue messages: each decoded once; ``reason`` is null, or
+    why the message is dead (T4: no body, too large, not decodable). ``key``
+    names an order, or a message whose order has no id; it is null where a
+    message has neither, so nothing can tell a redelivery of it."""
     m = codec.decode_rows(queue, "body", "order", strict=True).withColumnRenamed("value", "o")
-    m = m.withColumn("reason", F.when(F.col("body").isNull(), "no body")
-                                .when(F.octet_length("body") > C.MAX_MESSAGE_BYTES, "too large")
-                                .when(~F.col("ok"), "decode"))
-    key = (F.when(F.col("reason").isNotNull(), F.concat(F.lit("dead "), F.expr("uuid()")))
-            .when(F.col("o.order_id") != "", F.concat(F.lit("order "), F.col("o.order_id")))
-            .otherwise(F.concat(F.lit("message "), F.coalesce("message_id", F.lit("")))))
-    m = m.withColumn("key", key).withWatermark("enqueued_at", horizon).dropDuplicatesWithinWatermark(["key"])
-    return m.select("message_id", "reason", "raw", F.col("o.order_id").alias("order_id"), F.col("o.customer_id").alias("customer_id"),
-                    F.when(F.col("reason").isNull(), F.lit(C.STATUS_COMPLETED)).alias("status"),
-                    O.item_count("o.items").alias("n_items"), F.col("o.created_at").alias("created_at"))
+    reason = (F.when(F.col("body").isNull(), "no body").when(F.octet_length("body") > C.MAX_MESSAGE_BYTES, "too large").when(~F.col("ok"), "decode"))
+    key = (F.when(F.col("o.order_id") != "", F.concat(F.lit("order "), F.col("o.order_id")))
+            .when(F.coalesce("message_id", F.lit("")) != "", F.concat(F.lit("message "), F.col("message_id"))))
+    return m.select(key.alias("key"), "message_id", reason.alias("reason"), "raw", "enqueued_at", F.col("o.order_id").alias("order_id"),
+                    F.col("o.customer_id").alias("customer_id"), F.when(reason.isNull(), F.lit(C.STATUS_COMPLETED)).alias("status"),
+                    O.item_count("o.items").alias("n_items"), F.col("o.created_at").alias("created_at"),
+                    F.coalesce(F.try_element_at("attributes", F.lit("attempt")).try_cast("int"), F.lit(0)).alias("attempt"))
+
+
+def first_deliveries(good: DataFrame, *, horizon: str = RETENTION) -> DataFrame:
+    """Redeliveries of a key within the horizon go; messages without a key
+    pass, and take no state."""
+    known = good.where("key is not null").withWatermark("enqueued_at", horizon).dropDuplicatesWithinWatermark(["key"])
+    return known.unionByName(good.where("key is null"))
 
 
-COMPLETED = ["order_id", "customer_id", "status", "n_items", "created_at", "message_id"]
-DEAD = ["message_id", "reason", "raw"]
+COMPLETED = ["order_id", "customer_id", "status", "n_items", "created_at", "message_id", "attempt"]
+DEAD = ["message_id", "reason", "raw", "enqueued_at"]
+GOOD = ("key string, message_id string, enqueued_at timestamp, order_id string, customer_id bigint, status string, n_items bigint, created_at timestamp, attempt int")
 
 
-def run_processor(processed: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Completed orders and dead letters of one query, per batch id."""
+def split_queue(queue: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """The messages of a queue stream, decoded once per batch, to
+    ``received`` (good) and ``dead_letter``. Dead messages never reach the
+    de-duplication state; all of them are kept."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        write_once(batch.where("reason is null").select(*COMPLETED), os.path.join(out_dir, "completed", f"batch={batch_id}"), "parquet")
-        write_once(batch.where("reason is not null").select(*DEAD), os.path.join(out_dir, "dead_letter", f"batch={batch_id}"), "parquet")
-        batch.unpersist()
+        rows = received(batch).persist()
+        good = [c.split()[0] for c in GOOD.split(", ")]
+        write_once(rows.where("reason is null").select(*good), os.path.join(out_dir, "received", f"batch={batch_id}"), "parquet")
+        write_once(rows.where("reason is not null").select(*DEAD), os.path.join(out_dir, "dead_letter", f"batch={batch_id}"), "parquet")
+        rows.unpersist()
+
+    return _started(queue, sink, checkpoint, available_now)
 
-    return _started(processed, sink, checkpoint, available_now)
+
+def complete_received(spark: SparkSession, out_dir: str, checkpoint: str, available_now: bool = True, *,
+                      horizon: str = RETENTION) -> StreamingQuery:
+    """The good messages that ``split_queue`` wrote, every order
+    once, to ``completed``."""
+    path = os.path.join(out_dir, "received")
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    done = first_deliveries(spark.readStream.schema(GOOD).parquet(path).select(*[c.split()[0] for c in GOOD.split(", ")]), horizon=horizon)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        write_once(batch.select(*COMPLETED), os.path.join(out_dir, "completed", f"batch={batch_id}"), "parquet")
+
+    return _started(done, sink, checkpoint, available_now)
+
+
+def run_processor(queue: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True, *,
+                  horizon: str = RETENTION) -> list[StreamingQuery]:
+    """Both consumer queries; with ``available_now`` the
+    second starts when the first has drained."""
+    split = split_queue(queue, out_dir, os.path.join(checkpoint, "split"), available_now)
+    if available_now:
+        split.awaitTermination()
+    return [split, complete_received(queue.sparkSession, out_dir, os.path.join(checkpoint, "complete"), available_now, horizon=horizon)]
 
 
 def drain(queries: list[StreamingQuery] | StreamingQuery) -> None:
@@ -179,6 +215,11 @@ def run_update_sink(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return _started(df, lambda batch, i: write_once(batch, os.path.join(out, f"batch={i}"), "parquet"), checkpoint, True, "update")
 
 
+def run_append_sink(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Rows that are told once, written per batch id (drained with availableNow)."""
+    return _started(df, lambda batch, i: write_once(batch, os.path.join(out, f"batch={i}"), "parquet"), checkpoint, True)
+
+
 # --- Kafka wire format (S9/S10 with a broker) ---------------------------------
 # The Kafka connector is not bundled with PySpark; these functions need the
 # spark-sql-kafka package on the classpath. Only the record mapping is tested

@@ -1,9 +1,14 @@
+import datetime
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from storeflow.streaming import lifecycle as LC
 from storeflow.streaming import orders_stream as ST
+from storeflow.streaming import replay as RP
+from storeflow.streaming import retry as RT
 
 
 def _write_queue_file(folder, name, messages):
@@ -21,8 +26,7 @@ def _msg(mid, order_id, created="2025-10-25T22:25:07Z", body=None):
 
 
 def _run(spark, queue, root):
-    done = ST.process(ST.queue_stream(spark, queue, max_files_per_trigger=1))
-    ST.drain(ST.run_processor(done, os.path.join(root, "out"), os.path.join(root, "ck")))
+    ST.drain(ST.run_processor(ST.queue_stream(spark, queue, max_files_per_trigger=1), os.path.join(root, "out"), os.path.join(root, "ck")))
     read = lambda n, s: spark.read.schema(s).parquet(os.path.join(root, "out", n))
     return (read("completed", "order_id string, status string, n_items long, batch int"),
             read("dead_letter", "message_id string, reason string, raw string, batch int"))
@@ -103,7 +107,7 @@ def test_stream_queries_on_a_folder_in_mixed_order(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view events as select * from read_parquet('{sf}/events.parquet/*.parquet')")
     rows = {}
-    for name in ("stream_orders", "stream_dead_letter", "stream_rejected", "stream_audit", "stream_arrivals", "stream_status_latest", "orders_accepted"):
+    for name in ("stream_orders", "stream_dead_letter", "stream_rejected", "stream_audit", "stream_arrivals", "stream_status_latest", "stream_final_windows", "stream_retry", "orders_accepted"):
         got = E.queries()[name](spark, sf)
         rel = con.sql(E.oracle_sql()[name])
         order = sorted(got.columns)
@@ -133,3 +137,157 @@ def test_latest_versions_keeps_newest_batch(spark, tmp_path):
     spark.createDataFrame([(1, "completed")], "k long, s string").write.parquet(out + "/batch=1")
     got = {r.k: r.s for r in ST.latest_versions(spark, out, ["k"]).collect()}
     assert got == {1: "completed", 2: "pending"}
+
+
+def test_messages_without_any_id_are_all_completed(spark, tmp_path):
+    """Five orders without order id and message id: nothing says that one is a
+    redelivery of another, so none goes; dead messages take no state."""
+    queue, root = str(tmp_path / "q"), str(tmp_path / "run")
+    body = json.dumps({"customer_id": 7, "items": []})
+    _write_queue_file(queue, "a.json", [{"attributes": {}, "body": body}] * 3 + [_msg("m1", "o1"), _msg("m1", "o1")])
+    _write_queue_file(queue, "b.json", [{"message_id": "", "body": body}, {"body": body}, {"body": "{"}, {"message_id": "x"}])
+    done, dead = _run(spark, queue, root)
+    assert sorted(r.order_id for r in done.collect()) == [""] * 5 + ["o1"]
+    assert sorted(r.reason for r in dead.collect()) == ["decode", "no body"]
+
+
+def test_dead_letters_hold_no_state(spark, tmp_path):
+    queue, root = str(tmp_path / "q"), str(tmp_path / "run")
+    _write_queue_file(queue, "a.json", [_msg(f"bad{i}", "x", body="{") for i in range(50)] + [_msg("m1", "o1"), _msg("m2", "o2")])
+    _, complete = queries = ST.run_processor(ST.queue_stream(spark, queue), os.path.join(root, "out"), os.path.join(root, "ck"))
+    ST.drain(queries)
+    assert max(o["numRowsTotal"] for p in complete.recentProgress for o in p["stateOperators"]) == 2
+
+
+def test_killed_between_two_queues(spark, tmp_path, monkeypatch):
+    """The batch dies after the first queue was written; the retry gives the
+    second queue the same ids, though ids and times are drawn at random."""
+    src, queues = str(tmp_path / "requests"), [str(tmp_path / "q1"), str(tmp_path / "q2")]
+    spark.createDataFrame([(i, '{"customer_id":7}') for i in range(20)], "rid long, body string").write.parquet(src)
+    run = lambda: ST.drain(ST.publish(ST.table_stream(spark, src, "rid long, body string"), ST.judged, queues, str(tmp_path / "rejected"), str(tmp_path / "ck")))
+    write = ST.write_once
+
+    def dies(df, path, *a, **kw):
+        if "/q2/" in path:
+            raise RuntimeError("lost")
+        write(df, path, *a, **kw)
+    monkeypatch.setattr(ST, "write_once", dies)
+    with pytest.raises(Exception):
+        run()
+    monkeypatch.setattr(ST, "write_once", write)
+    run()
+    first, second = (sorted((m["message_id"], m["attributes"]["order_id"], m["body"]) for m in (json.loads(r.value) for r in spark.read.text(q).collect())) for q in queues)
+    assert len(first) == 20 and first == second
+
+
+def test_receive_limit_of_ten_messages(spark, tmp_path):
+    """L4: no micro-batch holds more than ten messages, and a consumer that
+    stops and starts again loses none."""
+    src, queue, root = str(tmp_path / "requests"), str(tmp_path / "q"), str(tmp_path / "run")
+    reqs = spark.range(57).select(F.col("id").alias("rid"), F.lit('{"customer_id":7}').alias("body"))
+    reqs.repartition(3).write.parquet(src)
+    judge = lambda b: ST.judged(b, generated_id=F.concat(F.lit("g"), F.col("rid").cast("string")), message_id=F.col("rid").cast("string"))
+    ST.drain(ST.publish(ST.table_stream(spark, src, "rid long, body string"), judge, [queue], str(tmp_path / "rejected"), str(tmp_path / "ck"),
+                        records_per_file=10))
+    split = lambda: ST.split_queue(ST.queue_stream(spark, queue, 1), os.path.join(root, "out"), os.path.join(root, "ck", "split"), False)
+    sizes = []
+    for stop_after in (2, 10 ** 9):
+        q = split()
+        while q.isActive and sum(1 for p in q.recentProgress if p["numInputRows"]) < stop_after:
+            if stop_after > 2 and not q.status["isDataAvailable"] and q.lastProgress and not q.status["isTriggerActive"]:
+                q.processAllAvailable()
+                break
+        q.stop()
+        sizes += [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+    ST.drain(ST.complete_received(spark, os.path.join(root, "out"), os.path.join(root, "ck", "complete")))
+    assert max(sizes) <= 10
+    done = spark.read.schema("order_id string, batch int").parquet(os.path.join(root, "out", "completed"))
+    assert sorted(r.order_id for r in done.collect()) == sorted(f"g{i}" for i in range(57))
+
+
+DAY_MS = 86_400_000
+
+
+def _replay(spark, tmp_path, rows, schema, place, files=None):
+    df = spark.createDataFrame(rows, schema)
+    path = RP.write_places(df, place, str(tmp_path / "in"))
+    return RP.stream(spark, path, schema + ", place int").drop("place")
+
+
+def test_status_expires_once_and_gives_up_its_state(spark, tmp_path):
+    start = 1_700_000_000
+    # key a goes silent, b comes back after it expired, c stays; a fifth day of c's events moves the watermark on
+    rows = [("a", "new", 1, start), ("b", "new", 2, start), ("c", "new", 3, start), ("a", "late", 0, start + 60), ("c", "more", 4, start + 3 * 86400),
+            ("c", "more", 5, start + 6 * 86400), ("c", "more", 6, start + 7 * 86400), ("b", "back", 7, start + 8 * 86400), ("c", "last", 8, start + 8 * 86400), (None, None, 9, start + 8 * 86400)]
+    df = [(k, s, q, datetime.datetime.fromtimestamp(t, datetime.timezone.utc)) for k, s, q, t in rows]
+    ev = _replay(spark, tmp_path, df, "k string, status string, seq bigint, ts timestamp", F.floor((F.unix_seconds("ts") - start) / 86400).cast("int"))
+    q = ST.run_append_sink(LC.latest_status(ev, ["k"]), str(tmp_path / "out"), str(tmp_path / "ck"))
+    ST.drain(q)
+    schema = "k string, status string, last_seq long, last_ms long, expired boolean"
+    told = spark.read.schema(schema).parquet(str(tmp_path / "out"))
+    assert sorted((r.k, r.status, r.last_seq) for r in told.where("expired").collect()) == [("a", "new", 1), ("b", "new", 2)]
+    got = {r.k: (r.status, r.last_seq, r.expired) for r in LC.newest(spark, str(tmp_path / "out"), schema, ["k"]).collect()}
+    assert got == {"a": ("new", 1, True), "b": ("back", 7, False), "c": ("last", 8, False), None: (None, 9, False)}
+    states = [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+    assert max(states) == 3 and states[-1] == 3  # b, c and the null key; not a
+
+
+def test_every_row_is_in_a_final_window_or_late(spark, tmp_path):
+    start = 1_700_000_000 // 86400 * 86400
+    hours = [0, 30, 1, 31, 60, 2, 33, 61, 90, 200]  # the last row closes what came before
+    df = [("e" if k % 3 else None, datetime.datetime.fromtimestamp(start + h * 3600, datetime.timezone.utc), k) for k, h in enumerate(hours)]
+    ev = _replay(spark, tmp_path, df, "event_type string, ts timestamp, n int", F.col("n")).drop("n")
+    ST.drain(ST.run_append_sink(LC.final_windows(ev, ["event_type"], DAY_MS, delay="10 hours"), str(tmp_path / "out"), str(tmp_path / "ck")))
+    rows = spark.read.schema("event_type string, window_ms long, bucket int, arrivals long, late boolean").parquet(str(tmp_path / "out")).collect()
+    # plain replay: a row is late when its window's end is not after the greatest earlier time less the delay
+    final, late, seen = {}, 0, None
+    for k, h in enumerate(hours):
+        if seen is not None and (h // 24 + 1) * 24 <= seen - 10:
+            late += 1
+        else:
+            final[k % 3 > 0, h // 24] = final.get((k % 3 > 0, h // 24), 0) + 1
+        seen = h if seen is None else max(seen, h)
+    got = {}
+    for r in rows:
+        if not r.late:
+            key = (r.event_type is not None, (r.window_ms // 1000 - start) // 86400)
+            got[key] = got.get(key, 0) + r.arrivals
+    assert late == sum(r.arrivals for r in rows if r.late) > 0
+    assert got == {k: n for k, n in final.items() if k[1] < 8}  # the closing row's own window is still open
+    assert sum(got.values()) + late + 1 == len(hours)
+
+
+def test_elapsed_tells_unmatched_arrivals_once(spark, tmp_path):
+    at = lambda h: datetime.datetime.fromtimestamp(1_700_000_000 + 3600 * h, datetime.timezone.utc)
+    a = [(1, at(0)), (2, at(1)), (3, at(30)), (4, at(31)), (-1, at(500))]
+    c = [(1, at(5)), (1, at(20)), (1, at(90)), (3, at(29)), (4, at(31)), (9, at(40)), (-2, at(500))]
+    for name, rows, cols in (("a", a, "k bigint, arrived_at timestamp"), ("c", c, "k bigint, completed_at timestamp")):
+        df = spark.createDataFrame(rows, cols)
+        RP.write_places(df, F.floor(F.unix_seconds(cols.split()[2]) / 90000).cast("int"), str(tmp_path / name))
+    joined = LC.elapsed(RP.stream(spark, str(tmp_path / "a"), "k bigint, arrived_at timestamp"), RP.stream(spark, str(tmp_path / "c"), "k bigint, completed_at timestamp"),
+                        "k", 86400, delay="2 hours")
+    ST.drain(ST.run_append_sink(joined.select("k", "elapsed_ms"), str(tmp_path / "out"), str(tmp_path / "ck")))
+    got = [(r.k, r.elapsed_ms) for r in spark.read.schema("k bigint, elapsed_ms double").parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 18_000_000.0), (1, 72_000_000.0), (2, None), (3, None), (4, 0.0)], key=str)
+
+
+def test_dead_letters_are_requeued_or_expire_once(spark, tmp_path):
+    queue, out = str(tmp_path / "q"), str(tmp_path / "out")
+    _write_queue_file(queue + "/retry=-2", "a.json", [_msg("ok", "o1"), _msg("fix", "o2", body='{"order_id":"o2"}}'), _msg("never", "o3", body="[]"), {"message_id": "none"}])
+    split = lambda: ST.drain(ST.split_queue(ST.queue_stream(spark, queue), out, str(tmp_path / "ck-split")))
+    split()
+    first = spark.read.parquet(out + "/dead_letter").agg(F.max("enqueued_at")).first()[0]
+    day = lambda k: F.lit(first) + F.expr(f"interval {k} days")
+    repair = lambda m: F.when(F.col("body").endswith("}}") & (F.col("attempts") >= 2), F.rtrim("body", F.lit("}")).substr(F.lit(1), F.lit(10 ** 6)))
+    rounds = [repair, lambda m: F.when(F.col("body").endswith("}}"), F.expr("substr(body, 1, length(body) - 1)"))]
+    for k in range(1, 7):
+        again = 2 if k == 3 else 1  # the third round runs twice, as after a lost driver
+        for _ in range(again):
+            RT.run_round(spark, out, queue, k - 1, day(k), rounds[min(k - 1, 1)])
+        if k == 4:  # a new dead letter comes in while others wait
+            _write_queue_file(queue + "/retry=-1", "b.json", [_msg("later", "o4", body="no")])
+            split()
+    ST.drain(ST.run_processor(ST.queue_stream(spark, queue), out, str(tmp_path / "ck")))
+    done = spark.read.schema("order_id string, message_id string, attempt int, batch int").parquet(out + "/completed").collect()
+    assert sorted((r.message_id, r.order_id, r.attempt) for r in done) == [("fix", "o2", 2), ("ok", "o1", 0)]
+    assert sorted((r.message_id, r.attempts) for r in RT.expired(spark, out).collect()) == [("later", 1), ("never", 4), ("none", 4)]
