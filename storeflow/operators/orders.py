@@ -14,13 +14,15 @@ from .. import constants as C
 from ..schemas import ORDER_FIELDS
 
 
-def nest_lines(lines: DataFrame, key: str, item: Column) -> DataFrame:
-    """Nest order lines into one item array per key, in one shuffle.
+def nest_lines(lines: DataFrame, key: str, item: Column, place: Column | None = None) -> DataFrame:
+    """Nest order lines into one item array per key, in one shuffle, ordered
+    by ``place`` (lines of one place, or all without it, by their content).
 
     ``item`` is a struct column per line. An order document is one record
     by definition (one message, one response), so a key's lines meet in one
     row; queries that need only counts or sums aggregate the lines instead."""
-    return lines.groupBy(key).agg(F.collect_list(item).alias("items"))
+    placed = F.sort_array(F.collect_list(F.struct((F.lit(0) if place is None else place).alias("place"), item.alias("item"))))
+    return lines.groupBy(key).agg(placed.getField("item").alias("items"))
 
 
 def item_count(items: str | Column = "items") -> Column:

@@ -13,13 +13,13 @@ Semantics per query (q, max_check, max_results):
 
 Plan shape: requests are reduced to distinct search keys first (many
 requests share a key). A key of n characters can only match where all its
-grams of min(n, 3) characters occur, so products meet keys in an equi-join
-on one gram of each key, the one found in the fewest products; the
-substring test follows. There is one way for every number of keys and
-products. Candidates and hits are narrow (id, row hash, position); product
-columns are joined to the result lists last. Counts use partial aggregation
-and the top-N uses a window group limit, so a key that matches a third of
-the catalog never sends its rows to one task.
+grams of min(n, 3) characters occur, so the products of each gram are kept as
+bitmaps of ids (posting lists) and the lists of a key's grams are intersected;
+texts are read for the ids that remain. There is one way for every number of
+keys and products. Postings, candidates and hits are narrow (ids, row hash,
+position); product columns are joined to the result lists last. Counts use
+partial aggregation and the top-N uses a window group limit, so a key that
+matches a third of the catalog never sends its rows to one task.
 """
 
 from __future__ import annotations
@@ -76,21 +76,49 @@ def _grams(text: Column, k: int) -> Column:
                     lambda g: F.char_length(g) == k)
 
 
-def _candidates(prod: DataFrame, keys: DataFrame, gram_lengths: list[int]) -> DataFrame:
-    """(product_id, _row, key) of every match: join on the key's rarest gram,
-    then the substring test. A key with a gram that no product has matches
-    nothing; a hot gram is split by AQE's skew-join handling."""
-    lengths = sorted(set(gram_lengths)) or [GRAM]
+def postings(prod: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
+    """(gram, bucket, ids): for each wanted gram the product ids that have it,
+    as bitmaps of 32768 ids each. Only ids and grams are shuffled."""
     in_product = F.array_distinct(F.flatten(F.array(
         *[_grams(F.coalesce(c, F.lit("")), k) for k in lengths for c in (F.col("name_l"), F.col("cat_l"))])))
-    pg = prod.select("product_id", "_row", "name_l", "cat_l", F.explode(in_product).alias("gram"))
+    told = prod.select("product_id", F.explode(in_product).alias("gram")).join(wanted, "gram", "left_semi")
+    return (told.groupBy("gram", F.bitmap_bucket_number("product_id").alias("bucket"))
+                .agg(F.bitmap_construct_agg(F.bitmap_bit_position("product_id")).alias("ids")))
+
+
+def _ids(bitmaps: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and product_id, for every id set in (bucket, ids)."""
+    byte = lambda n: F.substring(F.col("ids"), n + 1, 1)
+    full = F.filter(F.sequence(F.lit(0), F.lit(4095)), lambda n: byte(n) != F.unhex(F.lit("00")))
+    rows = bitmaps.select(*columns, "bucket", "ids", F.explode(full).alias("_byte"))
+    value = F.conv(F.hex(byte(F.col("_byte"))), 16, 10).cast("int")
+    rows = rows.select(*columns, "bucket", "_byte", value.alias("_value"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit(F.col("_value"), k) == 1)
+    rows = rows.select(*columns, "bucket", (F.col("_byte") * 8).alias("_at"), F.explode(bits).alias("_bit"))
+    at = (F.col("_at") + F.col("_bit")).cast("bigint")
+    return rows.select(*columns, F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + at + 1)
+                       .otherwise(F.col("bucket") * 32768 - at).alias("product_id"))
+
+
+def candidate_ids(prod: DataFrame, keys: DataFrame, gram_lengths: list[int]) -> DataFrame:
+    """(key, product_id) of the products that have all grams of a key: the
+    postings of its grams are intersected before any text is read, so a key
+    made of common grams only keeps the few products that have all of them."""
+    lengths = sorted(set(gram_lengths)) or [GRAM]
     own = [F.when(F.least(F.char_length("q_lower"), F.lit(GRAM)) == k, _grams(F.col("q_lower"), k)) for k in lengths]
-    kg = keys.select(*KEY, F.explode(F.array_distinct(F.coalesce(*own))).alias("gram"))
-    met = pg.join(kg.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = (kg.join(met, "gram", "left").groupBy(*KEY)
-                .agg(F.min(F.struct(F.coalesce("_n", F.lit(0).cast("bigint")).alias("n"), F.col("gram"))).alias("_g"))
-                .where("_g.n > 0").select(*KEY, F.col("_g.gram").alias("gram")))
-    return pg.join(rarest, "gram").where(_text_match(F.col("q_lower"))).select("product_id", "_row", *KEY)
+    kg = keys.select(*KEY, F.array_distinct(F.coalesce(*own)).alias("_grams"))
+    kg = kg.select(*KEY, F.size("_grams").alias("_all"), F.explode("_grams").alias("gram"))
+    lists = postings(prod, kg.select("gram").distinct(), lengths)
+    met = (kg.join(lists, "gram").groupBy(*KEY, "_all", "bucket")
+             .agg(F.bitmap_and_agg("ids").alias("ids"), F.count(F.lit(1)).alias("_met")).where("_met = _all"))
+    return _ids(met.where(F.bitmap_count("ids") > 0), *KEY)
+
+
+def _candidates(prod: DataFrame, keys: DataFrame, gram_lengths: list[int]) -> DataFrame:
+    """(product_id, _row, key) of every match: the candidates' texts, tested."""
+    met = candidate_ids(prod, keys, gram_lengths).withColumnRenamed("product_id", "_id")
+    return (prod.join(met, prod["product_id"] == met["_id"].cast(prod.schema["product_id"].dataType))
+                .where(_text_match(F.col("q_lower"))).select("product_id", "_row", *KEY))
 
 
 def search_keys(keys: DataFrame) -> tuple[DataFrame, dict]:
@@ -151,10 +179,15 @@ def top_matches(hits: DataFrame, cap: int) -> DataFrame:
                 .withColumn("rank", F.col("rank").cast("bigint")))
 
 
-def result_lists(top: DataFrame, products: DataFrame) -> DataFrame:
-    """A4: the capped result list per key, ordered by probe position; the
-    product columns are joined to the few ranked rows only."""
-    full = products.select(*PRODUCT_FIELDS, _row_hash().alias("_row")).dropDuplicates(["product_id", "_row"])
+def result_lists(top: DataFrame, products: DataFrame, id_upper: int | None = None) -> DataFrame:
+    """A4: the capped result list per key, ordered by probe position. Of the
+    products only those inside the probe bound are read, and of these the
+    ranked ones kept, before anything is shuffled by all columns."""
+    full = products
+    if id_upper is not None:
+        full = full.where((F.col("product_id") >= C.SEARCH_START_ID) & (F.col("product_id") <= id_upper))
+    ranked = top.select("product_id", "_row").distinct()
+    full = full.select(*PRODUCT_FIELDS, _row_hash().alias("_row")).join(ranked, ["product_id", "_row"], "left_semi").dropDuplicates(["product_id", "_row"])
     prod = F.struct(*[F.col(c) for c in PRODUCT_FIELDS])
     return (top.join(full, ["product_id", "_row"]).groupBy(*KEY)
                .agg(F.sort_array(F.collect_list(F.struct(F.col("rank"), prod.alias("p")))).alias("ps"))
@@ -188,7 +221,7 @@ def search(products: DataFrame, requests: DataFrame, *, wrap: int = C.SEARCH_WRA
     hits = match_positions(products, keys, wrap=wrap, stats=stats)
     # counts and result lists both read the (narrow) hits
     hits = materialize(hits, "search-hits")
-    lists = result_lists(top_matches(hits, stats["max_results"]), products)
+    lists = result_lists(top_matches(hits, stats["max_results"]), products, stats["max_check"])
     answers = totals(hits, keys).join(lists, KEY, "left")
     empty = F.array().cast(answers.schema["products"].dataType)
     error = F.when(~F.col("q_present"), S.error_record(C.ERR_INVALID_INPUT, C.MSG_MISSING_QUERY, C.DETAILS_MISSING_QUERY))

@@ -14,6 +14,9 @@ from .. import constants as C
 from ..functions import scalars as S
 from ..operators import loadstats as LS
 from ..operators import queueing as Q
+from ..operators import sketches as SK
+from ..session import materialize, scratch_path
+from ..sources import samples as SM
 from ..sources import tables
 from .registry import register
 
@@ -276,3 +279,73 @@ def slow_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = _visits(spark, sf_dir).withColumn("elapsed_ms", S.elapsed_ms(start, end))
     s = LS.slow_requests(timed, SLOW_ORDER_MS)
     return s.select("queue", "id", "elapsed_ms", "status_code", F.col("error.error").alias("error_code"))
+
+
+def _within(df: DataFrame, by: list[str], log: DataFrame, told: DataFrame, columns: dict[str, float]) -> DataFrame:
+    """``df`` with whether all told percentiles keep the rank error."""
+    gaps = SK.rank_gap(log, by, told, "elapsed_ms", columns)
+    ok = F.greatest(F.lit(0.0), *[F.col(c) for c in columns]) <= SK.RANK_ERROR
+    return df.join(gaps.select(*by, ok.alias("within_bound")), by, "left")
+
+
+@register("latency_sketches", """
+select event_type as name, cast(count(*) as bigint) as requests, cast(count(*) filter (where event_type = 'error') as bigint) as failures,
+       cast(count(value) as bigint) as valued, min(value) as min_ms, max(value) as max_ms, case when count(value) > 0 then true end as within_bound
+from events group by event_type
+""")
+def latency_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 A6 from one sketch per name and day, merged; that every percentile
+    keeps the promised rank error is checked against the log."""
+    log = _request_log(spark, sf_dir)
+    st = materialize(SK.statistics(materialize(SK.daily(log, ["name"]), "day-sketches"), ["name"]), "sketch-statistics")
+    columns = {LS.pct_name(p): p for p in C.PERCENTILES} | {"median_ms": 0.5}
+    out = _within(st, ["name"], log, st, columns)
+    return out.select("name", "requests", "failures", "valued", "min_ms", "max_ms", "within_bound")
+
+
+@register("run_compare_sketches", """
+with m as (select (epoch_us(min(ts)) + epoch_us(max(ts))) / 2 as mid from events),
+r as (select case when epoch_us(ts) < (select mid from m) then 'first' else 'second' end as run, event_type as name, value from events),
+s as (select run, name, cast(count(*) as bigint) as requests, min(value) as low, max(value) as high from r group by run, name)
+select a.name, a.requests as first_requests, a.low as first_min_ms, a.high as first_max_ms,
+       b.requests as second_requests, b.low as second_min_ms, b.high as second_max_ms, b.requests / a.requests as requests_ratio,
+       true as first_within, true as second_within
+from s a join s b on a.name = b.name and a.run = 'first' and b.run = 'second'
+""")
+def run_compare_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7 from merged daily sketches: two runs side by side without rereading
+    the log (which is read again only to check both medians' rank error)."""
+    log = _request_log(spark, sf_dir)
+    log = log.withColumn("t", S.epoch_us(log, "ts"))
+    mid = log.agg(((F.min("t") + F.max("t")) / 2).alias("mid")).first()["mid"]  # one scalar
+    runs = log.withColumn("run", F.when(F.col("t") < F.lit(mid), "first").otherwise("second"))
+    cmp = materialize(SK.compare(materialize(SK.daily(runs, ["run", "name"]), "day-sketches"), "run", ["name"], "first", "second"), "run-comparison")
+    out = cmp.select("name", "first_requests", "first_min_ms", "first_max_ms", "second_requests", "second_min_ms", "second_max_ms", "requests_ratio")
+    for run in ("first", "second"):
+        told = cmp.select("name", F.col(f"{run}_median_ms").alias("median_ms"))
+        out = _within(out, ["name"], runs.where(F.col("run") == run), told, {"median_ms": 0.5}).withColumnRenamed("within_bound", f"{run}_within")
+    return out
+
+
+# A sample as a line of CSV, some of them damaged, in SQL that Spark and DuckDB read alike.
+SAMPLE_LINE = ("queue || ',' || {ts} || ',' || case when depth % 7 = 5 then 'n/a' else cast(depth as varchar) end"
+               " || case when depth % 7 = 3 then '' else ',' || cast(depth % 10 as varchar) end || case when depth % 7 = 6 then ',9' else '' end")
+DUCK_TS = "strftime(make_timestamp(sample_us), '%Y-%m-%dT%H:%M:%SZ')"
+
+
+@register("queue_samples_csv", f"""
+with {DEPTH_SQL},
+x as (select queue, sample_us, depth, {SAMPLE_LINE.format(ts=DUCK_TS)} as line, depth % 7 in (3, 5, 6) as bad from smp)
+select case when bad then line end as line, case when not bad then queue end as run, case when not bad then sample_us end as t_us,
+       case when not bad then cast(depth + depth % 10 as bigint) end as total
+from x
+""")
+def queue_samples_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth samples written as CSV, some lines damaged, and read back:
+    the readable ones with their total, the damaged ones as they stand."""
+    path = scratch_path(spark, "samples-csv")
+    ts = "date_format(to_utc_timestamp(timestamp_micros(sample_us), current_timezone()), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    _samples(spark, sf_dir).select(F.expr(SAMPLE_LINE.format(ts=ts).replace("varchar", "string")).alias("line")).write.text(path)
+    good, damaged = SM.split_queue_samples(SM.sample_lines(spark, path, header=False))
+    return good.select(F.lit(None).cast("string").alias("line"), "run", "t_us", "total").unionByName(
+        damaged.select("line", F.lit(None).cast("string").alias("run"), F.lit(None).cast("bigint").alias("t_us"), F.lit(None).cast("bigint").alias("total")))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import keyed as K
 from ..operators import requests as RQ
-from ..sources import catalog, tables
 from ..schemas import PRODUCT_FIELDS
-from ..session import materialize
+from ..session import materialize, scratch_path
+from ..sources import catalog, tables
+from ..sources.catalog_store import CatalogStore
 from .catalog_plans import faulty, faulty_sql
 from .registry import register
 
@@ -101,28 +102,31 @@ def missing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.missing(o, li, "o_orderkey")
 
 
+#: Orders of the first priority are written under their customer's number plus this.
+NEW_CUSTOMERS = 10_000_000
+CUSTOMER_KEY = f"case when substr(o_orderpriority, 1, 1) = '1' then o_custkey + {NEW_CUSTOMERS} else o_custkey end"
+
+
 def _customer_base_and_updates(spark: SparkSession, sf_dir: str):
-    # two thirds of the customers are known; four fifths of them order, so
-    # there are rows to insert, to replace and to keep
-    base = (tables.load(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 != 0)
-            .select("c_custkey", "c_acctbal", "c_mktsegment"))
-    upd = tables.load(spark, sf_dir, "orders").where(F.col("o_custkey") % 5 != 0).select(
-        F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"),
+    """All customers; all orders as updates, some of them of new keys."""
+    base = tables.load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    upd = tables.load(spark, sf_dir, "orders").select(
+        F.expr(CUSTOMER_KEY).alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"),
         F.col("o_orderpriority").alias("c_mktsegment"), F.col("o_orderkey").alias("seq"))
     return base, upd
 
 
-BASE_SQL = """
-base as (select * from customer where c_custkey % 3 <> 0),
-ups as (select * from orders where o_custkey % 5 <> 0)"""
+BASE_SQL = f"""
+base as (select * from customer),
+ups as (select {CUSTOMER_KEY} as key, * from orders)"""
 
 
 @register("upsert_latest", f"""
 with {BASE_SQL},
 upd as (
-  select o_custkey as c_custkey, arg_max(o_totalprice, o_orderkey) as c_acctbal,
+  select key as c_custkey, arg_max(o_totalprice, o_orderkey) as c_acctbal,
          arg_max(o_orderpriority, o_orderkey) as c_mktsegment
-  from ups group by o_custkey)
+  from ups group by key)
 select c_custkey, c_acctbal, c_mktsegment from base
 where c_custkey not in (select c_custkey from upd)
 union all select c_custkey, c_acctbal, c_mktsegment from upd
@@ -135,10 +139,10 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("upsert_new_count", f"""
 with {BASE_SQL},
-nn as (select count(distinct o_custkey) as n from ups where o_custkey not in (select c_custkey from base))
+nn as (select count(distinct key) as n from ups where key not in (select c_custkey from base))
 select 'base_count' as metric, cast(count(*) as bigint) as value from base
 union all select 'update_rows', cast(count(*) as bigint) from ups
-union all select 'update_keys', cast(count(distinct o_custkey) as bigint) from ups
+union all select 'update_keys', cast(count(distinct key) as bigint) from ups
 union all select 'net_new', cast(n as bigint) from nn
 union all select 'final_count', cast((select count(*) from base) + n as bigint) from nn
 """)
@@ -161,13 +165,13 @@ def upsert_new_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: New products are written under their part's number plus this.
 NEW_IDS = 1_000_000
 # Write bodies: every part with the faults of its kind, written again with
-# another weight, and every seventh part under a new id.
+# another weight, and every part under a new id.
 WRITES_SQL = f"""
 prod as ({catalog.PART_PRODUCT_SQL}),
 bodies as (
   select 'part' as source, 2 * product_id as seq, product_id as pk, * from prod
   union all select 'again', 2 * product_id + 1, product_id, * replace (weight + 1 as weight) from prod
-  union all select 'new', 2 * product_id, product_id, * replace (product_id + {NEW_IDS} as product_id) from prod where product_id % 7 = 0)"""
+  union all select 'new', 2 * product_id, product_id, * replace (product_id + {NEW_IDS} as product_id) from prod)"""
 
 
 def _post_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +183,7 @@ def _post_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = prod.withColumn("source", F.lit("part")).withColumn("seq", 2 * F.col("pk"))
     again = (prod.withColumn("weight", F.col("weight") + 1).withColumn("source", F.lit("again"))
                  .withColumn("seq", 2 * F.col("pk") + 1))
-    new = (prod.where(F.col("pk") % 7 == 0).withColumn("product_id", F.col("pk") + NEW_IDS)
+    new = (prod.withColumn("product_id", F.col("pk") + NEW_IDS)
                .withColumn("source", F.lit("new")).withColumn("seq", 2 * F.col("pk")))
     bodies = own.unionByName(again).unionByName(new)
     parts = faulty(bodies, "pk", ("product_id",), ("source", "seq")).select(
@@ -264,13 +268,13 @@ def product_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("error.message").alias("message"), F.col("error.details").alias("details"))
 
 
-#: The catalog before the writes: every second part.
-CATALOG_SQL = f"select * from ({catalog.PART_PRODUCT_SQL}) c where product_id % 2 = 0"
+#: The catalog before the writes: all parts.
+CATALOG_SQL = f"select * from ({catalog.PART_PRODUCT_SQL}) c"
 
 
 def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The catalog, and the accepted writes in their order."""
-    products = catalog.from_part(tables.load(spark, sf_dir, "part")).where(F.col("product_id") % 2 == 0)
+    products = catalog.from_part(tables.load(spark, sf_dir, "part"))
     out = RQ.outcomes(_post_requests(spark, sf_dir), products)
     acc = out.where(F.col("status_code") == 204).select("seq", "accepted.*")
     return products, acc.withColumn("product_id", F.col("product_id").cast("bigint"))
@@ -310,3 +314,27 @@ def product_upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4 W1 on accepted writes: the catalog after the last write of each product."""
     products, acc = _written(spark, sf_dir)
     return K.upsert(products, acc, "product_id", "seq").select("product_id", "sku", "weight", "brand")
+
+
+@register("catalog_versions", f"""
+with {POST_SQL},
+cat as ({CATALOG_SQL}),
+last as (select pid as product_id, arg_max(sku, seq) as sku, cast(arg_max(weight, seq) as integer) as weight, arg_max(brand, seq) as brand
+         from judged where fail is null group by pid)
+select 2 as version, product_id, sku, weight, brand from cat
+union all select 3, product_id, sku, weight, brand from cat where product_id not in (select product_id from last)
+union all select 3, * from last
+""")
+def catalog_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored catalog, begun empty, filled with all parts and then
+    given the accepted writes, bucket by bucket; all rows of all versions."""
+    products, acc = _written(spark, sf_dir)
+    store = CatalogStore(spark, scratch_path(spark, "catalog"), "product_id", products.schema)
+    store.create(spark.createDataFrame([], products.schema))
+    store.upsert(products.withColumn("seq", F.lit(0)), "seq")
+    store.upsert(materialize(acc), "seq")
+    out = None
+    for v in store.versions():
+        rows = store.read(v).select(F.lit(v).alias("version"), "product_id", "sku", "weight", "brand")
+        out = rows if out is None else out.unionByName(rows)
+    return out

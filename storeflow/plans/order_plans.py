@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import scalars as S
 from ..functions.hashing import draw_sql
 from ..operators import orders as O
 from ..operators import requests as RQ
@@ -15,25 +16,30 @@ from ..sources import catalog, codec, synth, tables
 from .registry import register
 
 
+#: The product of an order line; what two suppliers in five deliver has a
+#: number of their own, which the catalog does not know.
+PRODUCT_ID = "case when l_suppkey % 5 < 2 then l_partkey + 1000000 else l_partkey end"
+
+
 def _order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested order records built from ``orders`` and ``lineitem``."""
     li = tables.load(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
-    item = F.struct(F.col("l_partkey").alias("product_id"),
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    item = F.struct(F.expr(PRODUCT_ID).alias("product_id"),
                     F.col("l_quantity").cast("bigint").alias("quantity"),
                     F.try_divide("l_extendedprice", "l_quantity").alias("price"))
-    nested = O.nest_lines(li, "l_orderkey", item)
+    nested = O.nest_lines(li, "l_orderkey", item, F.col("l_linenumber"))
     o = tables.load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     docs = o.join(nested, o["o_orderkey"] == nested["l_orderkey"], "left")
     return docs.select(F.col("o_orderkey").cast("string").alias("order_id"),
                        F.col("o_custkey").alias("customer_id"), F.lit("").alias("status"),
-                       "items", F.col("o_orderdate").cast("timestamp").alias("created_at"))
+                       "items", F.timestamp_micros(S.epoch_us(o, "o_orderdate")).alias("created_at"))
 
 
 def order_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order document's JSON request body."""
     docs = _order_documents(spark, sf_dir)
-    return docs.select("order_id", codec.encode(O.order_struct(docs)).alias("body"))
+    return docs.select("order_id", codec.encode_order(O.order_struct(docs)).alias("body"))
 
 
 def _decoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,30 +48,26 @@ def _decoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("ok").select("value.*")
 
 
-#: Parts up to this size are in the catalog that order lines are checked against.
-STOCKED_SIZE = 45
-
-
-def _stocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = tables.load(spark, sf_dir, "part").where(F.col("p_size") <= STOCKED_SIZE)
-    return part.select(F.col("p_partkey").alias("product_id"))
+def _catalog_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"))
 
 
 LINE_PRICE_SQL = "case when l_quantity = 0 then null else l_extendedprice / l_quantity end"
 
 
 @register("order_lines", f"""
-select cast(l_orderkey as varchar) as order_id, l_partkey as product_id,
-       cast(l_quantity as bigint) as quantity, {LINE_PRICE_SQL} as price,
+with l as (select l_orderkey, l_linenumber, {PRODUCT_ID} as product_id, cast(l_quantity as bigint) as quantity, {LINE_PRICE_SQL} as price from lineitem),
+n as (select *, row_number() over (partition by l_orderkey order by l_linenumber, product_id, quantity, price nulls first) - 1 as line_no from l)
+select cast(l_orderkey as varchar) as order_id, cast(line_no as integer) as line_no, product_id, quantity, price,
        p.p_partkey is not null as product_known
-from lineitem left join part p on p.p_partkey = l_partkey and p.p_size <= {STOCKED_SIZE}
+from n left join part p on p.p_partkey = product_id
 """)
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested orders through JSON, unnested to lines, each
-    line checked against the catalog."""
+    """Nested orders through JSON, unnested to lines in their
+    order, each line checked against the catalog."""
     lines = O.unnest(_decoded_documents(spark, sf_dir))
-    return (lines.join(_stocked(spark, sf_dir).withColumn("_k", F.lit(True)), "product_id", "left")
-                 .select("order_id", "product_id", "quantity", "price",
+    return (lines.join(_catalog_ids(spark, sf_dir).withColumn("_k", F.lit(True)), "product_id", "left")
+                 .select("order_id", "line_no", "product_id", "quantity", "price",
                          F.coalesce("_k", F.lit(False)).alias("product_known")))
 
 
@@ -82,17 +84,22 @@ def order_item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("order_id", O.item_count("items").alias("n_items"), qty.alias("total_quantity"))
 
 
+#: Orders are stamped this long after the time their client claims, which is overwritten.
+PAID_US = 3_000_000
+
+
 @register("orders_sync", f"""
 select cast(o_orderkey as varchar) as order_id, '{C.STATUS_COMPLETED}' as status,
-       '{C.MSG_ORDER_SYNC}' as message, cast(count(l_orderkey) as bigint) as n_items
+       '{C.MSG_ORDER_SYNC}' as message, cast(count(l_orderkey) as bigint) as n_items,
+       epoch_us(o_orderdate) + {PAID_US} as created_us
 from orders left join lineitem on l_orderkey = o_orderkey
-group by o_orderkey
+group by o_orderkey, o_orderdate
 """)
 def orders_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decode, stamp processing, complete, respond."""
     docs = _decoded_documents(spark, sf_dir)
-    done = O.process_sync(docs, now=F.col("created_at"))
-    return O.sync_response(done.withColumn("n_items", O.item_count("items")), "n_items")
+    done = O.process_sync(docs, now=F.timestamp_micros(F.unix_micros("created_at") + PAID_US))
+    return O.sync_response(done.withColumn("n_items", O.item_count("items")).withColumn("created_us", F.unix_micros("created_at")), "n_items", "created_us")
 
 
 @register("status_latest", """
@@ -183,14 +190,14 @@ def synthetic_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("order_refs_missing", f"""
-select l_orderkey as order_key, l_linenumber as line_no, l_partkey as product_id from lineitem
-where not exists (select 1 from part where p_partkey = l_partkey and p_size <= {STOCKED_SIZE})
+select l_orderkey as order_key, l_linenumber as line_no, {PRODUCT_ID} as product_id from lineitem
+where not exists (select 1 from part where p_partkey = {PRODUCT_ID})
 """)
 def order_refs_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines whose product is not in the catalog."""
     lines = tables.load(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("product_id"))
-    return lines.join(_stocked(spark, sf_dir), "product_id", "left_anti").select("order_key", "line_no", "product_id")
+        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"), F.expr(PRODUCT_ID).alias("product_id"))
+    return lines.join(_catalog_ids(spark, sf_dir), "product_id", "left_anti").select("order_key", "line_no", "product_id")
 
 
 def _terms_sql() -> str:
@@ -268,8 +275,8 @@ def orders_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.retained(o, "o_orderdate", F.lit(as_of).cast("timestamp_ntz"))
 
 
-@register("order_lines_outer", """
-select cast(o_orderkey as varchar) as order_id, l_partkey as product_id,
+@register("order_lines_outer", f"""
+select cast(o_orderkey as varchar) as order_id, {PRODUCT_ID} as product_id,
        cast(l_quantity as bigint) as quantity
 from orders left join lineitem on l_orderkey = o_orderkey
 """)

@@ -17,7 +17,10 @@ expressions allow (all JVM-side):
   * strict decoding (one whole document, ``json.Unmarshal``) rejects any
     trailing text; lenient decoding (``Decoder.Decode``, first value
     only) tolerates it;
-  * keys match exactly (Go would also accept other letter cases).
+  * a key that differs from a field's name in letter case only is that
+    field; of repeated keys, in whatever case, the last one wins;
+  * numbers beyond a double's range are errors;
+  * white space around a document is space, tab, line feed, carriage return.
 
 ``decode_rows`` parses each row once: text and parse are computed in one
 projection and the verdict by a generator, which Catalyst does not inline
@@ -39,11 +42,32 @@ CORRUPT = "_corrupt_record"
 # a nanosecond time is cut off)
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"
 TS_READ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"
+WHITE = " \t\r\n"
 PRODUCT_STRINGS = ["sku", "manufacturer", "name", "category", "description", "brand"]
 ORDER_STRINGS = ["order_id", "status"]
 ORDER_TIMES = ["created_at"]
 
 
+def _names(schema: T.StructType) -> list[str]:
+    """The names of a schema's fields, and of those of its items."""
+    inner = [f.dataType.elementType for f in schema.fields if isinstance(f.dataType, T.ArrayType)]
+    return [f.name for f in schema.fields] + [n for s in inner if isinstance(s, T.StructType) for n in _names(s)]
+
+
+def fold_keys(t: Column, schema: T.StructType) -> Column:
+    """The text with its keys in the schema's spelling, where they differ in
+    case only. A quoted name before a colon is a key: inside a string its
+    quotes would be escaped. Texts without such a key pass unchanged after
+    one look; a renamed key keeps its place, so the last one still wins."""
+    names = _names(schema)
+    key = r'(?<!\\)"%s"(?=[ \t\r\n]*:)'
+    other = key % ("(?!(?:" + "|".join(names) + ")\")(?iu:" + "|".join(names) + ")")
+    folded = t
+    for n in names:
+        folded = F.regexp_replace(folded, key % f"(?iu:{n})", f'"{n}"')
+    return F.when(t.rlike(other), folded).otherwise(t)
+
+
 def _wire_schema(schema: T.StructType, variants: list[str]) -> T.StructType:
     fields = [T.StructField(f.name, T.VariantType()) if f.name in variants else f
               for f in schema.fields]
@@ -81,9 +105,13 @@ def _judge(t: Column, p: Column, schema: T.StructType, strict: bool, strings: li
     typed = {n: as_string(n) for n in strings}
     ts_text = {n: as_string(n) for n in times}
     typed.update({n: F.try_to_timestamp(ts_text[n], F.lit(ts_format)) for n in times})
-    types_ok = _all([p.getField(n).isNull() | vtype(n).isin("STRING", "VOID") for n in strings + times])
+    # a number out of a double's range is read as infinite
+    numbers = [p.getField(f.name).getField(g.name) for f in schema.fields if isinstance(f.dataType, T.ArrayType)
+               for g in f.dataType.elementType.fields if isinstance(g.dataType, T.DoubleType)]
+    endless = [F.coalesce(F.array_contains(n, F.lit(float(x))), F.lit(False)) for n in numbers for x in ("inf", "-inf")]
+    types_ok = _all([~e for e in endless]) & _all([p.getField(n).isNull() | vtype(n).isin("STRING", "VOID") for n in strings + times])
     times_ok = _all([ts_text[n].isNull() | typed[n].isNotNull() for n in times])
-    trimmed = F.trim(t)
+    trimmed = F.trim(t, F.lit(WHITE))
     null_doc = trimmed == "null" if strict else trimmed.startswith("null")
     ok = (t.isNotNull() & (trimmed != "") & p.isNotNull()
           & (p.getField(CORRUPT).isNull() | null_doc) & types_ok & times_ok)
@@ -103,14 +131,14 @@ def _col(text: str | Column) -> Column:
 def product_struct(text: str | Column) -> Column:
     """Decoded product as one expression (use within a single projection)."""
     schema, strict, strings, times = _spec("product", None)
-    t = _col(text)
+    t = fold_keys(_col(text), schema)
     return _judge(t, _parse(t, schema, strings, times), schema, strict, strings, times)
 
 
 def order_struct(text: str | Column, *, strict: bool) -> Column:
     """Decoded order as one expression (use within a single projection)."""
     schema, strict, strings, times = _spec("order", strict)
-    t = _col(text)
+    t = fold_keys(_col(text), schema)
     return _judge(t, _parse(t, schema, strings, times), schema, strict, strings, times)
 
 
@@ -134,17 +162,30 @@ def decode_rows(df: DataFrame, text: str | Column, kind: str, *, strict: bool |
     verdict is produced by a generator, which Catalyst does not inline
     into later filters on ``ok``."""
     schema, strict_, strings, times = _spec(kind, strict)
-    staged = df.select("*", _col(text).alias("_t"))
+    staged = df.select("*", fold_keys(_col(text), schema).alias("_t"))
     staged = staged.select("*", _parse(F.col("_t"), schema, strings, times).alias("_p"))
     verdict = _judge(F.col("_t"), F.col("_p"), schema, strict_, strings, times)
     return staged.select(*[F.col(c) for c in df.columns], F.inline(F.array(verdict)))
 
 
 def encode(struct_col: Column, timestamp_format: str = TS_FORMAT) -> Column:
-    """Compact JSON text of a struct (NULL fields omitted)."""
+    """Compact JSON text of a struct (NULL fields omitted)."""
     return F.to_json(struct_col, {"timestampFormat": timestamp_format})
 
 
+#: The zero time, as the service writes it.
+ZERO_TIME = "0001-01-01 00:00:00+00:00"
+
+
+def encode_order(order: Column, timestamp_format: str = TS_FORMAT) -> Column:
+    """JSON text of an order with all its fields: absent ones are written
+    as zero values (the zero time, ``null`` for absent items)."""
+    field = {f.name: order.getField(f.name) for f in ORDER.fields}
+    zero = {"order_id": F.lit(""), "status": F.lit(""), "customer_id": F.lit(0).cast("bigint"), "created_at": F.lit(ZERO_TIME).cast("timestamp")}
+    full = F.struct(*[(F.coalesce(c, zero[n]) if n in zero else c).alias(n) for n, c in field.items()])
+    return F.to_json(full, {"timestampFormat": timestamp_format, "ignoreNullFields": "false"})
+
+
 def split_decoded(df: DataFrame, text: str | Column, kind: str, *,
                   strict: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(good rows with ``value``, poison rows without)."""

@@ -74,7 +74,7 @@ def judged(requests: DataFrame, *, body: str = "body", now: Column | None = None
     r = r.withColumn("order_id", F.when(F.col("ok"), O.default_order_id(F.col("o.order_id"), generated_id)))
     order = F.struct(F.col("order_id"), F.col("o.customer_id").alias("customer_id"), F.lit(C.STATUS_PENDING).alias("status"),
                      F.col("o.items").alias("items"), (F.current_timestamp() if now is None else now).alias("created_at"))
-    r = r.withColumn("body", F.when(F.col("ok"), codec.encode(order)))
+    r = r.withColumn("body", F.when(F.col("ok"), codec.encode_order(order)))
     r = r.withColumn("message_id", F.when(F.col("ok"), F.expr("uuid()") if message_id is None else message_id))
     status = (F.when(~F.col("ok"), 400).when(~F.lit(topic), 503)
                .when(F.octet_length("body") > C.MAX_MESSAGE_BYTES, 500).otherwise(202))

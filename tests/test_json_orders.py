@@ -128,3 +128,53 @@ def test_unnest_outer_keeps_empty_orders(spark):
     assert O.unnest(df).count() == 2
     rows = O.unnest(df, outer=True).orderBy("order_id", "line_no").collect()
     assert [(r.order_id, r.line_no, r.product_id) for r in rows] == [("a", 0, 1), ("a", 1, 3), ("b", None, None)]
+
+
+def decoded(spark, texts, kind="order", strict=False):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return {r.i: (r.ok, r.value) for r in codec.decode_rows(df, "t", kind, strict=strict).collect()}
+
+
+def test_white_space_around_null_and_numbers_out_of_range(spark):
+    for strict in (True, False):
+        got = decoded(spark, ["null\n", "\tnull", " null ", "\r\nnull", "nul", '{"items":[{"price":1e400}]}', '{"items":[{"price":-1e400},{"price":1}]}',
+                              '{"items":[{"price":1e300}]}', '{"items":[{"price":1e-400}]}', "\n\t ", '\n{"customer_id":1}\n'], strict=strict)
+        assert [got[i][0] for i in range(11)] == [True, True, True, True, False, False, False, True, True, False, True]
+    assert got[10][1].customer_id == 1
+
+
+def test_keys_in_any_letter_case(spark):
+    got = decoded(spark, ['{"Customer_ID":7,"ITEMS":[{"Product_Id":3,"QUANTITY":2,"Price":1.5}],"Status":"x"}',
+                          '{"customer_id":5,"CUSTOMER_ID":6}', '{"CUSTOMER_ID":5,"customer_id":6}', '{"Customer_ID" : "x"}',
+                          '{"order_id":"a \\"Customer_ID\\": 9","customer_id":4}', '{"other":{"Status":1},"customer_id":1}', '{"\u017ftatus":"folded"}',
+                          '{"order_id":"Customer_ID"}'], strict=True)
+    v = got[0][1]
+    assert got[0][0] and (v.customer_id, v.status, v["items"][0].product_id, v["items"][0].quantity, v["items"][0].price) == (7, "x", 3, 2, 1.5)
+    assert got[1][1].customer_id == 6 and got[2][1].customer_id == 6
+    assert not got[3][0]
+    assert got[4][1].order_id == 'a "Customer_ID": 9' and got[4][1].customer_id == 4
+    assert got[5][1].customer_id == 1 and got[6][1].status == "folded" and got[7][1].order_id == "Customer_ID"
+    p = decoded(spark, ['{"Product_ID":1,"SKU":"s","Name":"n"}'], "product")[0]
+    assert p[0] and (p[1].product_id, p[1].sku, p[1].name) == (1, "s", "n")
+
+
+def test_keys_are_parsed_once(spark):
+    df = spark.createDataFrame([("{}",)], "t string")
+    plan = codec.decode_rows(df, "t", "order", strict=True).where("ok")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_encoded_orders_have_all_fields(spark):
+    rows = spark.createDataFrame([(1, None, None, None, None, None)], "k int, order_id string, customer_id bigint, status string, "
+                                 "items array<struct<product_id:bigint,quantity:bigint,price:double>>, created_at timestamp")
+    body = rows.select(codec.encode_order(O.order_struct(rows)).alias("b")).first().b
+    assert body.startswith('{"order_id":"","customer_id":0,"status":"","items":null,"created_at":"0001-01-01T00:00:00')
+    back = codec.decode_rows(spark.createDataFrame([(body,)], "t string"), "t", "order", strict=True)
+    r = back.select("ok", F.size("value.items").alias("n"), "value.order_id", F.year("value.created_at").alias("y")).first()
+    assert (r.ok, r.n, r.order_id, r.y) == (True, 0, "", 1)
+
+
+def test_items_are_ordered_by_line(spark):
+    rows = spark.createDataFrame([(1, n, 100 - n) for n in (3, 1, 2, 7, 5)] + [(1, 3, 5)], "k int, line int, product_id bigint").repartition(4)
+    nested = O.nest_lines(rows, "k", F.struct("product_id"), F.col("line")).first()
+    assert [x.product_id for x in nested["items"]] == [99, 98, 5, 97, 95, 93]

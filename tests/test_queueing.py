@@ -158,3 +158,24 @@ def test_window_start_independent_of_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == 1704085200000000  # 2024-01-01 05:00:00 as UTC wall clock
+
+
+def test_damaged_sample_lines_are_kept_aside(spark, tmp_path):
+    from storeflow.sources import samples as SM
+    lines = ["run,ts,visible,not_visible", "w1,2025-10-25T22:25:07Z,1050,5", "w1,2025-10-25T22:25:10Z,n/a,2", "w1,2025-10-25T22:25:19Z,1750",
+             "w1,2025-10-25T22:25:29Z,2018,13,extra", "w1,not a time,1,2", ",2025-10-25T22:25:35Z,2374,11", "w1,2025-10-25T22:25:41Z,3080,8", "w1,2025-10-25T22:25:53Z,1.5,1"]
+    path = tmp_path / "s.csv"
+    path.write_text("\n".join(lines) + "\n")
+    good, damaged = SM.split_queue_samples(SM.sample_lines(spark, str(path)))
+    assert sorted((r.run, r.visible, r.total) for r in good.collect()) == [("w1", 1050, 1055), ("w1", 3080, 3088)]
+    found = sorted(r.line for r in damaged.collect())
+    assert len(found) == 6 and "w1,2025-10-25T22:25:29Z,2018,13,extra" in found and "w1,not a time,1,2" in found
+    assert good.count() + damaged.count() == len(lines) - 1
+
+
+def test_samples_written_and_read_again(spark, tmp_path):
+    from storeflow.sources import samples as SM
+    rows = spark.sql("select 'w' || id as run, timestamp'2025-10-25 22:25:07Z' as ts, id as visible, 2 * id as not_visible from range(20)")
+    SM.write_queue_samples(rows, str(tmp_path / "out"))
+    back = read_queue_samples(spark, str(tmp_path / "out"))
+    assert sorted((r.run, r.visible, r.total) for r in back.collect()) == sorted((f"w{i}", i, 3 * i) for i in range(20))

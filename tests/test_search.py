@@ -134,3 +134,35 @@ def test_window_group_limit_planned(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
     assert SR.top_matches(hits, 20).count() == 20
     assert F is not None
+
+
+def test_postings_shrink_candidates_of_common_grams(spark):
+    """Every gram of the key is common, few products have them all: of the
+    hundreds that the rarest gram alone would give, those few are read."""
+    names = [f"the {i}" for i in range(300)] + [f"het {i}" for i in range(300)] + [f"eta {i}" for i in range(300)] + ["theta"] * 3 + ["eta het the"]
+    rows = [(i + 1, "s", "m", 1, 1, 1, n, "Toys", "", "x") for i, n in enumerate(names)] + [(40000, "s", "m", 1, 1, 1, "a THETA", "", "", "x"), (40001, "s", "m", 1, 1, 1, "x", "thet", "", "x")]
+    products = spark.createDataFrame(rows, PRODUCT)
+    keys = spark.createDataFrame([("theta", 0, 20), ("zzz", 0, 20), ("", 0, 20)], "q_lower string, max_check int, max_results int")
+    prod = SR._prepared_products(products, None)
+    met = SR.candidate_ids(prod, keys, [0, 3])
+    assert sorted(r.product_id for r in met.where("q_lower = 'theta'").collect()) == [901, 902, 903, 904, 40000]
+    assert met.where("q_lower = 'zzz'").isEmpty() and met.where("q_lower = ''").count() == len(rows)
+    grams = prod.select(F.explode(SR._grams(F.col("name_l"), 3)).alias("g")).groupBy("g").count()
+    assert grams.where("g in ('the', 'het', 'eta')").agg(F.min("count")).first()[0] > 300
+    hits = SR.match_positions(products, keys, bounded=False)
+    assert sorted(r.product_id for r in hits.where("q_lower = 'theta'").collect()) == [901, 902, 903, 40000]
+
+
+def test_result_lists_read_only_probed_products(spark):
+    """The probe bound reaches the scan that gives the product columns, and
+    only ranked rows are shuffled by all columns."""
+    from storeflow.sources import tables
+    products = catalog.from_part(tables.load(spark, "/root/testdata/sf0.001", "part"))
+    keys = spark.createDataFrame([("ring", 50, 20)], "q_lower string, max_check int, max_results int")
+    top = SR.top_matches(SR.match_positions(products, keys), 20)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = SR.result_lists(top, products, 50)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [x for x in plan.split("\n") if "FileScan parquet" in x]
+    assert scans and all("LessThanOrEqual(p_partkey,50)" in x for x in scans)
+    assert plan.index("LeftSemi") > plan.index("HashAggregate" if "HashAggregate" in plan else "SortAggregate")  # the join is below the aggregate
