@@ -163,6 +163,6 @@ def test_result_lists_read_only_probed_products(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = SR.result_lists(top, products, 50)._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
-    scans = [x for x in plan.split("\n") if "FileScan parquet" in x]
+    scans = [x for x in plan.split("\n") if "FileScan parquet [p_partkey" in x]
     assert scans and all("LessThanOrEqual(p_partkey,50)" in x for x in scans)
     assert plan.index("LeftSemi") > plan.index("HashAggregate" if "HashAggregate" in plan else "SortAggregate")  # the join is below the aggregate
