@@ -90,6 +90,11 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remember_stage(path: str) -> None:
+    """Let ``drop_stages`` delete a table that was written elsewhere."""
+    _stages.append(path)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete the stage tables written so far; for when their readers are done."""
     while _stages:
