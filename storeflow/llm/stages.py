@@ -9,7 +9,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import remember_stage, scratch_path
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -49,6 +49,7 @@ class Stage:
     def __init__(self, df: DataFrame, name: str):
         spark = df.sparkSession
         self.spark, self.path = spark, scratch_path(spark, name)
+        remember_stage(self.path)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
