@@ -8,6 +8,7 @@ whole texts (one text alone if it is larger), which bounds memory.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,6 +70,16 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Hand memory that was freed back to the system: a Python worker stays
+    for the next task, and what it keeps counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def blocks(batches, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) for runs of whole texts of about ``limit`` bytes."""
     for batch in batches:
@@ -79,6 +90,7 @@ def blocks(batches, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[
             hi = min(max(hi, lo + 1), n)
             yield batch.slice(lo, hi - lo), data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
             lo = hi
+    give_back()
 
 
 @dataclass
