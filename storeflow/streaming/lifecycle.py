@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from .. import constants as C
 from ..session import python_workers
@@ -29,46 +30,31 @@ from ..session import python_workers
 RETENTION_MS = C.RETENTION_SECONDS * 1000
 
 
-class LatestStatus(StatefulProcessor):
-    """One key: the row of the greatest seq, and a timer ``keep_ms`` after the
-    latest time seen."""
+def _latest(keys: list[str], keep_ms: int):
+    """The update of one key: the row of the greatest seq is kept, with a
+    timer ``keep_ms`` after the latest time seen."""
+    def row(key: tuple, status, seq: int, last_ms: int, expired: bool) -> pd.DataFrame:
+        return pd.DataFrame({k: [v] for k, v in (dict(zip(keys, key)) | {"status": status, "last_seq": seq, "last_ms": last_ms, "expired": expired}).items()})
 
-    def __init__(self, keys: list[str], keep_ms: int):
-        self.keys, self.keep_ms = keys, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("latest", "status string, seq long, last_ms long")
-
-    def _row(self, key: tuple, status, seq: int, last_ms: int, expired: bool) -> pd.DataFrame:
-        row = dict(zip(self.keys, key)) | {"status": status, "last_seq": seq, "last_ms": last_ms, "expired": expired}
-        return pd.DataFrame({k: [v] for k, v in row.items()})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.state.get() if self.state.exists() else None
-        best = (int(before[1]), "" if before[0] is None else before[0], before[0]) if before else None
-        last = int(before[2]) if before else None
-        for part in rows:
-            newest = part[part["seq"] == part["seq"].max()]
-            for seq, status in zip(newest["seq"], newest["status"]):
-                status = None if pd.isna(status) else status
-                best = max(best or (int(seq), status or "", status), (int(seq), status or "", status), key=lambda x: x[:2])
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            status, seq, last = state.get
+            state.remove()
+            yield row(key, status, seq, last, True)
+            return
+        status, seq, last = state.get if state.exists else (None, None, None)
+        for part in parts:
+            for s, q in zip(part["status"], part["seq"]):
+                s = None if pd.isna(s) else s
+                if seq is None or (q, s or "") > (seq, status or ""):
+                    status, seq = s, int(q)
             high = int(part["ms"].max())
             last = high if last is None else max(last, high)
-        if before and int(before[2]) != last:
-            self.handle.deleteTimer(int(before[2]) + self.keep_ms)
-        if not before or int(before[2]) != last:
-            self.handle.registerTimer(last + self.keep_ms)
-        self.state.update((best[2], best[0], last))
-        yield self._row(key, best[2], best[0], last, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, seq, last = self.state.get()
-        self.state.clear()
-        yield self._row(key, status, int(seq), int(last), True)
+        state.update((status, seq, last))
+        state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield row(key, status, seq, last, False)
 
-    def close(self) -> None:
-        pass
+    return update
 
 
 def latest_status(events: DataFrame, keys: list[str], *, keep_ms: int = RETENTION_MS, delay: str = "1 hour") -> DataFrame:
@@ -81,7 +67,7 @@ def latest_status(events: DataFrame, keys: list[str], *, keep_ms: int = RETENTIO
     timed = events.withWatermark("ts", delay).select(*keys, "status", "seq", "ts", F.unix_millis("ts").alias("ms"))
     types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "status string, last_seq long, last_ms long, expired boolean"])
-    return timed.groupBy(*keys).transformWithStateInPandas(LatestStatus(keys, keep_ms), schema, "Append", "EventTime")
+    return timed.groupBy(*keys).applyInPandasWithState(_latest(keys, keep_ms), schema, "status string, seq long, last_ms long", "append", "EventTimeTimeout")
 
 
 def newest(spark, path: str, schema: str, keys: list[str]) -> DataFrame:
