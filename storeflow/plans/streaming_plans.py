@@ -13,7 +13,7 @@ from .. import constants as C
 from ..functions import scalars as S
 from ..operators import orders as O
 from ..operators import queueing as Q
-from ..session import scratch_path
+from ..session import rocksdb_state, scratch_path
 from ..sources import tables
 from ..streaming import lifecycle as LC
 from ..streaming import orders_stream as ST
@@ -271,7 +271,9 @@ def stream_final_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 F.timestamp_micros(F.lit((last.us or 0) + (LAG_MS + 2 * WINDOW_MS) * 1000)).alias("ts"))
     stream = _replayed(ev, "ts", "event_id bigint, event_type string, ts timestamp", os.path.join(root, "in"), block.bitwiseXOR(F.lit(1).cast("bigint")).cast("int"), end)
     told = LC.final_windows(stream.drop("event_id"), ["event_type"], WINDOW_MS, delay=f"{LAG_MS} milliseconds")
-    ST.drain(ST.run_append_sink(told, os.path.join(root, "out"), os.path.join(root, "ck")))
+    with rocksdb_state(spark):
+        query = ST.run_append_sink(told, os.path.join(root, "out"), os.path.join(root, "ck"))
+    ST.drain(query)
     rows = spark.read.schema("event_type string, window_ms long, bucket int, arrivals long, late boolean").parquet(os.path.join(root, "out"))
     return rows.groupBy("event_type", (F.col("window_ms") * 1000).alias("window_start_us")).agg(
         F.sum(F.when(F.col("late"), 0).otherwise(F.col("arrivals"))).alias("arrivals"),

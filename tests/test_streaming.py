@@ -291,3 +291,21 @@ def test_dead_letters_are_requeued_or_expire_once(spark, tmp_path):
     done = spark.read.schema("order_id string, message_id string, attempt int, batch int").parquet(out + "/completed").collect()
     assert sorted((r.message_id, r.order_id, r.attempt) for r in done) == [("fix", "o2", 2), ("ok", "o1", 0)]
     assert sorted((r.message_id, r.attempts) for r in RT.expired(spark, out).collect()) == [("later", 1), ("never", 4), ("none", 4)]
+
+
+def test_final_windows_with_another_state_store(spark, tmp_path):
+    """The query brings the state store its timers need, whatever the session
+    has, and leaves the session as it was."""
+    import __spark_entry__ as E
+    ev = spark.range(400).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"),
+                                 F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, int(id), 0, 0)").alias("ts"))
+    ev.write.parquet(str(tmp_path / "events.parquet"))
+    name, other = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, other)
+    try:
+        rows = E.queries()["stream_final_windows"](spark, str(tmp_path)).collect()
+        assert spark.conf.get(name) == other
+    finally:
+        spark.conf.set(name, before)
+    assert sum(r.arrivals + r.late_arrivals for r in rows) == 400
