@@ -9,7 +9,7 @@
 * ``elapsed`` (P11): arrivals joined to their completions within a time
   bound; an arrival without one is told once, when the bound has passed.
 
-The state of a key is a few numbers in RocksDB. Timers run on the watermark, so
+The state of a key is a few numbers. Timers run on the watermark, so
 results do not depend on when a batch runs, and ``availableNow`` drains: its
 last batch, without data, fires the timers that are due.
 """
@@ -30,44 +30,62 @@ from ..session import python_workers
 RETENTION_MS = C.RETENTION_SECONDS * 1000
 
 
-def _latest(keys: list[str], keep_ms: int):
-    """The update of one key: the row of the greatest seq is kept, with a
-    timer ``keep_ms`` after the latest time seen."""
-    def row(key: tuple, status, seq: int, last_ms: int, expired: bool) -> pd.DataFrame:
-        return pd.DataFrame({k: [v] for k, v in (dict(zip(keys, key)) | {"status": status, "last_seq": seq, "last_ms": last_ms, "expired": expired}).items()})
+#: The state of the keys of one bucket; ``due`` is when the key expires.
+HELD = ["key", "status", "seq", "last_ms", "due"]
+
+
+def _latest(keep_ms: int):
+    """The update of one bucket of keys: of each key the row of the greatest
+    seq is kept, until ``keep_ms`` after the latest time seen."""
+    def frame(columns, touched: int) -> pd.DataFrame:
+        rows = pd.DataFrame(dict(zip(HELD, columns)), columns=HELD).astype({"key": object, "status": object, "seq": "int64", "last_ms": "int64", "due": "int64"})
+        return rows.assign(touched=touched)
+
+    def newest_of(rows: pd.DataFrame) -> pd.DataFrame:
+        high = rows.groupby("key", sort=False)[["last_ms", "due", "touched"]].transform("max")
+        rows = rows.assign(last_ms=high["last_ms"], due=high["due"], touched=high["touched"], rank=[s or "" for s in rows["status"]])
+        return rows.sort_values(["seq", "rank"], ascending=False, kind="stable").drop_duplicates("key").drop(columns="rank")
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            status, seq, last = state.get
-            state.remove()
-            yield row(key, status, seq, last, True)
-            return
-        status, seq, last = state.get if state.exists else (None, None, None)
+        now = state.getCurrentWatermarkMs()
+        rows = [frame(state.get if state.exists else [[]] * len(HELD), 0)]
         for part in parts:
-            for s, q in zip(part["status"], part["seq"]):
-                s = None if pd.isna(s) else s
-                if seq is None or (q, s or "") > (seq, status or ""):
-                    status, seq = s, int(q)
-            high = int(part["ms"].max())
-            last = high if last is None else max(last, high)
-        state.update((status, seq, last))
-        state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
-        yield row(key, status, seq, last, False)
+            if len(part):
+                status = [None if pd.isna(s) else s for s in part["status"]]
+                part = newest_of(frame([part["key"], pd.Series(status, part.index, object), part["seq"], part["ms"], (part["ms"] + keep_ms).clip(lower=now + 1)], 1))
+                rows.append(part)
+        rows = newest_of(pd.concat(rows, ignore_index=True))
+        gone = (rows["touched"] == 0) & (rows["due"] < now)
+        kept = rows[~gone]
+        if len(kept):
+            state.update(tuple(kept[c].tolist() for c in HELD))
+            state.setTimeoutTimestamp(int(kept["due"].min()))
+        else:
+            state.remove()
+        told = gone | (rows["touched"] == 1)
+        yield rows.assign(expired=gone)[told].rename(columns={"seq": "last_seq"})[["key", "status", "last_seq", "last_ms", "expired"]]
 
     return update
 
 
-def latest_status(events: DataFrame, keys: list[str], *, keep_ms: int = RETENTION_MS, delay: str = "1 hour") -> DataFrame:
+def latest_status(events: DataFrame, keys: list[str], *, keep_ms: int = RETENTION_MS, delay: str = "1 hour", buckets: int = 512) -> DataFrame:
     """``events`` (stream: keys, status, seq, ts) to one row per key and
     batch that touched it: status, last_seq, last_ms, expired. Of rows of one
     seq the greatest status counts; events older than the watermark are
     dropped by the engine; a key that returns after it expired starts anew, one
-    that returns in the batch in which it would expire goes on."""
+    that returns in the batch in which it would expire goes on. Keys are dealt
+    over ``buckets`` by a hash; a bucket's keys are updated together, as the
+    call of a state's function takes far longer than a key in it."""
     python_workers(events.sparkSession)
-    timed = events.withWatermark("ts", delay).select(*keys, "status", "seq", "ts", F.unix_millis("ts").alias("ms"))
+    key = F.to_json(F.struct(*keys))
+    timed = (events.withWatermark("ts", delay).select(key.alias("key"), "status", "seq", "ts", F.unix_millis("ts").alias("ms"))
+                   .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")))
     types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "status string, last_seq long, last_ms long, expired boolean"])
-    return timed.groupBy(*keys).applyInPandasWithState(_latest(keys, keep_ms), schema, "status string, seq long, last_ms long", "append", "EventTimeTimeout")
+    told = timed.groupBy("bucket").applyInPandasWithState(
+        _latest(keep_ms), "key string, status string, last_seq long, last_ms long, expired boolean",
+        "key array<string>, status array<string>, seq array<long>, last_ms array<long>, due array<long>", "append", "EventTimeTimeout")
+    told = told.withColumn("key", F.from_json("key", ", ".join(f"{k} {types[k]}" for k in keys)))
+    return told.select(*[F.col("key").getField(k).alias(k) for k in keys], "status", "last_seq", "last_ms", "expired")
 
 
 def newest(spark, path: str, schema: str, keys: list[str]) -> DataFrame:

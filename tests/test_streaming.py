@@ -309,3 +309,17 @@ def test_final_windows_with_another_state_store(spark, tmp_path):
     finally:
         spark.conf.set(name, before)
     assert sum(r.arrivals + r.late_arrivals for r in rows) == 400
+
+
+def test_status_of_many_keys_is_held_in_buckets(spark, tmp_path):
+    """Four buckets hold the state of a hundred keys; those unseen expire, the
+    others stay, and the greatest (seq, status) counts."""
+    at = lambda d: datetime.datetime.fromtimestamp(1_700_000_000 + 86400 * d, datetime.timezone.utc)
+    rows = [(k, f"s{k}-{v}", v // 2, at(0)) for k in range(100) for v in (3, 2, 1)] + [(k, f"new{k}", 9, at(8)) for k in range(50)] + [(-1, "end", 1, at(9))]
+    ev = _replay(spark, tmp_path, rows, "k bigint, status string, seq bigint, ts timestamp", F.floor((F.unix_seconds("ts") - 1_700_000_000) / 86400).cast("int"))
+    q = ST.run_append_sink(LC.latest_status(ev, ["k"], buckets=4), str(tmp_path / "out"), str(tmp_path / "ck"))
+    ST.drain(q)
+    schema = "k bigint, status string, last_seq long, last_ms long, expired boolean"
+    got = {r.k: (r.status, r.last_seq, r.expired) for r in LC.newest(spark, str(tmp_path / "out"), schema, ["k"]).collect()}
+    assert got == {k: (f"new{k}", 9, False) if k < 50 else (f"s{k}-3", 1, True) for k in range(100)} | {-1: ("end", 1, False)}
+    assert 0 < max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 4
