@@ -214,6 +214,8 @@ def stream_status_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Keys of the rows that end a replay; they match nothing and are never told.
 END_KEY = -(1 << 63)
+#: Rows of the larger table in one micro-batch, about: state holds the bound's time and one batch.
+PLACE_ROWS = 5_000_000
 #: An order line shipped within this time of its order has completed it.
 WITHIN_S = 365 * DAY_S
 
@@ -231,14 +233,16 @@ def stream_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = o.select(F.col("o_orderkey").alias("order_key"), _instant(o, "o_orderdate").alias("arrived_at")).withColumn("us", F.unix_micros("arrived_at"))
     li = li.select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"),
                    _instant(li, "l_shipdate").alias("completed_at")).withColumn("us", F.unix_micros("completed_at"))
-    high = max(df.agg(F.max("us")).first()[0] or 0 for df in (o, li)) + (WITHIN_S + 30 * DAY_S) * 1_000_000
+    ends = [df.agg(F.max("us").alias("us"), F.count(F.lit(1)).alias("n")).first() for df in (o, li)]  # two scalars each
+    high = max(e.us or 0 for e in ends) + (WITHIN_S + 30 * DAY_S) * 1_000_000
+    places = max(PLACES, -(-max(e.n for e in ends) // PLACE_ROWS))
 
     def stream(df: DataFrame, time: str, columns: str) -> DataFrame:
         # a null key would be filtered before the watermark sees its time
         key = END_KEY + (time == "completed_at")
         end = spark.range(1).select(F.lit(key).cast("bigint").alias("order_key"), *[F.lit(0).alias(c) for c in df.columns if c == "line_no"],
                                     F.timestamp_micros(F.lit(high)).alias(time), F.lit(high).alias("us"))
-        return _replayed(df, "us", columns, os.path.join(root, time), end=end).drop("us")
+        return _replayed(df, "us", columns, os.path.join(root, time), RP.by_time(df, "us", places), end).drop("us")
     told = LC.elapsed(stream(o, "arrived_at", "order_key bigint, arrived_at timestamp, us bigint"),
                       stream(li, "completed_at", "order_key bigint, line_no int, completed_at timestamp, us bigint"), "order_key", WITHIN_S)
     ST.drain(ST.run_append_sink(told.select("order_key", "line_no", "elapsed_ms"), os.path.join(root, "out"), os.path.join(root, "ck")))

@@ -323,3 +323,21 @@ def test_status_of_many_keys_is_held_in_buckets(spark, tmp_path):
     got = {r.k: (r.status, r.last_seq, r.expired) for r in LC.newest(spark, str(tmp_path / "out"), schema, ["k"]).collect()}
     assert got == {k: (f"new{k}", 9, False) if k < 50 else (f"s{k}-3", 1, True) for k in range(100)} | {-1: ("end", 1, False)}
     assert 0 < max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 4
+
+
+def test_a_large_place_is_several_files_and_one_batch(spark, tmp_path):
+    """Places of many and of few rows: no task writes a large one whole, and
+    each is one micro-batch, in order."""
+    df = spark.range(0, 200_000, 1, 8).select(F.col("id").alias("n"), F.xxhash64("id").alias("x"))
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "200k")
+    try:
+        path = RP.write_places(df, F.when(F.col("n") < 150_000, 0).when(F.col("n") < 199_000, 1).otherwise(2), str(tmp_path / "in"))
+    finally:
+        spark.conf.set(name, before)
+    assert sum(f.endswith(".parquet") for f in os.listdir(os.path.join(path, "place=0"))) > 2
+    q = ST.run_append_sink(RP.stream(spark, path, "n bigint, x bigint, place int"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    ST.drain(q)
+    got = spark.read.schema("n bigint, place int, batch int").parquet(str(tmp_path / "out")).groupBy("batch", "place").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 150_000), (1, 1, 49_000), (2, 2, 1_000)]
