@@ -341,3 +341,16 @@ def test_a_large_place_is_several_files_and_one_batch(spark, tmp_path):
     ST.drain(q)
     got = spark.read.schema("n bigint, place int, batch int").parquet(str(tmp_path / "out")).groupBy("batch", "place").count().collect()
     assert sorted(map(tuple, got)) == [(0, 0, 150_000), (1, 1, 49_000), (2, 2, 1_000)]
+
+
+def test_number_of_batches_does_not_grow_with_files(spark, tmp_path, monkeypatch):
+    """A table of many files and its messages are taken in a few micro-batches."""
+    import __spark_entry__ as E
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    ev.repartition(20).write.parquet(str(tmp_path / "events.parquet"))
+    queries, drain = [], ST.drain
+    monkeypatch.setattr(ST, "drain", lambda qs: (drain(qs), queries.extend(qs if isinstance(qs, list) else [qs])))
+    for name, n in (("stream_dead_letter", ev.where("event_type = 'error'").count()), ("stream_retry", ev.count())):
+        queries.clear()
+        assert E.queries()[name](spark, str(tmp_path)).count() == n
+        assert max(sum(p["numInputRows"] > 0 for p in q.recentProgress) for q in queries) <= 2
