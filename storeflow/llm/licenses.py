@@ -1,7 +1,8 @@
 """Licence scan: sparse TF-IDF cosine to templates, then path inheritance.
 
 Every file's whole text is scanned. A header is any passage as long as a
-template around the template's rarest term; a licence file is a file whose
+template (a shorter text is one passage; around the template's rarest term an
+end of the text may cut it); a licence file is a file whose
 whole text is close to a template, or whose name says so and that has a
 header. Both are compared by the cosine of TF-IDF vectors: term counts times
 ln((1 + files) / (1 + files with the term)) + 1, where frequencies of all
@@ -112,43 +113,75 @@ def term_frequency(files: DataFrame, templates: Templates) -> tuple[int, dict[in
     return found.get(-1, 0), {int(t): found.get(k, 0) for k, t in enumerate(terms.tolist())}
 
 
-def headers(files: DataFrame, templates) -> DataFrame:
-    """Per file: its best header (id, cosine), and the best template for its
-    whole text. ``templates``: a broadcast Templates."""
+def headers(files: DataFrame, templates, header: float = HEADER, whole: float = WHOLE) -> DataFrame:
+    """Per file: its best header (id, cosine) of at least ``header``, and the
+    best template for its whole text where that is at least ``whole``.
+    ``templates``: a broadcast Templates. Running sums bound the cosine of every
+    passage (a repeated term lengthens it only more); those that may be near
+    enough are then compared exactly."""
     def run(batches):
         known = templates.value
-        look = Lookup(np.array([a for a, _ in known.anchor], np.uint64))
-        by_anchor: dict[int, list[int]] = {}
-        for i, (a, _) in enumerate(known.anchor):
-            by_anchor.setdefault(int(np.searchsorted(look.keys, np.uint64(a))), []).append(i)
+        look = Lookup(np.array([t for x in known.terms for t in x], np.uint64))
+        square = np.array([known.idf[t] ** 2 for t in look.keys.tolist()])
+        weights = [np.array([c.get(t, 0) for t in look.keys.tolist()]) * square for c in known.counts]
         for rows, data, offsets in T.blocks(batches):
             w = T.words(T.lower(data), offsets, T.ALNUM)
-            h = w.hashes()
-            n = len(offsets) - 1
-            header: list = [(None, 0.0)] * n
-            whole: list = [(None, 0.0)] * n
+            h, owner, counts, n = w.hashes(), w.owner(), w.counts, len(offsets) - 1
+            found: list = [(None, 0.0)] * n
+            full: list = [(None, 0.0)] * n
             at, k = look.find(h)
-            text = np.searchsorted(w.first, at, "right") - 1
-            for p, a, i in zip(at.tolist(), k.tolist(), text.tolist()):
-                for t in by_anchor[a]:
-                    begin = max(p - known.anchor[t][1], int(w.first[i]))
-                    end = min(p - known.anchor[t][1] + len(known.terms[t]), int(w.first[i + 1]))
-                    score = known.cosines(Counter(h[begin:end].tolist()))[t]
-                    if (-score, known.ids[t]) < (-header[i][1], header[i][0] or "\U0010ffff"):
-                        header[i] = known.ids[t], score
-            for i in np.unique(text).tolist():
-                scores = known.cosines(Counter(h[w.first[i]: w.first[i + 1]].tolist()))
-                best = min(range(len(scores)), key=lambda t: (-scores[t], known.ids[t]))
-                whole[i] = known.ids[best], scores[best]
+            if len(at):
+                cost = np.full(len(h), known.unmet ** 2)
+                cost[at] = square[k]
+                length = np.concatenate([[0.0], np.cumsum(cost)])
+                for t, x in enumerate(known.terms):
+                    gain = np.zeros(len(h) + 1)
+                    gain[at + 1] = weights[t][k]
+                    gain = np.cumsum(gain)
+                    begin, end = _passages(w.first, owner, at[h[at] == np.uint64(known.anchor[t][0])] - known.anchor[t][1], known.anchor[t][1], len(x))
+                    dot = gain[end] - gain[begin]
+                    near = np.flatnonzero((dot > 1e-6) & (dot >= (header - 1e-6) * known.norm[t] * np.sqrt(length[end] - length[begin])))
+                    for a, b in zip(begin[near].tolist(), end[near].tolist()):
+                        i, score = int(owner[a]), known.cosines(Counter(h[a:b].tolist()))[t]
+                        if score >= header - 1e-9 and (-score, known.ids[t]) < (-found[i][1], found[i][0] or "\U0010ffff"):
+                            found[i] = known.ids[t], score
+                own = _squares(h, owner, cost, n)
+                dots = np.stack([np.bincount(owner[at], weights[t][k], n) / known.norm[t] for t in range(len(known.ids))])
+                for i in np.flatnonzero((counts > 0) & (dots.max(0) >= (whole - 1e-6) * np.sqrt(own)) & (dots.max(0) > 0)).tolist():
+                    scores = known.cosines(Counter(h[w.first[i]: w.first[i + 1]].tolist()))
+                    best = min(range(len(scores)), key=lambda t: (-scores[t], known.ids[t]))
+                    full[i] = known.ids[best], scores[best]
             yield pa.RecordBatch.from_arrays([
                 rows.column("doc_id"), rows.column("path"),
-                pa.array([x for x, _ in header], pa.string()), pa.array([round(s, 9) for _, s in header]),
-                pa.array([x for x, _ in whole], pa.string()), pa.array([round(s, 9) for _, s in whole])],
+                pa.array([x for x, _ in found], pa.string()), pa.array([round(s, 9) for _, s in found]),
+                pa.array([x for x, _ in full], pa.string()), pa.array([round(s, 9) for _, s in full])],
                 names=["doc_id", "path", "header_id", "header_score", "whole_id", "whole_score"])
 
     return files.mapInArrow(run, "doc_id bigint, path string, header_id string, header_score double, whole_id string, whole_score double")
 
 
+def _passages(first: np.ndarray, owner: np.ndarray, around: np.ndarray, offset: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of every passage of ``size`` words inside a text, of texts
+    that are shorter, and of passages from ``around`` on (where the rarest term
+    is at its ``offset``) that an end of the text cuts."""
+    begin = np.arange(len(owner))
+    begin = begin[begin + size <= first[1:][owner]]
+    short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size))
+    text = owner[around + offset]
+    low, high = np.maximum(around, first[text]), np.minimum(around + size, first[text + 1])
+    cut = high - low < size
+    return np.concatenate([begin, first[short], low[cut]]), np.concatenate([begin + size, first[short + 1], high[cut]])
+
+
+def _squares(h: np.ndarray, owner: np.ndarray, cost: np.ndarray, n: int) -> np.ndarray:
+    """The squared length of each text's vector; ``cost`` is a word's squared weight."""
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]))
+    times = np.diff(np.append(new, len(h)))
+    return np.bincount(owner[new], times.astype(float) ** 2 * cost[order][new], n)
+
+
 def directory(path):
     """The directory of a path; the top directory is the empty string."""
     return F.regexp_replace(path, "/?[^/]*$", "")
@@ -169,7 +202,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, header: floa
                          F.coalesce("text", F.lit("")).alias("text"))
     known = Templates.of(TEMPLATES if templates is None else templates)
     known.weigh(*term_frequency(files, known))
-    found = Stage(headers(files, spark.sparkContext.broadcast(known)), "licence-headers").df
+    found = Stage(headers(files, spark.sparkContext.broadcast(known), header, whole), "licence-headers").df
     named = F.regexp_like(F.regexp_extract("path", "[^/]*$", 0), F.lit(LICENCE_NAMES))
     is_file = (F.col("whole_score") >= whole) | (F.coalesce(named, F.lit(False)) & (F.col("header_score") >= header))
     file_id = F.when(F.col("whole_score") >= whole, F.col("whole_id")).otherwise(F.col("header_id"))

@@ -86,3 +86,13 @@ def test_table(spark):
 def test_awkward_rows(make):
     df = make(AWKWARD).selectExpr("doc_id", "concat('d/', doc_id) as path", "text", "fp", "key")
     assert got(L.scan(df)) == brute([(i, f"d/{i}", t) for i, t in AWKWARD])
+
+
+def test_passage_without_the_rarest_term(spark):
+    """A header, and a whole text, that has every term of a template but the
+    rarest is found; a passage may lie anywhere in its text."""
+    words = [f"term{k}" for k in range(32)]
+    notice = " ".join(["other", *words[1:]])
+    files = spark.createDataFrame([(1, "a/x", "code " * 40 + notice + " code" * 40), (2, "b/y", notice), (3, "c/z", "code " * 20 + " ".join(words[1:8]))], "doc_id int, path string, text string")
+    rows = {r.doc_id: (r.license, r.origin) for r in L.scan(files, {"N-1": " ".join(words)}).collect()}
+    assert rows == {1: ("N-1", "header"), 2: ("N-1", "file"), 3: (None, None)}
