@@ -63,7 +63,8 @@ TOP = 2000
 FIRST, FASTER = 8000, 4
 #: Bits of a filter (8 MB); a fuller one admits more windows, the result is the same.
 FILTER_BITS = 26
-BLOCK = 1 << 22
+#: Bytes of text in a block; a worker holds some 50 times as much at its peak.
+BLOCK = 1 << 20
 #: Phrases of a batch that Python hands on.
 ROWS = 1 << 16
 
@@ -108,8 +109,8 @@ def read_block(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> B
     owner = w.owner()
     new = np.ones(len(owner), bool)
     if len(owner):
-        passed = np.concatenate([[0], np.cumsum(_PIECE_END[data])])
-        new[1:] = (passed[w.starts[1:]] != passed[w.ends[:-1]]) | (owner[1:] != owner[:-1])
+        stops = np.flatnonzero(_PIECE_END[data])
+        new[1:] = (np.searchsorted(stops, w.starts[1:]) != np.searchsorted(stops, w.ends[:-1])) | (owner[1:] != owner[:-1])
     lang = pc.dictionary_encode(rows.column("lang").cast(pa.string()))
     names = lang.dictionary.to_pylist()
     return Block(w, w.hashes(), np.cumsum(new), lang.indices.to_numpy(zero_copy_only=False)[owner], names, language_salts(names))
@@ -134,37 +135,41 @@ def _texts(docs: DataFrame) -> DataFrame:
 def counted(docs: DataFrame, size: int, chosen=None) -> DataFrame:
     """(lang, phrase, a): the number of occurrences of the windows of ``size``
     words that ``chosen`` (of a Block and the first words) admits."""
+    def of_block(block):  # what a block holds is freed before the next is read
+        at = block.windows(size)
+        if chosen is not None and len(at):
+            at = at[chosen(block, at)]
+        if not len(at):
+            return
+        joined, word_starts, word_ends = T.joined_words(block.words)
+        lang = block.lang[at]
+        for code in np.unique(lang).tolist():
+            mine = at[lang == code]
+            starts, ends = word_starts[mine], word_ends[mine + size - 1]
+            one, number = T.distinct_spans(joined, starts, ends)
+            n = np.bincount(number, minlength=len(one))
+            for lo in range(0, len(one), ROWS):
+                part = one[lo: lo + ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block.names[code]] * len(part), pa.string()), _strings(joined, starts[part], ends[part]), pa.array(n[lo: lo + ROWS])],
+                    names=["lang", "phrase", "n"])
+
     def run(batches):
         for rows, data, offsets in T.blocks(batches, limit=BLOCK):
-            block = read_block(rows, data, offsets)
-            at = block.windows(size)
-            if chosen is not None and len(at):
-                at = at[chosen(block, at)]
-            if not len(at):
-                continue
-            joined, word_starts, word_ends = T.joined_words(block.words)
-            lang = block.lang[at]
-            for code in np.unique(lang).tolist():
-                mine = at[lang == code]
-                starts, ends = word_starts[mine], word_ends[mine + size - 1]
-                one, number = T.distinct_spans(joined, starts, ends)
-                n = np.bincount(number, minlength=len(one))
-                for lo in range(0, len(one), ROWS):
-                    part = one[lo: lo + ROWS]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block.names[code]] * len(part), pa.string()), _strings(joined, starts[part], ends[part]), pa.array(n[lo: lo + ROWS])],
-                        names=["lang", "phrase", "n"])
+            yield from of_block(read_block(rows, data, offsets))
 
     return _texts(docs).mapInArrow(run, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
 
 
 def pair_hashes(docs: DataFrame) -> DataFrame:
     """(key, n) of all pairs of words, by their hash alone."""
+    def of_block(block):
+        at = block.windows(2)
+        return np.unique(block.keys(2)[at], return_counts=True) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
     def run(batches):
         for rows, data, offsets in T.blocks(batches, limit=BLOCK):
-            block = read_block(rows, data, offsets)
-            at = block.windows(2)
-            key, n = np.unique(block.keys(2)[at], return_counts=True) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            key, n = of_block(read_block(rows, data, offsets))
             for lo in range(0, len(key), ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(T.signed(key[lo: lo + ROWS])), pa.array(n[lo: lo + ROWS])], names=["key", "n"])
 

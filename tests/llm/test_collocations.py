@@ -95,3 +95,39 @@ def test_counts_beyond_64_bits(spark):
     df = spark.createDataFrame([(9_000_000_000_000_000_000, 9_100_000_000_000_000_000)], "a bigint, l bigint")
     out = df.select(C._ratio(F.col("a"), C._sum(F.col("l"), F.col("l")))).first()[0]
     assert out == 2_000_000 * 9_000_000_000_000_000_000 // (2 * 9_100_000_000_000_000_000)
+
+
+@pytest.mark.parametrize("size", [0, 1, 3])
+def test_a_worker_holds_one_small_block_at_a_time(monkeypatch, size):
+    """8 MB of text in one batch: what a task allocates does not grow with it."""
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    class Table:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def groupBy(self, *names):
+            return self
+
+        def agg(self, *columns):
+            return self
+
+    table, words = Table(), [f"word{k}" for k in range(1000)]
+    monkeypatch.setattr(C, "_texts", lambda docs: docs)
+    monkeypatch.setattr(F, "sum", lambda name: F)
+    monkeypatch.setattr(F, "alias", lambda name: None, raising=False)
+    C.counted(table, size) if size else C.pair_hashes(table)
+    rng = random.Random(1)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 400, "text": [" ".join(rng.choices(words, k=2600)) for _ in range(400)]})
+    gc.collect()
+    tracemalloc.start()
+    n = sum(sum(part.column(part.num_columns - 1).to_pylist()) for part in table.run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print(size, most / 1e6)
+    assert n == 400 * (2600 - (size or 2) + 1) and most < 80e6, most
